@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.plans import q_bars, q_signals  # noqa: F401
+from tapewright.plans import q_bars, q_panel, q_signals  # noqa: F401
 from tapewright.plans.q_signals import flagship  # noqa: F401
 from tapewright.plans.registry import CHECKS, QUERIES, with_parts
 

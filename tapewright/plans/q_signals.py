@@ -14,7 +14,8 @@ from tapewright.operators import signals as sg
 from tapewright.operators.order import with_index
 from tapewright.plans import views
 from tapewright.plans.q_bars import ema_sql, tidy
-from tapewright.plans.registry import R, part, query
+from tapewright.plans.registry import R, held, part, query
+from tapewright.session import cut_lineage
 
 c = F.col
 SEEDS = list(range(1000, 1020))
@@ -51,8 +52,8 @@ part("sig", """
 
 
 def enriched(spark, sf):
-    """Indexed bars with ATR."""
-    return ind.atr(views.indexed(spark, sf))
+    """Indexed bars with ATR, shared by the branches of a query."""
+    return held("enriched", spark, sf, lambda: cut_lineage(ind.atr(views.indexed(spark, sf))))
 
 
 def _signal_query(name: str, add, column: str | None = None, needs=lambda d: d):
@@ -168,7 +169,7 @@ def momentum_entries(spark, sf):
 
 
 def momentum_trades(spark, sf):
-    return rs.resolve_entry(momentum_entries(spark, sf), rs.session_paths(views.bars30(spark, sf)))
+    return rs.resolve_entry(momentum_entries(spark, sf), rs.session_paths(views.bar_table(spark, sf)))
 
 
 @query("resolve_entry", f"""
@@ -227,7 +228,7 @@ def break_signals(spark, sf):
 
 
 def _paths(spark, sf):
-    return rs.session_paths(views.bars30(spark, sf))
+    return rs.session_paths(views.bar_table(spark, sf))
 
 
 @query("resolve_signal", f"SELECT symbol, ts, outcome, {R('exit_price')} AS exit_price, bars_held, {R('r')} AS r FROM orb_trades")

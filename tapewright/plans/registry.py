@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -10,6 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 PARTS: dict[str, str] = {}
+_HELD: dict[tuple, DataFrame] = {}
+
+
+def held(key: str, spark: SparkSession, sf: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table shared by the branches of one query call."""
+    slot = (key, id(spark), sf)
+    if slot not in _HELD:
+        _HELD[slot] = make()
+    return _HELD[slot]
 
 
 def part(name: str, body: str) -> None:
@@ -42,7 +52,13 @@ def query(name: str, check: str | None = None):
     def keep(fn):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            _HELD.clear()
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if check is not None:
             CHECKS[name] = check
         return fn

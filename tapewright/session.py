@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -33,15 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     A temporary folder is used only where no folder is configured, which is
     the local test case.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives executor loss."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives executor loss.
+
+    Used where a small derived table (bars, panel, evidence) feeds several
+    branches, so the raw table is scanned once.
+    """
     context = df.sparkSession.sparkContext
-    context.setCheckpointDir(shared_dir(df.sparkSession))
+    folder = shared_dir(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint()
