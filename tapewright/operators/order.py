@@ -97,19 +97,6 @@ def carry_last(
     return joined.drop("chunk", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
 
 
-def running_count(df: DataFrame, flag: Column, name: str, key: str = "symbol", pos: str = "idx",
-                  chunk: int = CHUNK) -> DataFrame:
-    """Number of true flags at or before each row (island numbers)."""
-    tagged = df.withColumn("chunk", F.floor(F.col(pos) / F.lit(chunk)).cast("long"))
-    tagged = tagged.withColumn("_f", F.coalesce(flag.cast("long"), F.lit(0)))
-    w = Window.partitionBy(key, "chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    inside = tagged.withColumn("_n", F.sum("_f").over(w))
-    before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = tagged.groupBy(key, "chunk").agg(F.sum("_f").alias("_s")).select(
-        key, "chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
-    return inside.join(base, [key, "chunk"]).withColumn(name, F.col("_n") + F.col("_b")).drop("chunk", "_f", "_n", "_b")
-
-
 def back(w: WindowSpec, first: int, last: int = 0) -> WindowSpec:
     """Frame from `first` rows back to `last` rows back."""
     return w.rowsBetween(-first, -last)
@@ -145,18 +132,3 @@ def asof_join(probe: DataFrame, ref: DataFrame, key: str, probe_ts: str, ref_ts:
     both = left.unionByName(right).withColumn("_hit", F.last("_r", ignorenulls=True).over(run))
     both = both.filter(F.col("_p").isNotNull()).join(seeds, [key, "_slot"])
     return both.select("_p.*", F.coalesce("_hit", "_seed").alias(value))
-
-
-def running_extremes_since(df: DataFrame, island: str, high: str, low: str, out_high: str, out_low: str,
-                           key: str = "symbol", pos: str = "idx", chunk: int = CHUNK) -> DataFrame:
-    """Running max/min inside each (key, island), however long the island is."""
-    tagged = df.withColumn("chunk", F.floor(F.col(pos) / F.lit(chunk)).cast("long"))
-    w = Window.partitionBy(key, island, "chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    inside = tagged.withColumns({"_h": F.max(high).over(w), "_l": F.min(low).over(w)})
-    before = Window.partitionBy(key, island).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tagged.groupBy(key, island, "chunk").agg(F.max(high).alias("_mh"), F.min(low).alias("_ml")).select(
-        key, island, "chunk", F.max("_mh").over(before).alias("_ch"), F.min("_ml").over(before).alias("_cl"))
-    joined = inside.join(carried, [key, island, "chunk"])
-    return joined.withColumns({
-        out_high: F.greatest("_h", "_ch"), out_low: F.least("_l", "_cl"),
-    }).drop("chunk", "_h", "_l", "_ch", "_cl")
