@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable
 
@@ -15,13 +14,18 @@ _HELD: dict[tuple, DataFrame] = {}
 
 
 def held(key: str, spark: SparkSession, sf: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table shared by the branches of one query call."""
-    slot = (key, id(spark), sf)
+    """A derived table (bars, contexts, panel) built once per application."""
+    slot = (key, spark.sparkContext.applicationId, sf)
     if slot not in _HELD:
         _HELD[slot] = make()
     return _HELD[slot]
 
 
+def release() -> None:
+    """Forget the derived tables, so that the next query builds its own."""
+    _HELD.clear()
+
+
 def part(name: str, body: str) -> None:
     """A named common table expression usable in any check."""
     PARTS[name] = body
@@ -52,13 +56,7 @@ def query(name: str, check: str | None = None):
     def keep(fn):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            _HELD.clear()
-            return fn(spark, sf)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if check is not None:
             CHECKS[name] = check
         return fn
