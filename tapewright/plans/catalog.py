@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.plans import q_bars, q_data, q_engine, q_levels, q_panel, q_portfolio, q_signals, q_studies  # noqa: F401
+from tapewright.plans import q_bars, q_data, q_engine, q_levels, q_panel, q_portfolio, q_signals, q_stream, q_studies  # noqa: F401
 from tapewright.plans.q_signals import flagship  # noqa: F401
 from tapewright.plans.registry import CHECKS, QUERIES, with_parts
 
