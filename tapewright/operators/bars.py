@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import timecols as tc
 
+c = F.col
 BAR_COLUMNS = ["symbol", "ts", "open", "high", "low", "close", "volume", "session", "minute"]
 
 
@@ -24,7 +25,7 @@ def bars_from_ticks(ticks: DataFrame, width: int, anchor: int = tc.RTH_OPEN) ->
     ny = tc.to_ny(F.col("ts"))
     keyed = ticks.select(
         "symbol",
-        tc.iso_date(ny).alias("session"),
+        ny.cast("date").alias("session"),
         tc.bucket_index(tc.minute_of_day(ny), width, anchor).alias("bucket"),
         tick_order(tc.epoch_micros(F.col("ts")), F.col("id")).alias("at"),
         F.col("price"),
@@ -36,7 +37,7 @@ def bars_from_ticks(ticks: DataFrame, width: int, anchor: int = tc.RTH_OPEN) ->
         F.max_by("price", "at").alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"),
     )
-    return _stamp(bars, width, anchor)
+    return _stamp(bars.withColumn("session", c("session").cast("string")), width, anchor)
 
 
 def resample_bars(bars: DataFrame, width: int, anchor: int = tc.RTH_OPEN) -> DataFrame:

@@ -360,7 +360,7 @@ def concat_sessions(spark, sf):
 
 part("msf", """
     SELECT l_suppkey AS permno, CAST(max(CAST(l_shipdate AS DATE)) AS DATE) AS date, CASE WHEN count(*) > 3 THEN round(avg(l_discount) - avg(l_tax), 6) END AS ret,
-           CASE WHEN count(*) = 4 THEN -1.0 ELSE 1.0 END * round(avg(l_extendedprice / l_quantity), 4) AS prc, CAST(sum(l_quantity) AS DOUBLE) AS shrout
+           CASE WHEN count(*) = 4 THEN -1.0 ELSE 1.0 END * round(avg(l_extendedprice / l_quantity), 7) AS prc, CAST(sum(l_quantity) AS DOUBLE) AS shrout
     FROM lineitem GROUP BY l_suppkey, strftime(l_shipdate, '%Y-%m')""")
 part("names", """
     SELECT s_suppkey AS permno, DATE '1994-01-01' AS namedt, DATE '1998-03-15' AS nameendt, 10 + s_nationkey % 3 AS shrcd, 1 + s_nationkey % 4 AS exchcd, s_name AS ticker FROM supplier
@@ -376,7 +376,7 @@ def master(spark, sf):
     n = F.count(F.lit(1))
     msf = lines.groupBy(c("l_suppkey").alias("permno"), F.date_format(F.to_date("l_shipdate"), "yyyy-MM").alias("_m")).agg(
         F.max(F.to_date("l_shipdate")).alias("date"), F.when(n > 3, F.round(F.avg("l_discount") - F.avg("l_tax"), 6)).alias("ret"),
-        (F.when(n == 4, -1.0).otherwise(1.0) * F.round(F.avg(c("l_extendedprice") / c("l_quantity")), 4)).alias("prc"), F.sum("l_quantity").alias("shrout")).drop("_m")
+        (F.when(n == 4, -1.0).otherwise(1.0) * F.round(F.avg(c("l_extendedprice") / c("l_quantity")), 7)).alias("prc"), F.sum("l_quantity").alias("shrout")).drop("_m")
     sup = views.table(spark, sf, "supplier")
     d = lambda s: F.lit(s).cast("date")
     spans = F.array(F.struct(d("1994-01-01").alias("namedt"), d("1998-03-15").alias("nameendt"), F.lit("").alias("sfx")),
@@ -403,7 +403,7 @@ def dedup_latest(spark, sf):
 
 
 @query("delisting_adjusted_return", f"""
-    SELECT permno, CAST(date AS VARCHAR) AS date, ticker, {R('coalesce((1.0 + ret) * (1.0 + dlret) - 1.0, dlret, ret)')} AS ret_adj, {R('abs(prc) * shrout', 6)} AS mktcap FROM master""")
+    SELECT permno, CAST(date AS VARCHAR) AS date, ticker, {R('coalesce((1.0 + ret) * (1.0 + dlret) - 1.0, dlret, ret)')} AS ret_adj, {R('abs(prc) * shrout', 3)} AS mktcap FROM master""")
 def delisting_adjusted_return(spark, sf):
     out = tr.delisting_adjusted_return(master(spark, sf))
-    return _dates(out).select("permno", "date", "ticker", sh.r6("ret_adj").alias("ret_adj"), sh.r6("mktcap", 6).alias("mktcap"))
+    return _dates(out).select("permno", "date", "ticker", sh.r6("ret_adj").alias("ret_adj"), sh.r6("mktcap", 3).alias("mktcap"))

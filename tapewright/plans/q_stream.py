@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tapewright.plans import views
-from tapewright.plans.q_bars import tidy
+from tapewright.plans.q_bars import BARS_OUT, tidy
 from tapewright.plans.registry import query
 from tapewright.session import shared_dir
 from tapewright.streaming import bars as sb
@@ -26,7 +26,7 @@ def tick_stream(spark, sf):
     return raw.select(c("event_type").alias("symbol"), "ts", c("value").alias("price"), c("event_id").alias("id"))
 
 
-@query("stream_bars")
+@query("stream_bars", f"SELECT {BARS_OUT} FROM bars WHERE ts <= (SELECT max(ts) FROM bars) - 1800")
 def stream_bars(spark, sf):
     """Half-hour bars that the watermark has closed."""
     out = _place(spark, "bars")
