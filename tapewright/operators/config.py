@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class ModelConfig:
+    # Fixed values throughout.
     # timeframes, minutes
     rb_timeframes: tuple[int, ...] = (5, 15)
     base_timeframe: int = 1
@@ -19,7 +20,7 @@ class ModelConfig:
     min_grade_to_track: str = "A"
     min_grade_to_signal: str = "A"
     max_signals_per_session: int = 6
-    bias_cisd_lookback: int = 6
+    bias_state_lookback: int = 6
     require_bias: bool = True
     bias_expires: bool = True
     bias_max_age_bars: int = 24
@@ -91,11 +92,11 @@ class ModelConfig:
     w_dol_reversal: float = 14.0
     sigma_levels: tuple[float, ...] = (2.0, 2.5, 4.0)
     # trigger
-    use_cisd_trigger: bool = True
-    cisd_lookback: int = 4
-    cisd_min_run: int = 2
-    cisd_mode: str = "pine"
-    cisd_first_close: bool = True
+    use_state_trigger: bool = True
+    state_lookback: int = 4
+    state_min_run: int = 2
+    state_mode: str = "original"
+    state_first_close: bool = True
     armed_mode: str = "touch_window"
     # weights
     w_sweep: float = 16.0
@@ -131,7 +132,7 @@ class ModelConfig:
 # The settings that bring back the original's known defects.
 LEGACY_CHANGES = dict(
     gate_intrinsic_any_sweep=True, free_sweep_credit=True, prev_period_lag=2, bias_expires=False,
-    unify_atr_timeframe=False, smt_max_age_bars=10_000, cisd_first_close=False, armed_mode="pine",
+    unify_atr_timeframe=False, smt_max_age_bars=10_000, state_first_close=False, armed_mode="original",
     use_volume=False, use_vwap=False, use_gamma=False, w_tf_agreement=0.0, lull_penalty=0.0,
     skip_first_minutes=0, traded_window="0000-0000", base_timeframe=0,
 )
@@ -141,7 +142,7 @@ SIX_FIXES = dict(
     gate_intrinsic_any_sweep=False, free_sweep_credit=False, prev_period_lag=1, bias_expires=True,
     unify_atr_timeframe=True, smt_max_age_bars=12,
 )
-TRIGGER_FIXES = dict(cisd_first_close=True, armed_mode="touch_window")
+TRIGGER_FIXES = dict(state_first_close=True, armed_mode="touch_window")
 
 # Single-setting changes measured against the base build.
 ABLATIONS = {
@@ -157,12 +158,12 @@ ABLATIONS = {
     "no_strong_close": {"require_strong_close": False},
     "no_min_sweep": {"require_min_sweep": False},
     "body_030": {"min_body_fraction": 0.30},
-    "no_cisd_trigger": {"use_cisd_trigger": False},
+    "no_state_trigger": {"use_state_trigger": False},
     "no_anti_stack": {"anti_stack": False},
     "swing_5": {"swing_lookback": 5},
     "add_1m_blocks": {"base_timeframe": 1},
     "quota_12": {"max_signals_per_session": 12},
-    "cisd_swing_anchored": {"cisd_mode": "swing_anchored"},
+    "state_swing_anchored": {"state_mode": "swing_anchored"},
     "wide": {"base_timeframe": 1, "require_min_sweep": False, "min_body_fraction": 0.30},
     "wide_open": {"base_timeframe": 1, "require_min_sweep": False, "min_body_fraction": 0.30,
                   "dol_mode": "Tag only (no gate)", "require_bias": False, "use_stack_gate": False},

@@ -61,23 +61,23 @@ def run_holds_extreme(df: DataFrame, look: int, bull: bool, prefix: str = "run",
 def change_of_state(df: DataFrame, bull: bool, look: int, cfg: ModelConfig, name: str = "fired") -> DataFrame:
     """Close through the open at which the opposing run began."""
     out = opposing_run(df, look, bull, "_r")
-    if cfg.cisd_mode == "swing_anchored":
+    if cfg.state_mode == "swing_anchored":
         out = run_holds_extreme(out, look, bull, "_r", "_ext")
     else:
         out = out.withColumn("_ext", F.lit(True))
     out = over_history(out, 1, lambda d, w: d.withColumn("_prev", F.lag("close").over(w)))
     level = c("_r_level")
     crossed = c("close") > level if bull else c("close") < level
-    if cfg.cisd_first_close:
+    if cfg.state_first_close:
         other_side = c("_prev") <= level if bull else c("_prev") >= level
         crossed = crossed & F.when(c("_prev").isNull(), True).otherwise(other_side)
-    fired = (c("_r_len") >= cfg.cisd_min_run) & c("_ext") & crossed
+    fired = (c("_r_len") >= cfg.state_min_run) & c("_ext") & crossed
     return out.withColumn(name, sh.truthy(fired)).drop("_r_level", "_r_len", "_r_start", "_ext", "_prev")
 
 
 def change_direction(df: DataFrame, cfg: ModelConfig, look: int | None = None, name: str = "direction") -> DataFrame:
     """+1, -1 or 0 for the change of state on this bar; bull is tested first."""
-    look = look or cfg.bias_cisd_lookback
+    look = look or cfg.bias_state_lookback
     out = change_of_state(change_of_state(df, True, look, cfg, "_up"), False, look, cfg, "_down")
     return out.withColumn(name, F.when(c("_up"), 1).when(c("_down"), -1).otherwise(0)).drop("_up", "_down")
 
@@ -97,14 +97,14 @@ def rejection_block(df: DataFrame, cfg: ModelConfig) -> DataFrame:
     Real body, a sweep of the prior extreme by a share of ATR, a wick on the
     swept side and a strong close away from it.
     """
-    out = opposing_run(opposing_run(df, cfg.cisd_lookback, True, "_dn"), cfg.cisd_lookback, False, "_up")
+    out = opposing_run(opposing_run(df, cfg.state_lookback, True, "_dn"), cfg.state_lookback, False, "_up")
 
     def add(part, w):
         frame = back(w, cfg.swing_lookback, 1)
         return part.withColumns({"_pl": F.min("low").over(frame), "_ph": F.max("high").over(frame)})
 
     out = over_history(out, cfg.swing_lookback, add)
-    need = max(cfg.swing_lookback, cfg.cisd_lookback) + 1
+    need = max(cfg.swing_lookback, cfg.state_lookback) + 1
     depth = c("atr") * cfg.sweep_atr_mult if cfg.require_min_sweep else F.lit(0.0)
     body = (c("idx") >= need) & c("atr").isNotNull() & (sh.bar_range() > 0) & (sh.body_fraction() >= cfg.min_body_fraction)
     strong_up = sh.close_position() >= cfg.strong_close_pct

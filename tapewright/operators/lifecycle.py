@@ -1,4 +1,4 @@
-"""Blocks through their life, and the signal pipeline around it.
+"""Blocks through their life, and the signals around it.
 
 Everything that does not depend on other live blocks is a column: contexts,
 candidates with their gates and points before the walk, and regrading, gates
@@ -155,11 +155,11 @@ class Walk:
                         b.was_armed = True
                         say("armed", z, b)
             if b.armed and not b.tapped:
-                fired = (bar.fired_bull if up else bar.fired_bear) if cfg.use_cisd_trigger else True
+                fired = (bar.fired_bull if up else bar.fired_bear) if cfg.use_state_trigger else True
                 if fired:
                     b.tapped = True
                     say("triggered", z, b, agreement=self.agreement(z, bar.atr))
-                elif outside if cfg.armed_mode == "pine" else bar.idx - b.touched > cfg.cisd_lookback:
+                elif outside if cfg.armed_mode == "original" else bar.idx - b.touched > cfg.state_lookback:
                     b.armed = False
 
     def step(self, bar, emit) -> None:
@@ -235,8 +235,8 @@ def base_context(bars: DataFrame, cfg: ModelConfig, peer: DataFrame | None = Non
         df = df.withColumns({n: F.lit(False) for n in ("smt_bull_ok", "smt_bear_ok", "peer_available")})
     df = cut_lineage(lv.with_liquidity(cut_lineage(df), cfg))
     df = lv.draw_targets(lv.manipulation_latch(lv.rolling_sweep(df, cfg), cfg), cfg)
-    df = dt.change_of_state(df, True, cfg.cisd_lookback, cfg, "fired_bull")
-    df = cut_lineage(dt.change_of_state(df, False, cfg.cisd_lookback, cfg, "fired_bear"))
+    df = dt.change_of_state(df, True, cfg.state_lookback, cfg, "fired_bull")
+    df = cut_lineage(dt.change_of_state(df, False, cfg.state_lookback, cfg, "fired_bear"))
     wide = cut_lineage(order.with_index(ob.resample_bars(bars, cfg.bias_timeframe)))
     state = cut_lineage(dt.bias_state(wide, cfg).select("symbol", "ts", "idx", F.struct("bias").alias("_b")))
     df = lv.closed_htf_asof(df, state, cfg.bias_timeframe, "_b", CLOSED_SPAN).withColumn("bias", c("_b.bias")).drop("_b")
@@ -337,7 +337,7 @@ def judge_triggers(events: DataFrame, ctx: DataFrame, cfg: ModelConfig, calendar
     return failed.unionByName(sc.session_quota(best, keys, cfg.max_signals_per_session))
 
 
-def signal_pipeline(bars: DataFrame, cfg: ModelConfig, chart_tf: int, peer: DataFrame | None = None,
+def model_signals(bars: DataFrame, cfg: ModelConfig, chart_tf: int, peer: DataFrame | None = None,
                     calendar: DataFrame | None = None, config: str = "base") -> tuple[DataFrame, DataFrame]:
     """Bars to (event log, judged triggers) under one configuration."""
     ctx, cands = build_context(bars, cfg, chart_tf, peer)
@@ -351,7 +351,7 @@ AFTER_CONTEXT = (
     "min_grade_to_track", "min_grade_to_signal", "max_signals_per_session", "require_bias", "pd_strong", "allow_b_grade_deep_pd",
     "require_displacement", "disp_atr_mult", "disp_window_bars", "anti_stack", "htf_blocks_skip_displacement", "unify_atr_timeframe",
     "max_leg_bars", "max_live_blocks", "invalidation_buffer", "smt_required", "use_stack_gate", "min_stack", "dol_mode", "sigma_levels",
-    "use_cisd_trigger", "armed_mode", "w_tf_agreement", "traded_window", "skip_first_minutes", "event_block_before_min", "event_block_after_min",
+    "use_state_trigger", "armed_mode", "w_tf_agreement", "traded_window", "skip_first_minutes", "event_block_before_min", "event_block_after_min",
 )
 
 

@@ -1,4 +1,4 @@
-"""Queries: grades, gates, targets, block life and the signal pipeline."""
+"""Queries: grades, gates, targets, block life and model signals."""
 
 from __future__ import annotations
 
@@ -270,8 +270,8 @@ def tf_agreement(spark, sf):
     return walked(spark, sf).filter("stage = 'triggered'").select("symbol", "ts", "block_seq", "timeframe", "agreement")
 
 
-@query("signal_pipeline")
-def signal_pipeline(spark, sf):
+@query("model_signals")
+def model_signals(spark, sf):
     out = judged(spark, sf)
     return tidy(out.select("symbol", "ts", "timeframe", "bull", "entry", "stop", "grade", "score", "stack", "setup", "agreement",
                            F.size("targets").alias("n_targets"), "rejection"))
@@ -296,8 +296,8 @@ def top_rejections(spark, sf):
     return tidy(tr.top_rejections(log, ["symbol"]))
 
 
-@query("pipeline_trades")
-def pipeline_trades(spark, sf):
+@query("model_trades")
+def model_trades(spark, sf):
     """Accepted signals resolved, net of cost."""
     paths = rs.session_paths(views.bar_table(spark, sf))
     out = rs.backtest_trades(lc.as_signals(judged(spark, sf)), paths)

@@ -96,7 +96,7 @@ def plain_loop(rows, cfg):
             if b["armed"] and not b["tap"] and (fb if s > 0 else fs):
                 b["tap"] = True
                 log.append((i, "triggered", b["seq"]))
-            if b["armed"] and not b["tap"] and i - b["touch"] > cfg.cisd_lookback:
+            if b["armed"] and not b["tap"] and i - b["touch"] > cfg.state_lookback:
                 b["armed"] = False
     return log
 
