@@ -303,10 +303,10 @@ part("vw", """
           WINDOW w AS (PARTITION BY symbol, session ORDER BY ts))""")
 
 
-@query("session_vwap", f"SELECT symbol, ts, {R('vwap', 7)} AS vwap, {R('vwap_sd', 4)} AS vwap_sd FROM vw")
+@query("session_vwap", f"SELECT symbol, ts, {R('vwap', 9)} AS vwap, {R('vwap_sd', 4)} AS vwap_sd FROM vw")
 def session_vwap(spark, sf):
     out = ind.session_vwap(views.bars30(spark, sf))
-    return out.select("symbol", "ts", sh.r6("vwap", 7).alias("vwap"), sh.r6("vwap_sd", 4).alias("vwap_sd"))
+    return out.select("symbol", "ts", sh.r6("vwap", 9).alias("vwap"), sh.r6("vwap_sd", 4).alias("vwap_sd"))
 
 
 part("rv", """
