@@ -85,9 +85,9 @@ f AS (
          max(upto) OVER (PARTITION BY source, bucket) AS bucket_end, min(upto - size) OVER (PARTITION BY source, bucket) AS bucket_start FROM r),
 g AS (
   SELECT *, "left" - base AS rest, bucket_start < "left" AND bucket_end > "left" AND upto > "left" AND p > 0 AS open,
-         CASE WHEN size > 0 THEN least(1, floor(("left" - base) / size + 0.5::DOUBLE)) ELSE 0 END AS some FROM f),
+         CASE WHEN size > 0 THEN least(1, floor(("left" - base) / size + 0.5::DOUBLE)) ELSE 0 END AS part FROM f),
 h AS (
-  SELECT *, CASE WHEN open AND some > 0 THEN abs(rest - size) END AS miss FROM g),
+  SELECT *, CASE WHEN open AND part > 0 THEN abs(rest - size) END AS miss FROM g),
 i AS (
   SELECT *, row_number() OVER (PARTITION BY source, open ORDER BY miss NULLS LAST, u, doc_id) AS place FROM h)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
