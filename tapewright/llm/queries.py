@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import decontaminate, jaccard_join, lang_id, mixing, token_store
+from tapewright.llm import decontaminate, fingerprints, jaccard_join, lang_id, license_scan, line_templates, lm_score, mixing, substring_dedup, token_store
 from tapewright.llm.common import ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_substring_dedup")
+def repeated_spans(spark, sf):
+    return substring_dedup.dedup(table(spark, sf, "documents"))
+
+
 @query("op2_language_id")
 def language_id(spark, sf):
     return lang_id.identify(table(spark, sf, "documents"))
@@ -50,6 +55,16 @@ def ngram_join(spark, sf):
     return jaccard_join.join(table(spark, sf, "documents")).select(F.col(ID).alias("doc_id"), "class_id", "copies", "n_links")
 
 
+@query("op5_line_templates")
+def template_lines(spark, sf):
+    return line_templates.dedup(table(spark, sf, "documents"))
+
+
+@query("op6_lm_score")
+def language_model(spark, sf):
+    return lm_score.score(table(spark, sf, "documents"))
+
+
 @query("op7_token_store")
 def token_file(spark, sf):
     return token_store.round_trip(table(spark, sf, "documents"), vocabulary())
@@ -100,3 +115,13 @@ FROM i
 def mixture(spark, sf):
     rows = mixing.per_row(mixing.mixed(table(spark, sf, "documents")))
     return rows.withColumn("target", F.round("target", 6))
+
+
+@query("op9_license_scan")
+def licenses(spark, sf):
+    return license_scan.scan(table(spark, sf, "documents"), license_scan.templates(spark))
+
+
+@query("op10_fingerprints")
+def prints(spark, sf):
+    return fingerprints.compare(table(spark, sf, "documents"))
