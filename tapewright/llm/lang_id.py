@@ -9,6 +9,7 @@ prototype has the largest cosine with it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ from tapewright.llm.common import held_out, slices
 
 DIM, GRAM, SEED = 1024, 3, 20
 UNKNOWN = "und"
+#: Stands for a space that must be kept at a piece's start; not a character of texts.
+SPACE = "\U0010ffff"
 #: Prototypes compared in one pass over the texts; more languages take more passes.
 LANGS_PER_PASS = 1024
 
@@ -48,11 +51,13 @@ def gram_counts(texts: list[str], owner: np.ndarray, n_owners: int) -> tuple[np.
     letter = _letters()[code]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    keep |= code == ord(SPACE)
+    ends = np.cumsum([len(t) + 1 for t in low])
+    keep[ends[:-1] - 1] = False  # what joins the texts is in none of them
     at = np.flatnonzero(keep)
     symbol = np.where(letter[at], code[at], 32)
     if len(symbol) < GRAM:
         return np.zeros((n_owners, 0), np.float32), np.zeros((0, DIM), np.float32)
-    ends = np.cumsum([len(t) + 1 for t in low])
     text_of = np.repeat(np.arange(len(low)), np.diff(np.searchsorted(at, ends, "left"), prepend=0))
     seen = np.zeros(0x110000, bool)
     seen[symbol] = True
@@ -83,13 +88,20 @@ def gram_counts(texts: list[str], owner: np.ndarray, n_owners: int) -> tuple[np.
 
 
 def _pieces(texts: list[str], size: int = 1 << 20) -> list[tuple[int, str]]:
-    """(index, piece); pieces of a long text overlap by the width of an n-gram less one."""
+    """(index, piece); each piece of a long text starts with the last symbols before it."""
     out = []
     for i, t in enumerate(texts):
         if len(t) <= size:
             out.append((i, t))
-        else:
-            out += [(i, t[max(0, a - GRAM + 1) : a + size]) for a in range(0, len(t), size)]
+            continue
+        tail = ""
+        for a in range(0, len(t), size):
+            piece = tail + t[a : a + size]
+            out.append((i, piece))
+            symbols = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in piece.lower()))
+            tail = symbols[-(GRAM - 1) :].replace(" ", SPACE)
+            if len(symbols) < GRAM and not tail.strip(SPACE):
+                tail = ""
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import ID, TH, identified, slices, stored
 
-LEAD, MIN_DOCS, MIN_WORDS, CONSTANT, WILD = 3, 3, 3, 0.5, "<*>"
+LEAD, MIN_DOCS, MIN_WORDS, CONSTANT, WILD = 2, 3, 3, 0.5, "<*>"
 _VARIABLE = re.compile(r"\S*\d\S*")
 
 
