@@ -61,7 +61,6 @@ class ModelConfig:
     strong_close_pct: float = 0.45
     atr_length: int = 14
     max_leg_bars: int = 60
-    max_live_blocks: int = 50
     invalidation_buffer: float = 0.0
     # gaps
     fvg_min_points: float = 0.5
@@ -129,47 +128,6 @@ class ModelConfig:
     event_block_after_min: int = 15
 
 
-# The settings that bring back the original's known defects.
-LEGACY_CHANGES = dict(
-    gate_intrinsic_any_sweep=True, free_sweep_credit=True, prev_period_lag=2, bias_expires=False,
-    unify_atr_timeframe=False, smt_max_age_bars=10_000, state_first_close=False, armed_mode="original",
-    use_volume=False, use_vwap=False, use_gamma=False, w_tf_agreement=0.0, lull_penalty=0.0,
-    skip_first_minutes=0, traded_window="0000-0000", base_timeframe=0,
-)
-
-# The fixes the later builds switch on again.
-SIX_FIXES = dict(
-    gate_intrinsic_any_sweep=False, free_sweep_credit=False, prev_period_lag=1, bias_expires=True,
-    unify_atr_timeframe=True, smt_max_age_bars=12,
-)
-TRIGGER_FIXES = dict(state_first_close=True, armed_mode="touch_window")
-
-# Single-setting changes measured against the base build.
-ABLATIONS = {
-    "base": {},
-    "track_B": {"min_grade_to_track": "B"},
-    "track_C": {"min_grade_to_track": "C"},
-    "signal_B": {"min_grade_to_signal": "B"},
-    "anchor_any_sweep": {"gate_intrinsic_any_sweep": True},
-    "no_bias_req": {"require_bias": False},
-    "no_stack_gate": {"use_stack_gate": False},
-    "stack_2": {"min_stack": 2},
-    "dol_tag_only": {"dol_mode": "Tag only (no gate)"},
-    "no_strong_close": {"require_strong_close": False},
-    "no_min_sweep": {"require_min_sweep": False},
-    "body_030": {"min_body_fraction": 0.30},
-    "no_state_trigger": {"use_state_trigger": False},
-    "no_anti_stack": {"anti_stack": False},
-    "swing_5": {"swing_lookback": 5},
-    "add_1m_blocks": {"base_timeframe": 1},
-    "quota_12": {"max_signals_per_session": 12},
-    "state_swing_anchored": {"state_mode": "swing_anchored"},
-    "wide": {"base_timeframe": 1, "require_min_sweep": False, "min_body_fraction": 0.30},
-    "wide_open": {"base_timeframe": 1, "require_min_sweep": False, "min_body_fraction": 0.30,
-                  "dol_mode": "Tag only (no gate)", "require_bias": False, "use_stack_gate": False},
-    "sweep_1m": {"base_timeframe": 1, "require_min_sweep": False},
-}
-
 # Grade thresholds, best first, and their ranks.
 GRADES = (("A+", 80.0, 4), ("A", 66.0, 3), ("B", 52.0, 2))
 LOWEST_GRADE = ("C", 1)

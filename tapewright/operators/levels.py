@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapewright.functions import shape as sh
 from tapewright.functions import timecols as tc
@@ -16,6 +15,7 @@ from tapewright.operators import indicators as ind
 from tapewright.operators.config import ModelConfig
 from tapewright.operators.order import (
     CHUNK, asof_join, back, carry_last, over_history, session_so_far, session_w)
+from tapewright.operators.search import attach_alive, first_hit, search_index
 
 c = F.col
 
@@ -219,108 +219,38 @@ def gap_detect(df: DataFrame, min_points: float) -> DataFrame:
         "symbol", "session", c("session_no").alias("born_session"), "born_idx", "ts", top.alias("top"), bottom.alias("bottom"))
 
 
-def _first_hit(zones: DataFrame, bars: DataFrame, summary: DataFrame, by_session: Column, by_bar: Column,
-               name: str) -> DataFrame:
-    """Add the index of the first bar at or after birth that meets a condition.
-
-    The birth session is searched bar by bar; later sessions are first judged
-    by their summary row and only the first fitting one is opened.
-    """
-    key = ["symbol", "zone_id"]
-    later = zones.join(summary, "symbol").filter((c("s_no") > c("born_session")) & by_session)
-    first = later.groupBy(*key).agg(F.min("s_no").alias("_s"))
-    own = zones.select(*key, c("born_session").alias("_s"))
-    spots = zones.join(first.unionByName(own), key)
-    rows = bars.select("symbol", c("session_no").alias("_s"), "idx", "high", "low", "close", "atr")
-    hit = spots.join(rows, ["symbol", "_s"]).filter((c("idx") >= c("born_idx")) & by_bar)
-    found = hit.groupBy(*key).agg(F.min("idx").alias(name))
-    return zones.join(found, key, "left")
-
-
-def _session_summary(bars: DataFrame, far: float) -> DataFrame:
-    """Extremes of each session over bars with a known ATR."""
-    reach = c("atr") * far
-    return bars.filter(c("atr").isNotNull()).groupBy("symbol", c("session_no").alias("s_no")).agg(
-        F.min("close").alias("s_min"), F.max("close").alias("s_max"), F.max("high").alias("s_high"), F.min("low").alias("s_low"),
-        F.max(c("close") - reach).alias("s_above"), F.min(c("close") + reach).alias("s_below"))
-
-
-def _fifo_cap(zones: DataFrame, cap: int, after_death: bool) -> DataFrame:
-    """Add evicted_idx: where a newer zone pushes this one out of the store.
-
-    Zones are rare (at most one per higher-timeframe bar), and the pass over
-    them keeps no more than `cap` in hand.
-    """
-    schema = T.StructType([*zones.schema.fields, T.StructField("evicted_idx", T.LongType())])
-
-    def run(frame):
-        frame = frame.sort_values(["counted_idx", "zone_id"]).reset_index(drop=True)
-        live, out = [], [None] * len(frame)
-        dead = frame["natural_idx"].fillna(float("inf")).to_numpy()
-        born = frame["counted_idx"].to_numpy()
-        for i in range(len(frame)):
-            live = [j for j in live if (dead[j] > born[i] if after_death else dead[j] >= born[i])]
-            if not after_death or dead[i] > born[i]:
-                live.append(i)
-            while len(live) > cap:
-                out[live.pop(0)] = int(born[i])
-        frame["evicted_idx"] = out
-        frame["evicted_idx"] = frame["evicted_idx"].astype("Int64")
-        return frame
-
-    return zones.groupBy("symbol").applyInPandas(run, schema)
-
-
-def zone_lifetime(zones: DataFrame, bars: DataFrame, cfg: ModelConfig, cap: int = 40) -> DataFrame:
-    """Fair value gaps with [born_idx, dead_idx): filled, stale or pushed out.
+def zone_lifetime(zones: DataFrame, bars: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """Fair value gaps with [born_idx, dead_idx): closed through, or further from the price than the stale distance.
 
     zones: symbol, zone_id, direction, top, bottom, ob_top, ob_bottom,
-    born_idx, born_session. dead_idx is NULL for a zone still alive.
+    born_idx, born_session. dead_idx and dead_session are NULL for a zone still
+    alive. Zones live side by side without limit.
     """
     ob = cfg.include_order_block
     lo = F.least("bottom", "ob_bottom") if ob else c("bottom")
     hi = F.greatest("top", "ob_top") if ob else c("top")
-    shaped = zones.withColumns({"_lo": lo, "_hi": hi, "_mid": (c("top") + c("bottom")) / 2.0})
-    far = cfg.fvg_stale_atr
-    by_session = (F.when(c("direction") > 0, c("s_min") < c("_lo")).otherwise(c("s_max") > c("_hi"))
-                  | (c("s_above") > c("_mid")) | (c("s_below") < c("_mid")))
-    by_bar = c("atr").isNotNull() & (
-        F.when(c("direction") > 0, c("close") < c("_lo")).otherwise(c("close") > c("_hi"))
-        | (c("close") - c("atr") * far > c("_mid")) | (c("close") + c("atr") * far < c("_mid")))
-    found = _first_hit(shaped, bars, _session_summary(bars, far), by_session, by_bar, "natural_idx")
-    capped = _fifo_cap(found.withColumn("counted_idx", c("born_idx")), cap, after_death=False)
-    return capped.withColumn("dead_idx", F.least("natural_idx", "evicted_idx")).drop(
-        "_lo", "_hi", "_mid", "counted_idx", "natural_idx", "evicted_idx")
-
-
-def gap_lifetime(gaps: DataFrame, bars: DataFrame, cfg: ModelConfig, cap: int = 4) -> DataFrame:
-    """Opening gaps with [born_idx, dead_idx): both edges touched, stale, or older than the last four."""
-    zones = gaps.withColumns({"zone_id": c("born_idx"), "_mid": (c("top") + c("bottom")) / 2.0})
-    far = cfg.gap_stale_atr
-    known = c("atr").isNotNull()
-    summary = _session_summary(bars, far)
-    out = _first_hit(zones, bars, summary, c("s_high") >= c("top"), known & (c("high") >= c("top")), "_top_idx")
-    out = _first_hit(out, bars, summary, c("s_low") <= c("bottom"), known & (c("low") <= c("bottom")), "_bottom_idx")
-    out = _first_hit(out, bars, summary, (c("s_above") > c("_mid")) | (c("s_below") < c("_mid")),
-                     known & ((c("close") - c("atr") * far > c("_mid")) | (c("close") + c("atr") * far < c("_mid"))), "_stale_idx")
-    both = F.when(c("_top_idx").isNotNull() & c("_bottom_idx").isNotNull(), F.greatest("_top_idx", "_bottom_idx"))
-    out = out.withColumns({
-        "natural_idx": F.least(both, c("_stale_idx")),
-        "counted_idx": F.greatest(c("born_idx"), F.lit(cfg.atr_length - 1).cast("long"))})
-    capped = _fifo_cap(out, cap, after_death=True)
-    return capped.withColumn("dead_idx", F.least("natural_idx", "evicted_idx")).drop(
-        "_mid", "_top_idx", "_bottom_idx", "_stale_idx", "counted_idx", "natural_idx", "evicted_idx")
+    mid = (c("top") + c("bottom")) / 2.0
+    levels = {"close_under": F.when(c("direction") > 0, lo), "close_over": F.when(c("direction") < 0, hi), "far_over": mid, "far_under": mid}
+    out = first_hit(zones, search_index(bars, cfg.fvg_stale_atr), levels, "born_idx", "born_session", "dead_idx")
+    return out.withColumnRenamed("dead_idx_session", "dead_session")
 
 
-def zones_by_session(zones: DataFrame, bars: DataFrame) -> DataFrame:
-    """Array of zones touching each session; the caps bound its length."""
-    ends = bars.groupBy("symbol").agg(F.max("session_no").alias("_last"))
-    died = bars.select("symbol", c("idx").alias("dead_idx"), c("session_no").alias("_dead_session"))
-    placed = zones.join(died, ["symbol", "dead_idx"], "left")
-    placed = placed.join(ends, "symbol").withColumn(
-        "session_no", F.explode(F.sequence("born_session", F.coalesce("_dead_session", "_last"))))
-    keep = [n for n in ("direction", "top", "bottom", "ob_top", "ob_bottom", "born_idx", "dead_idx") if n in placed.columns]
-    return placed.groupBy("symbol", "session_no").agg(F.collect_list(F.struct(*keep)).alias("zones"))
+def gap_lifetime(gaps: DataFrame, bars: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """Opening gaps with [born_idx, dead_idx): both edges touched, or stale.
+
+    The three searches of a gap are three rows of one search.
+    """
+    mid = (c("top") + c("bottom")) / 2.0
+    kinds = gaps.withColumn("_kind", F.explode(F.array(F.lit("top"), F.lit("bottom"), F.lit("stale"))))
+    only = lambda kind, level: F.when(c("_kind") == kind, level)
+    levels = {"high_to": only("top", c("top")), "low_to": only("bottom", c("bottom")), "far_over": only("stale", mid), "far_under": only("stale", mid)}
+    found = first_hit(kinds, search_index(bars, cfg.gap_stale_atr), levels, "born_idx", "born_session", "_at")
+    of = lambda kind: F.max(F.when(c("_kind") == kind, F.struct(c("_at").alias("idx"), c("_at_session").alias("session"))))
+    both = found.groupBy(*gaps.columns).agg(of("top").alias("_t"), of("bottom").alias("_b"), of("stale").alias("_s"))
+    hit = lambda n: F.when(c(f"{n}.idx").isNotNull(), c(n))
+    touched = F.when(c("_t.idx").isNotNull() & c("_b.idx").isNotNull(), F.greatest("_t", "_b"))
+    dead = both.withColumn("_d", F.least(touched, hit("_s")))
+    return dead.select(*gaps.columns, c("_d.idx").alias("dead_idx"), c("_d.session").alias("dead_session"))
 
 
 def zone_hit(zones: Column, price: Column, want: Column | None, include_ob: bool) -> Column:
@@ -338,8 +268,7 @@ def zone_hit(zones: Column, price: Column, want: Column | None, include_ob: bool
 
 def active_zone_contains(rows: DataFrame, zones: DataFrame, bars: DataFrame, price: Column, want: Column | None,
                          name: str, include_ob: bool = True) -> DataFrame:
-    held = zones_by_session(zones, bars)
-    out = rows.join(held, ["symbol", "session_no"], "left")
+    out = attach_alive(rows, zones, bars, "zones")
     return out.withColumn(name, zone_hit(c("zones"), price, want, include_ob)).drop("zones")
 
 

@@ -1,220 +1,31 @@
-"""Blocks through their life, and the signals around it.
+"""Blocks on their bars' context, and the stages of each block's own life.
 
-Everything that does not depend on other live blocks is a column: contexts,
-candidates with their gates and points before the walk, and regrading, gates
-and quotas after it. The walk itself keeps at most `max_live_blocks` blocks
-per (symbol, config) and streams over sorted bars, so its memory does not grow
-with the history; symbols and configs run in parallel.
+All of it is columns: contexts, candidates with their gates and points, and
+for each block the first bar of every stage, found by session searches. No
+block's life depends on another block.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tapewright.functions import shape as sh
 from tapewright.functions import timecols as tc
 from tapewright.operators import bars as ob
-from tapewright.operators import calendar as cal
 from tapewright.operators import detect as dt
 from tapewright.operators import indicators as ind
 from tapewright.operators import levels as lv
 from tapewright.operators import order
 from tapewright.operators import score as sc
-from tapewright.operators.config import GRADE_RANK, GRADES, ModelConfig
+from tapewright.operators.config import ModelConfig
+from tapewright.operators.search import attach_alive, first_hit, search_index
 from tapewright.session import cut_lineage
 
 c = F.col
 CLOSED_SPAN = 86_400 * 4
 
-EVENT_SCHEMA = T.StructType([
-    T.StructField("config", T.StringType()), T.StructField("symbol", T.StringType()), T.StructField("idx", T.LongType()),
-    T.StructField("ts", T.LongType()), T.StructField("stage", T.StringType()), T.StructField("reason", T.StringType()),
-    T.StructField("block_seq", T.LongType()), T.StructField("timeframe", T.LongType()), T.StructField("bull", T.BooleanType()),
-    T.StructField("top", T.DoubleType()), T.StructField("bottom", T.DoubleType()), T.StructField("ce", T.DoubleType()),
-    T.StructField("ext", T.DoubleType()), T.StructField("disp_extreme", T.DoubleType()), T.StructField("agreement", T.LongType()),
-    T.StructField("strong_close", T.BooleanType()), T.StructField("large_range", T.BooleanType()), T.StructField("amdx", T.BooleanType()),
-])
-
-
-@dataclass
-class Block:
-    """Mutable part of a live block; `row` is the candidate it came from."""
-
-    row: dict
-    seq: int
-    score: float
-    confirmed: bool
-    peak: float
-    disp: float
-    left: bool = False
-    armed: bool = False
-    was_armed: bool = False
-    touched: int = -1
-    tapped: bool = False
-    active: bool = True
-
-
-class Walk:
-    """State of one (symbol, config) while its bars stream by."""
-
-    def __init__(self, cfg: ModelConfig, chart_tf: int):
-        self.cfg, self.chart_tf = cfg, chart_tf
-        self.blocks: list[Block] = []
-        self.seq = 0
-        self.track = {g: lo for g, lo, _ in GRADES}.get(cfg.min_grade_to_track, float("-inf"))
-
-    def agreement(self, row: dict, atr: float) -> int:
-        near = {b.row["timeframe"] for b in self.blocks
-                if b.active and b.row["bull"] == row["bull"] and abs(b.row["ce"] - row["ce"]) <= atr}
-        return len(near | {row["timeframe"]})
-
-    def beaten(self, row: dict, score: float) -> bool:
-        """Does an overlapping incumbent win? Weaker incumbents die either way."""
-        lost, keep = False, []
-        for b in self.blocks:
-            z = b.row
-            rival = (b.active and z["timeframe"] == row["timeframe"] and z["bull"] == row["bull"]
-                     and min(row["top"], z["top"]) - max(row["bottom"], z["bottom"]) > 0)
-            if rival and b.score < score:
-                b.active = False
-                continue
-            lost = lost or rival
-            keep.append(b)
-        self.blocks = keep
-        return lost
-
-    def admit(self, row: dict, atr: float, say) -> None:
-        cfg = self.cfg
-        if row["gate"] is not None:
-            say("rejected", row, reason=row["gate"])
-            return
-        agree = self.agreement(row, atr)
-        extra = cfg.w_tf_agreement * min((agree - 1) / 2.0, 1.0) if agree > 1 else 0.0
-        score = max(0.0, min(row["points"] + extra, 100.0))
-        if score < self.track:
-            say("rejected", row, reason="below_track_grade")
-            return
-        if cfg.anti_stack and self.beaten(row, score):
-            say("rejected", row, reason="anti_stack")
-            return
-        skip = not cfg.require_displacement or (cfg.htf_blocks_skip_displacement and row["timeframe"] != self.chart_tf)
-        edge = row["top"] if row["bull"] else row["bottom"]
-        self.seq += 1
-        block = Block(row, self.seq, score, skip, row["ce"], edge)
-        self.blocks.append(block)
-        say("formed", row, block)
-        if skip:
-            say("confirmed", row, block)
-        if len(self.blocks) > cfg.max_live_blocks:
-            self.blocks.pop(0)
-
-    def advance(self, bar, say) -> None:
-        cfg = self.cfg
-        for b in self.blocks:
-            if not b.active:
-                continue
-            z, up = b.row, b.row["bull"]
-            tf, top, bottom = z["timeframe"], z["top"], z["bottom"]
-            age = max(0, (bar.ts - z["born_ts"]) // 60)
-            reach = bar.high if up else bar.low
-            further = max if up else min
-            if not b.confirmed:
-                b.peak = further(b.peak, reach)
-                own = bar.block_atrs.get(tf) if cfg.unify_atr_timeframe else None
-                moved = (b.peak - z["ce"]) if up else (z["ce"] - b.peak)
-                if moved >= (bar.atr if own is None else own) * cfg.disp_atr_mult:
-                    b.confirmed, b.disp = True, b.peak
-                    say("confirmed", z, b)
-                elif age > cfg.disp_window_bars * tf:
-                    b.active = False
-                continue
-            gone = bar.low < z["ext"] - cfg.invalidation_buffer if up else bar.high > z["ext"] + cfg.invalidation_buffer
-            if gone:
-                b.active = False
-                say("invalidated", z, b)
-                continue
-            if not b.tapped:
-                if age > cfg.max_leg_bars * tf:
-                    b.active = False
-                    continue
-                b.disp = further(b.disp, reach)
-            outside = bar.low > top if up else bar.high < bottom
-            if not b.left:
-                b.left = outside
-                continue
-            if bar.low <= top and bar.high >= bottom:
-                b.touched = bar.idx
-                if not b.armed:
-                    b.armed = True
-                    if not b.was_armed:
-                        b.was_armed = True
-                        say("armed", z, b)
-            if b.armed and not b.tapped:
-                fired = (bar.fired_bull if up else bar.fired_bear) if cfg.use_state_trigger else True
-                if fired:
-                    b.tapped = True
-                    say("triggered", z, b, agreement=self.agreement(z, bar.atr))
-                elif outside if cfg.armed_mode == "original" else bar.idx - b.touched > cfg.state_lookback:
-                    b.armed = False
-
-    def step(self, bar, emit) -> None:
-        def say(stage, row, block=None, reason=None, agreement=None):
-            emit((bar.config, bar.symbol, bar.idx, bar.ts, stage, reason, block.seq if block else None, row["timeframe"], row["bull"],
-                  row["top"], row["bottom"], row["ce"], row["ext"], block.disp if block else None, agreement,
-                  row["strong_close"], row["large_range"], row["amdx"]))
-
-        if bar.atr is None:
-            return
-        for row in bar.candidates:
-            self.admit(row, bar.atr, say)
-        self.advance(bar, say)
-
-
-class Bar:
-    """One base bar as the walk reads it."""
-
-    __slots__ = ("config", "symbol", "idx", "ts", "high", "low", "atr", "fired_bull", "fired_bear", "block_atrs", "candidates")
-
-    def __init__(self, r, tfs):
-        self.config, self.symbol, self.idx, self.ts = r.config, r.symbol, int(r.idx), int(r.ts)
-        self.high, self.low = r.high, r.low
-        self.atr = None if pd.isna(r.atr) else r.atr
-        self.fired_bull, self.fired_bear = bool(r.fired_bull), bool(r.fired_bear)
-        self.block_atrs = {tf: a for tf, a in zip(tfs, r.block_atrs) if a is not None and not pd.isna(a)}
-        self.candidates = list(r.candidates) if r.candidates is not None else []
-
-
-def block_lifecycle(steps: DataFrame, configs: dict[str, ModelConfig], tfs: dict[str, list[int]], chart_tf: int) -> DataFrame:
-    """Event log of every block: formed, confirmed, armed, triggered, ...
-
-    steps: config, symbol, idx, ts, high, low, atr, fired_bull, fired_bear,
-    block_atrs (by timeframe) and the candidates seen on the bar, in order.
-    """
-
-    def run(batches):
-        key, walk = None, None
-        for frame in batches:
-            out = []
-            for r in frame.itertuples(index=False):
-                if (r.symbol, r.config) != key:
-                    key, walk = (r.symbol, r.config), Walk(configs[r.config], chart_tf)
-                walk.step(Bar(r, tfs[r.config]), out.append)
-            if out:
-                log = pd.DataFrame(out, columns=[f.name for f in EVENT_SCHEMA.fields])
-                for name in ("block_seq", "agreement"):
-                    log[name] = log[name].astype("Int64")
-                yield log
-
-    ordered = steps.repartition("symbol", "config").sortWithinPartitions("symbol", "config", "idx")
-    return ordered.mapInPandas(run, EVENT_SCHEMA)
-
-
-# --- the columns around the walk --------------------------------------------------
 
 def timeframes(cfg: ModelConfig, chart_tf: int) -> list[int]:
     """Detection timeframes; the base one is never finer than the chart."""
@@ -250,13 +61,11 @@ def with_zones(ctx: DataFrame, bars: DataFrame, cfg: ModelConfig) -> DataFrame:
     fvgs = lv.fvg_detect(wide, cfg.fvg_min_points).withColumnRenamed("idx", "zone_id").drop("session", "ts").join(seen, ["symbol", "zone_id"])
     fvgs = cut_lineage(fvgs)
     zones = cut_lineage(lv.zone_lifetime(fvgs, ctx, cfg))
-    out = ctx.join(lv.zones_by_session(zones, ctx).withColumnRenamed("zones", "fvgs"), ["symbol", "session_no"], "left")
+    out = attach_alive(ctx, zones, ctx, "fvgs")
     if cfg.track_gaps:
         gaps = cut_lineage(lv.gap_lifetime(cut_lineage(lv.gap_detect(ctx, cfg.gap_min_points)), ctx, cfg))
-        out = out.join(lv.zones_by_session(gaps, ctx).withColumnRenamed("zones", "gaps"), ["symbol", "session_no"], "left")
-    else:
-        out = out.withColumn("gaps", F.lit(None).cast("array<struct<top:double,bottom:double,born_idx:bigint,dead_idx:bigint>>"))
-    return out
+        return attach_alive(out, gaps, ctx, "gaps")
+    return out.withColumn("gaps", F.lit(None).cast("array<struct<top:double,bottom:double,born_idx:bigint,dead_idx:bigint>>"))
 
 
 def situate(rows: DataFrame, cfg: ModelConfig) -> DataFrame:
@@ -297,62 +106,31 @@ def block_candidates(ctx: DataFrame, bars: DataFrame, cfg: ModelConfig, chart_tf
     return rows.withColumns({"gate": sc.anchor_gate(cfg), "points": sc.fixed_points(cfg, gamma)})
 
 
-def walk_steps(ctx: DataFrame, bars: DataFrame, candidates: DataFrame, cfg: ModelConfig, chart_tf: int, config: str) -> DataFrame:
-    """Base bars with the block ATRs and the candidates of each bar."""
-    out = ctx.select("symbol", "idx", "ts", "high", "low", "atr", "fired_bull", "fired_bear")
-    names = []
-    for tf in timeframes(cfg, chart_tf):
-        wide = ind.atr(order.with_index(bars if tf == chart_tf else ob.resample_bars(bars, tf)), cfg.atr_length)
-        wide = cut_lineage(wide.select("symbol", "ts", "idx", F.struct("atr").alias(f"_a{tf}")))
-        out = lv.closed_htf_asof(out, wide.select("symbol", "ts", "idx", f"_a{tf}"), tf, f"_a{tf}", CLOSED_SPAN)
-        names.append(f"_a{tf}")
-    row = F.struct("timeframe", "htf_idx", "born_ts", "bull", "top", "bottom", "ce", "ext", "strong_close", "large_range", "amdx", "gate", "points")
-    per_bar = candidates.groupBy("symbol", "idx").agg(F.sort_array(F.collect_list(row)).alias("candidates"))
-    out = out.withColumn("block_atrs", F.array(*[c(n)["atr"] for n in names])).drop(*names)
-    return out.join(per_bar, ["symbol", "idx"], "left").withColumn("config", F.lit(config))
+STAGES = ("formed", "confirmed", "left", "armed", "triggered")
 
 
-def judge_triggers(events: DataFrame, ctx: DataFrame, cfg: ModelConfig, calendar: DataFrame | None = None, gamma: Column | None = None) -> DataFrame:
-    """Triggers regraded on their bar, each with its rejection or none.
+def block_events(blocks: DataFrame, ctx: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """Add the bar of each stage of a block's own life, and of its end (all NULL if never).
 
-    Emission gates come first, then the best survivor of each bar, then the
-    blackout, window, noise and quota gates.
+    formed: the bar that saw it close. confirmed: price has moved
+    disp_atr_mult ATR of that bar away from ce. left: a bar wholly beyond the
+    zone, armed: a later bar that touches it again, triggered: a change of
+    state at or after that. gone: a bar after the first beyond ext and the
+    buffer. Stages from the end on don't count.
     """
-    fired = events.filter(c("stage") == "triggered").select(
-        "config", "symbol", "idx", "block_seq", "timeframe", "bull", "top", "bottom", "ce", "ext", "disp_extreme", "agreement",
-        "strong_close", "large_range", "amdx")
-    rows = situate(fired.join(ctx, ["symbol", "idx"]), cfg)
-    rows = sc.grade_score(rows, cfg, gamma)
-    stop = F.when(c("bull"), c("ext") - cfg.invalidation_buffer).otherwise(c("ext") + cfg.invalidation_buffer)
-    rows = rows.withColumns({"grade": sc.grade_of(c("score")), "stack": sc.stack_count(cfg), "entry": c("close"), "stop": stop})
-    rows = cut_lineage(rows.withColumn("targets", sc.build_targets(cfg)).withColumn("rejection", sc.emit_gates(cfg)))
-    keys = ["config", "symbol"]
-    failed = rows.filter(c("rejection").isNotNull())
-    best = sc.best_signal_per_bar(rows.filter(c("rejection").isNull()), keys)
-    if calendar is not None:
-        best = cal.event_blackout(best, calendar, cfg.event_block_before_min, cfg.event_block_after_min)
-    else:
-        best = best.withColumn("blocked_by", F.lit(None).cast("string"))
-    best = best.withColumn("rejection", sc.post_gates(cfg)).drop("blocked_by")
-    return failed.unionByName(sc.session_quota(best, keys, cfg.max_signals_per_session))
-
-
-def model_signals(bars: DataFrame, cfg: ModelConfig, chart_tf: int, peer: DataFrame | None = None,
-                    calendar: DataFrame | None = None, config: str = "base") -> tuple[DataFrame, DataFrame]:
-    """Bars to (event log, judged triggers) under one configuration."""
-    ctx, cands = build_context(bars, cfg, chart_tf, peer)
-    steps = walk_steps(ctx, bars, cands, cfg, chart_tf, config)
-    events = cut_lineage(block_lifecycle(steps, {config: cfg}, {config: timeframes(cfg, chart_tf)}, chart_tf))
-    return events, judge_triggers(events, ctx, cfg, calendar)
-
-
-# Settings the bar contexts and candidates do not read.
-AFTER_CONTEXT = (
-    "min_grade_to_track", "min_grade_to_signal", "max_signals_per_session", "require_bias", "pd_strong", "allow_b_grade_deep_pd",
-    "require_displacement", "disp_atr_mult", "disp_window_bars", "anti_stack", "htf_blocks_skip_displacement", "unify_atr_timeframe",
-    "max_leg_bars", "max_live_blocks", "invalidation_buffer", "smt_required", "use_stack_gate", "min_stack", "dol_mode", "sigma_levels",
-    "use_state_trigger", "armed_mode", "w_tf_agreement", "traded_window", "skip_first_minutes", "event_block_before_min", "event_block_after_min",
-)
+    index = tuple(cut_lineage(t) for t in search_index(ctx, 0.0, c("fired_bull"), c("fired_bear")))
+    up, down = lambda x: F.when(c("bull"), x), lambda x: F.when(~c("bull"), x)
+    move, none = c("atr") * cfg.disp_atr_mult, F.lit(None).cast("double")
+    out = blocks.withColumns({"formed": c("idx"), "_next": c("idx") + 1})
+    out = first_hit(out, index, {"high_to": up(c("ce") + move), "low_to": down(c("ce") - move)}, "formed", "session_no", "confirmed")
+    out = first_hit(out, index, {"wholly_over": up(c("top")), "wholly_under": down(c("bottom"))}, "confirmed", "confirmed_session", "left")
+    out = out.withColumn("_again", c("left") + 1)
+    out = first_hit(out, index, {"low_to": up(c("top")), "high_to": down(c("bottom"))}, "_again", "left_session", "armed")
+    marks = {"mark_up": up(F.lit(1.0)), "mark_down": down(F.lit(1.0))} if cfg.use_state_trigger else {"high_to": F.lit(float("-inf")), "low_to": none}
+    out = first_hit(out, index, marks, "armed", "armed_session", "triggered")
+    out = first_hit(out, index, {"low_under": up(c("ext") - cfg.invalidation_buffer), "high_over": down(c("ext") + cfg.invalidation_buffer)}, "_next", "session_no", "gone")
+    alive = {n: F.when(c("gone").isNull() | (c(n) < c("gone")), c(n)) for n in STAGES[1:]}
+    return out.withColumns(alive).drop("_next", "_again", *[f"{n}_session" for n in (*STAGES[1:], "gone")])
 
 
 def build_context(bars: DataFrame, cfg: ModelConfig, chart_tf: int, peer: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -361,43 +139,10 @@ def build_context(bars: DataFrame, cfg: ModelConfig, chart_tf: int, peer: DataFr
     return ctx, cut_lineage(block_candidates(ctx, bars, cfg, chart_tf))
 
 
-def config_sweep(bars: DataFrame, base: ModelConfig, changes: dict[str, dict], chart_tf: int, calendar: DataFrame | None = None,
-                 context_of=None) -> tuple[DataFrame, DataFrame]:
-    """One model under many single-setting changes, walked together.
-
-    Configurations that agree on everything the contexts read share one
-    context; the walks of all configurations share one keyed stage.
-    """
-    context_of = context_of or (lambda cfg: build_context(bars, cfg, chart_tf))
-    settings = {name: replace(base, **change) for name, change in changes.items()}
-    groups: dict[ModelConfig, list[str]] = {}
-    for name, cfg in settings.items():
-        groups.setdefault(replace(cfg, **{f: getattr(base, f) for f in AFTER_CONTEXT}), []).append(name)
-    contexts, steps = {}, None
-    for shared, names in groups.items():
-        ctx, cands = context_of(shared)
-        contexts |= dict.fromkeys(names, ctx)
-        one = walk_steps(ctx, bars, cands, shared, chart_tf, "")
-        one = one.withColumn("config", F.explode(F.array(*[F.lit(n) for n in names])))
-        steps = one if steps is None else steps.unionByName(one)
-    events = cut_lineage(block_lifecycle(steps, settings, {n: timeframes(s, chart_tf) for n, s in settings.items()}, chart_tf))
-    judged = None
-    for name, cfg in settings.items():
-        one = judge_triggers(events.filter(c("config") == name), contexts[name], cfg, calendar)
-        judged = one if judged is None else judged.unionByName(one)
-    return events, judged
-
-
-def rejection_log(events: DataFrame, judged: DataFrame) -> DataFrame:
-    """Every refusal with its bar: at intake, at emission and after."""
-    early = events.filter(c("stage") == "rejected").select("config", "symbol", "ts", "reason")
-    late = judged.filter(c("rejection").isNotNull()).select("config", "symbol", "ts", c("rejection").alias("reason"))
-    return early.unionByName(late)
-
-
-def as_signals(judged: DataFrame) -> DataFrame:
-    """Accepted triggers in the shape resolve_signal expects."""
-    first = F.get("targets", F.lit(0))
-    return judged.filter(c("rejection").isNull()).select(
-        "config", "symbol", "session", "ts", "day_pos", F.when(c("bull"), 1).otherwise(-1).alias("direction"), "entry", "stop", "atr",
-        first["price"].alias("target"), first["r_multiple"].alias("target_r"), "grade", "score", "timeframe", "setup", "bias")
+def config_sweep(blocks: DataFrame, ctx: DataFrame, base: ModelConfig, changes: dict[str, dict]) -> DataFrame:
+    """Stages of the same blocks under several settings of the stages, with a column `config`."""
+    parts = [block_events(blocks, ctx, replace(base, **change)).withColumn("config", F.lit(name)) for name, change in changes.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

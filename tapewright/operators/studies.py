@@ -20,18 +20,6 @@ MAX_GAP_DAYS = 5
 STRADDLE_FACTOR = 0.7979
 STRADDLE_COST = 0.02
 
-# The published monthly returns (percent) the intraday study is
-# compared with.
-PUBLISHED_MONTHLY = {
-    "2022-07": 0.2, "2022-08": 6.3, "2022-09": -1.0, "2022-10": 5.8, "2022-11": 1.6, "2022-12": 0.7,
-    "2023-01": 2.9, "2023-02": -1.3, "2023-03": 7.8, "2023-04": 1.8, "2023-05": 2.9, "2023-06": 4.1,
-    "2023-07": 2.2, "2023-08": 6.0, "2023-09": 2.9, "2023-10": -1.1, "2023-11": 0.5, "2023-12": 3.8,
-    "2024-01": 8.8, "2024-02": -1.5, "2024-03": -0.4, "2024-04": 5.8, "2024-05": -4.3, "2024-06": 1.6,
-    "2024-07": 8.2, "2024-08": -2.8, "2024-09": 4.1, "2024-10": 6.7, "2024-11": -2.6, "2024-12": 5.7,
-    "2025-01": -1.2, "2025-02": 7.6, "2025-03": -0.2, "2025-04": 4.3, "2025-05": -2.1, "2025-06": -2.0,
-    "2025-07": -2.0, "2025-08": -2.9, "2025-09": 1.0,
-}
-
 
 def day_w() -> Window:
     return Window.partitionBy("symbol").orderBy("day")

@@ -40,14 +40,9 @@ def trade_breakdowns(trades: DataFrame, stop_reasons: list[str]) -> DataFrame:
     return grouped
 
 
-def funnel_counts(events: DataFrame, by: list[str]) -> DataFrame:
-    """Lifecycle events per stage; stages are blocks, not repeated events."""
-    stage = lambda s: F.count_if(c("stage") == s).alias(s)
-    return events.groupBy(*by).agg(*[stage(s) for s in ("formed", "confirmed", "armed", "triggered", "signal")])
-
-
-def rejections_around(events: DataFrame, ts: int, window_s: int = 3600) -> DataFrame:
-    return events.filter((c("stage") == "rejected") & (F.abs(c("ts") - ts) <= window_s))
+def funnel_counts(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """How many blocks reached each stage."""
+    return blocks.groupBy(*by).agg(*[F.count(n).alias(n) for n in ("formed", "confirmed", "left", "armed", "triggered")])
 
 
 def top_rejections(events: DataFrame, by: list[str], k: int = 5) -> DataFrame:

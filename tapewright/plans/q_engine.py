@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tapewright.functions import shape as sh
 from tapewright.functions import timecols as tc
 from tapewright.operators import lifecycle as lc
-from tapewright.operators import resolve as rs
 from tapewright.operators import score as sc
 from tapewright.operators import signals as sg
 from tapewright.operators import trades as tr
@@ -40,7 +39,6 @@ part("rbl", """
                        CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END AS cp FROM ba a
                 WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)))
     WHERE bull IS NOT NULL""")
-part("fv40", ql.cap_sql("fvc", 40, ">="))
 part("ctx", """
     SELECT q.symbol, q.idx, q.ts, q.minute, q.close, q.atr, q.pdh, q.pdl, q.pwh, q.pwl, q.ready, q.sweep_bull, q.sweep_bear, m.manip_bull, m.manip_bear, k.ko_ny_open, k.ko_macro, k.ko_pm,
            v.vwap, r.rvol, t.bias, d.draw_up, d.draw_down
@@ -54,7 +52,7 @@ part("cnd", """
             (c.minute >= 570 AND c.minute < 660) OR (c.minute >= 120 AND c.minute < 300) AS in_amd, CASE WHEN r.bull THEN c.manip_bull ELSE c.manip_bear END AS amdx,
             CASE WHEN r.bull THEN c.sweep_bull ELSE c.sweep_bear END AS swept, c.minute >= 720 AND c.minute < 810 AS in_lull,
             c.ready AND coalesce(CASE WHEN r.bull THEN r.ce < (pdh + pdl) / 2.0 - (pdh - pdl) * 0.1 ELSE r.ce > (pdh + pdl) / 2.0 + (pdh - pdl) * 0.1 END, false) AS fav,
-            EXISTS (SELECT 1 FROM fv40 z WHERE z.symbol = c.symbol AND z.born_idx <= c.idx AND coalesce(z.dead_idx, 1000000000) > c.idx AND z.direction = CASE WHEN r.bull THEN 1 ELSE -1 END
+            EXISTS (SELECT 1 FROM fvd z WHERE z.symbol = c.symbol AND z.born_idx <= c.idx AND coalesce(z.dead_idx, 1000000000) > c.idx AND z.direction = CASE WHEN r.bull THEN 1 ELSE -1 END
                     AND ((r.ce >= z.bottom AND r.ce <= z.top) OR (r.ce >= z.ob_bottom AND r.ce <= z.ob_top))) AS in_fvg,
             EXISTS (SELECT 1 FROM gapd g WHERE g.symbol = c.symbol AND g.born_idx <= c.idx AND coalesce(g.dead_idx, 1000000000) > c.idx AND r.ce >= g.bottom AND r.ce <= g.top) AS in_gap
           FROM rbl r JOIN ctx c ON c.symbol = r.symbol AND c.idx = r.at WHERE c.atr IS NOT NULL) x""")
@@ -237,80 +235,66 @@ def best_signal_per_bar(spark, sf):
     return sc.best_signal_per_bar(rows, ["symbol"]).select("symbol", "session", "ts", "signal_name")
 
 
-# --- the walk ------------------------------------------------------------------------
-
-def walked(spark, sf):
-    """Event log and judged triggers under the opened settings."""
-    def make():
-        bars, ctx = views.bar_table(spark, sf), context(spark, sf)
-        steps = lc.walk_steps(ctx, bars, candidates(spark, sf), LOOSE, TF, "loose")
-        return cut_lineage(lc.block_lifecycle(steps, {"loose": LOOSE}, {"loose": lc.timeframes(LOOSE, TF)}, TF))
-    return held("walked", spark, sf, make)
-
-
-def judged(spark, sf):
-    return held("judged", spark, sf, lambda: cut_lineage(
-        lc.judge_triggers(walked(spark, sf), context(spark, sf), LOOSE, calendar(spark, sf))))
-
-
-@query("block_lifecycle")
-def block_lifecycle(spark, sf):
-    return tidy(walked(spark, sf))
+# --- stages of blocks ------------------------------------------------------------------
 
 
-@query("anti_stack")
-def anti_stack(spark, sf):
-    """Newcomers that lost to an overlapping block."""
-    return tidy(walked(spark, sf).filter("reason = 'anti_stack'").select("symbol", "ts", "timeframe", "bull", "top", "bottom"))
+def stages_sql(move: float, buffer: float) -> str:
+    """Stages of each half-hour block by plain first-bar searches."""
+    return f"""
+    WITH f AS (SELECT d.symbol, d.idx, coalesce(d.len >= 2 AND d.close > d.lvl AND d.pclose <= d.lvl, false) AS up, coalesce(u.len >= 2 AND u.close < u.lvl AND u.pclose >= u.lvl, false) AS down
+               FROM run_dn d JOIN run_up u ON u.symbol = d.symbol AND u.idx = d.idx),
+    k AS (SELECT ba.*, f.up, f.down FROM ba JOIN f ON f.symbol = ba.symbol AND f.idx = ba.idx WHERE ba.atr IS NOT NULL),
+    s0 AS (SELECT symbol, ts, idx AS formed, bull, top, bottom, ext, ce, atr FROM cnd),
+    s1 AS (SELECT s0.*, min(CASE WHEN k.idx >= formed AND CASE WHEN bull THEN k.high >= ce + s0.atr * {move} ELSE k.low <= ce - s0.atr * {move} END THEN k.idx END) AS confirmed,
+                  min(CASE WHEN k.idx > formed AND CASE WHEN bull THEN k.low < ext - {buffer} ELSE k.high > ext + {buffer} END THEN k.idx END) AS gone
+           FROM s0 LEFT JOIN k ON k.symbol = s0.symbol AND k.idx >= formed GROUP BY ALL),
+    s2 AS (SELECT s1.*, min(CASE WHEN bull THEN CASE WHEN k.low > top THEN k.idx END WHEN k.high < bottom THEN k.idx END) AS gone_out FROM s1 LEFT JOIN k ON k.symbol = s1.symbol AND k.idx >= confirmed GROUP BY ALL),
+    s3 AS (SELECT s2.*, min(CASE WHEN bull THEN CASE WHEN k.low <= top THEN k.idx END WHEN k.high >= bottom THEN k.idx END) AS armed FROM s2 LEFT JOIN k ON k.symbol = s2.symbol AND k.idx > gone_out GROUP BY ALL),
+    s4 AS (SELECT s3.*, min(CASE WHEN CASE WHEN bull THEN k.up ELSE k.down END THEN k.idx END) AS triggered FROM s3 LEFT JOIN k ON k.symbol = s3.symbol AND k.idx >= armed GROUP BY ALL)
+    SELECT symbol, ts, bull, formed, CASE WHEN gone IS NULL OR confirmed < gone THEN confirmed END AS confirmed, CASE WHEN gone IS NULL OR gone_out < gone THEN gone_out END AS "left",
+           CASE WHEN gone IS NULL OR armed < gone THEN armed END AS armed, CASE WHEN gone IS NULL OR triggered < gone THEN triggered END AS triggered, gone FROM s4"""
 
 
-@query("tf_agreement")
-def tf_agreement(spark, sf):
-    """Timeframes that agree at each trigger."""
-    return walked(spark, sf).filter("stage = 'triggered'").select("symbol", "ts", "block_seq", "timeframe", "agreement")
+part("stg", stages_sql(0.3, 0.0))
+part("stg_far", stages_sql(1.0, 0.0))
+part("stg_wide", stages_sql(0.3, 0.5))
+_FUNNEL = 'count(formed) AS formed, count(confirmed) AS confirmed, count("left") AS "left", count(armed) AS armed, count(triggered) AS triggered'
 
 
-@query("model_signals")
-def model_signals(spark, sf):
-    out = judged(spark, sf)
-    return tidy(out.select("symbol", "ts", "timeframe", "bull", "entry", "stop", "grade", "score", "stack", "setup", "agreement",
-                           F.size("targets").alias("n_targets"), "rejection"))
+def staged(spark, sf):
+    return lc.block_events(half_hour(spark, sf), context(spark, sf), LOOSE)
 
 
-@query("signal_record")
-def signal_record(spark, sf):
-    out = judged(spark, sf).filter(c("rejection").isNull())
-    return out.select("symbol", "ts", sc.signal_record().alias("summary"), F.to_json("targets").alias("targets"))
+@query("block_lifecycle", 'SELECT symbol, ts, bull, formed, confirmed, "left", armed, triggered, gone FROM stg')
+def block_lifecycle(spark, sf):
+    """First bar of each stage of every half-hour block's own life."""
+    return staged(spark, sf).select("symbol", "ts", "bull", "formed", "confirmed", "left", "armed", "triggered", "gone")
 
 
-@query("funnel_counts")
+@query("funnel_counts", f"SELECT symbol, {_FUNNEL} FROM stg GROUP BY symbol")
 def funnel_counts(spark, sf):
-    accepted = judged(spark, sf).filter(c("rejection").isNull()).select("symbol", F.lit("signal").alias("stage"))
-    stages = walked(spark, sf).select("symbol", "stage").unionByName(accepted)
-    return tr.funnel_counts(stages, ["symbol"])
+    return tr.funnel_counts(staged(spark, sf), ["symbol"])
 
 
-@query("top_rejections")
+@query("top_rejections", """
+    SELECT symbol, reason, n, CAST(row_number() OVER (PARTITION BY symbol ORDER BY n DESC, reason) AS BIGINT) AS rank FROM (
+      SELECT symbol, reason, count(*) AS n FROM (
+        SELECT symbol, CASE WHEN NOT (in_fvg OR near_open OR fav OR in_gap OR amdx) THEN 'not_anchored' END AS reason FROM cnd
+        UNION ALL SELECT symbol, CASE WHEN score < 52 THEN 'below_track_grade' END FROM scored) WHERE reason IS NOT NULL GROUP BY ALL)
+    QUALIFY rank <= 5""")
 def top_rejections(spark, sf):
-    log = lc.rejection_log(walked(spark, sf), judged(spark, sf))
-    return tidy(tr.top_rejections(log, ["symbol"]))
-
-
-@query("model_trades")
-def model_trades(spark, sf):
-    """Accepted signals resolved, net of cost."""
-    paths = rs.session_paths(views.bar_table(spark, sf))
-    out = rs.backtest_trades(lc.as_signals(judged(spark, sf)), paths)
-    return tidy(out.select("symbol", "ts", "direction", "outcome", "r", "r_net", "stop_atr", "grade", "timeframe"))
+    """Refusals of half-hour blocks: by the anchor gate, and by grade B."""
+    rows = half_hour(spark, sf)
+    grade = sc.grade_of(c("score"))
+    low = sc.grade_score(rows, LOOSE).select("symbol", F.when(sc.grade_rank(grade) < 2, "below_track_grade").alias("reason"))
+    refused = rows.select("symbol", c("gate").alias("reason")).unionByName(low).filter(c("reason").isNotNull())
+    return tidy(tr.top_rejections(refused, ["symbol"]))
 
 
-SWEEP = {"base": {}, "no_displacement": {"require_displacement": False}, "no_anti_stack": {"anti_stack": False}}
+SWEEP = {"base": {}, "far": {"disp_atr_mult": 1.0}, "wide": {"invalidation_buffer": 0.5}}
 
 
-@query("config_sweep")
+@query("config_sweep", " UNION ALL ".join(f"SELECT '{n}' AS config, {_FUNNEL} FROM {p}" for n, p in (("base", "stg"), ("far", "stg_far"), ("wide", "stg_wide"))))
 def config_sweep(spark, sf):
-    """Single-setting changes against the base: blocks, triggers, signals."""
-    made = (context(spark, sf), candidates(spark, sf))
-    events, out = lc.config_sweep(views.bar_table(spark, sf), LOOSE, SWEEP, TF, context_of=lambda cfg: made)
-    accepted = out.filter(c("rejection").isNull()).select("config", F.lit("signal").alias("stage"))
-    return tr.funnel_counts(events.select("config", "stage").unionByName(accepted), ["config"])
+    """Stages reached under single-setting changes."""
+    return tr.funnel_counts(lc.config_sweep(half_hour(spark, sf), context(spark, sf), LOOSE, SWEEP), ["config"])

@@ -315,7 +315,6 @@ def gap_columns(spark, sf):
         sh.gap_contains(c("_p"), c("top"), c("bottom"), c("ob_top"), c("ob_bottom")).alias("inside_ob"))
 
 
-CAP = 6
 part("fvz", """
     SELECT f.symbol, f.idx AS zone_id, f.direction, f.top, f.bottom, f.ob_top, f.ob_bottom, min(c.idx) AS born_idx
     FROM fvg f JOIN closed60 c ON c.symbol = f.symbol AND c.htf_idx >= f.idx GROUP BY ALL""")
@@ -325,26 +324,14 @@ part("fvn", """
     FROM fvz z LEFT JOIN ba b ON b.symbol = z.symbol AND b.idx >= z.born_idx AND b.atr IS NOT NULL GROUP BY ALL""")
 
 
-def cap_sql(src: str, cap: int, cmp: str) -> str:
-    return f"""
-    SELECT z.*, least(z.nat, e.ev) AS dead_idx FROM {src} z LEFT JOIN (
-      SELECT symbol, zone_id, min(bk) AS ev FROM (
-        SELECT i.symbol, i.zone_id, k.zone_id AS k_id, k.counted AS bk, count(*) AS newer
-        FROM {src} i JOIN {src} k ON k.symbol = i.symbol AND (k.counted, k.zone_id) > (i.counted, i.zone_id) AND coalesce(i.nat, 1000000000) {cmp} k.counted
-        JOIN {src} m ON m.symbol = i.symbol AND (m.counted, m.zone_id) > (i.counted, i.zone_id) AND (m.counted, m.zone_id) <= (k.counted, k.zone_id)
-             AND coalesce(m.nat, 1000000000) {cmp} k.counted
-        GROUP BY ALL) WHERE newer >= {cap} GROUP BY symbol, zone_id) e ON e.symbol = z.symbol AND e.zone_id = z.zone_id"""
-
-
-part("fvc", "SELECT *, born_idx AS counted FROM fvn")
-part("fvd", cap_sql("fvc", CAP, ">="))
+part("fvd", "SELECT *, nat AS dead_idx FROM fvn")
 
 
 def fvg_zones(spark, sf):
     base = enriched(spark, sf)
     events = lv.closed_htf_events(base, htf60(spark, sf), 60).select("symbol", c("htf_idx").alias("zone_id"), "born_idx", "born_session")
     gaps = lv.fvg_detect(htf60(spark, sf), 0.5).withColumnRenamed("idx", "zone_id").drop("session", "ts")
-    return lv.zone_lifetime(gaps.join(events, ["symbol", "zone_id"]), base, CFG, cap=CAP)
+    return lv.zone_lifetime(gaps.join(events, ["symbol", "zone_id"]), base, CFG)
 
 
 @query("zone_lifetime", "SELECT symbol, zone_id, CAST(direction AS BIGINT) AS direction, top, bottom, born_idx, dead_idx FROM fvd")
@@ -369,11 +356,11 @@ part("gapz", """
         SELECT symbol, session, min(idx) AS first_idx, min(ts) AS ts, first(open ORDER BY idx) AS o, last(close ORDER BY idx) AS cl FROM b GROUP BY symbol, session))
     WHERE pc IS NOT NULL AND greatest(pc, o) - least(pc, o) >= 0.3""")
 part("gapn", """
-    SELECT z.*, least(CASE WHEN ft IS NOT NULL AND fb IS NOT NULL THEN greatest(ft, fb) END, fs) AS nat, greatest(born_idx, 13) AS counted FROM (
+    SELECT z.*, least(CASE WHEN ft IS NOT NULL AND fb IS NOT NULL THEN greatest(ft, fb) END, fs) AS nat FROM (
       SELECT z.*, min(CASE WHEN b.high >= z.top THEN b.idx END) AS ft, min(CASE WHEN b.low <= z.bottom THEN b.idx END) AS fb,
              min(CASE WHEN b.close - 10.0 * b.atr > (z.top + z.bottom) / 2.0 OR b.close + 10.0 * b.atr < (z.top + z.bottom) / 2.0 THEN b.idx END) AS fs
       FROM gapz z LEFT JOIN ba b ON b.symbol = z.symbol AND b.idx >= z.born_idx AND b.atr IS NOT NULL GROUP BY ALL) z""")
-part("gapd", cap_sql("gapn", 4, ">"))
+part("gapd", "SELECT *, nat AS dead_idx FROM gapn")
 
 
 @query("gap_detect", "SELECT symbol, session, born_idx, ts, top, bottom FROM gapz")

@@ -11,7 +11,6 @@ from tapewright.plans.q_bars import BARS_OUT, tidy
 from tapewright.plans.registry import query
 from tapewright.session import shared_dir
 from tapewright.streaming import bars as sb
-from tapewright.streaming import decisions as sd
 
 c = F.col
 
@@ -35,16 +34,3 @@ def stream_bars(spark, sf):
            .outputMode("append").trigger(availableNow=True).start())
     run.awaitTermination()
     return tidy(spark.read.parquet(out).drop("bucket_start"))
-
-
-SETTINGS = sd.LiveSettings(window="0930-1600", look_back=3, max_hold_bars=8, max_stop_pct=500.0, equity=100_000.0)
-
-
-@query("stream_signals")
-def stream_signals(spark, sf):
-    """Decisions on the half-hour bars, journaled as JSON lines."""
-    folder, out = _place(spark, "barfeed"), _place(spark, "journal")
-    views.bars30(spark, sf).withColumn("age_s", F.lit(0.0)).write.parquet(folder)
-    feed = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
-    sd.write_decisions(sd.stream_signals(feed, SETTINGS), out, _place(spark, "state")).awaitTermination()
-    return tidy(spark.read.schema(sd.DECISION_SCHEMA).json(out))

@@ -1 +1 @@
-"""Structured Streaming: bars from ticks, decisions from bars."""
+"""Structured Streaming: bars from ticks."""

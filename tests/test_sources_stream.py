@@ -9,7 +9,6 @@ from tapewright.operators import bars as ob
 from tapewright.sources import intraday as si
 from tapewright.sources import tables as tb
 from tapewright.streaming import bars as sb
-from tapewright.streaming import decisions as sd
 from tests.conftest import BAR_SCHEMA, DATA, make_bars
 
 c = F.col
@@ -87,27 +86,3 @@ def test_stream_bars_equal_batch(spark, tmp_path):
     last = max(w[1] for w in want)
     assert got <= want
     assert {w for w in want if w[1] < last - 7200} <= got
-
-
-def test_stream_decisions_do_not_depend_on_batches(spark, tmp_path):
-    rows = make_bars(days=8, per_day=40, seed=21, symbols=("A", "B"))
-    df = spark.createDataFrame(rows, BAR_SCHEMA).withColumn("age_s", F.lit(1.0))
-    settings = sd.LiveSettings(window="0930-1600", look_back=3, max_stop_pct=50.0, equity=100_000.0, max_hold_bars=10)
-    days = sorted({r[7] for r in rows})
-    logs = []
-    for name, groups in (("one", [days]), ("many", [[d] for d in days])):
-        src = str(tmp_path / name)
-        for g in groups:
-            df.filter(c("session").isin(g)).coalesce(1).write.mode("append").parquet(src)
-        feed = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-        sd.write_decisions(sd.stream_signals(feed, settings), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-cp")).awaitTermination()
-        out = spark.read.schema(sd.DECISION_SCHEMA).json(str(tmp_path / f"{name}-out"))
-        logs.append(sorted(map(tuple, out.collect()), key=repr))
-    assert logs[0] == logs[1]
-    actions = [r[5] for r in logs[0]]
-    assert actions.count("open") >= 8 and actions.count("close") >= 8
-    per_day = {}
-    for r in logs[0]:
-        if r[5] == "open":
-            per_day[(r[0], r[1])] = per_day.get((r[0], r[1]), 0) + 1
-    assert set(per_day.values()) == {1}
