@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import timecols as tc
 
+#: A calendar with at most this many filed events is broadcast; a larger one meets the rows by slot.
+BROADCAST_ROWS = 200_000
+
 
 def event_calendar_local(entries: DataFrame) -> DataFrame:
     """(stamp 'yyyy-MM-dd HH:mm' New York, name) to (event_ts, name)."""
@@ -25,6 +28,8 @@ def event_blackout(probe: DataFrame, calendar: DataFrame, before: int = 15, afte
                        F.floor((F.col("event_ts") + after * 60) / span).cast("long"))
     filed = calendar.select(F.explode(slots).alias("_slot"), F.struct("event_ts", "name").alias("_e"))
     per_slot = filed.groupBy("_slot").agg(F.array_sort(F.collect_list("_e")).alias("_events"))
+    if filed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        per_slot = F.broadcast(per_slot)
     joined = probe.withColumn("_slot", F.floor(F.col(ts) / span).cast("long")).join(per_slot, "_slot", "left")
     hits = F.filter("_events", lambda e: (e.event_ts - before * 60 <= F.col(ts)) & (F.col(ts) <= e.event_ts + after * 60))
     return joined.withColumn("_hits", hits).withColumn(

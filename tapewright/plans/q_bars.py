@@ -164,23 +164,23 @@ def slice_window(spark, sf):
     return tidy(tc.slice_window(views.bars30(spark, sf), 600, 720))
 
 
-# The calendar: the largest error tick of every New York day.
+# The calendar: the largest tick of every type on every New York day.
 part("cal", """
-    SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS event_ts, 'error-' || CAST(id AS VARCHAR) AS name FROM (
-      SELECT *, row_number() OVER (PARTITION BY CAST(ny AS DATE) ORDER BY price DESC, id) AS rn
-      FROM ny_ticks WHERE symbol = 'error') WHERE rn = 1""")
+    SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS event_ts, symbol || '-' || CAST(id AS VARCHAR) AS name FROM (
+      SELECT *, row_number() OVER (PARTITION BY symbol, CAST(ny AS DATE) ORDER BY price DESC, id) AS rn FROM ny_ticks) WHERE rn = 1""")
 
 
 def calendar(spark, sf):
-    t = views.ticks(spark, sf).filter("symbol = 'error'")
-    day = tc.iso_date(tc.to_ny(c("ts")))
-    top = t.groupBy(day.alias("day")).agg(F.max_by(F.struct("ts", "id"), F.struct(c("price"), -c("id"))).alias("x"))
-    return top.select(tc.epoch_seconds(c("x.ts")).alias("event_ts"),
-                      F.concat(F.lit("error-"), c("x.id").cast("string")).alias("name"))
+    t = views.ticks(spark, sf).withColumn("day", tc.iso_date(tc.to_ny(c("ts"))))
+    # Two hash aggregations instead of one that sorts its input for a struct.
+    high = t.groupBy("symbol", "day").agg(F.max("price").alias("price"))
+    first = t.join(high, ["symbol", "day", "price"]).groupBy("symbol", "day").agg(F.min("id").alias("id"))
+    top = t.join(first, ["symbol", "day", "id"])
+    return top.select(tc.epoch_seconds(c("ts")).alias("event_ts"), F.concat_ws("-", "symbol", c("id").cast("string")).alias("name"))
 
 
 @query("event_blackout", """
-    SELECT t.id, arg_min(e.name, e.event_ts) AS blocked_by
+    SELECT t.id, first(e.name ORDER BY e.event_ts, e.name) AS blocked_by
     FROM (SELECT id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS ts FROM ny_ticks) t
     LEFT JOIN cal e ON t.ts >= e.event_ts - 900 AND t.ts <= e.event_ts + 900 GROUP BY t.id""")
 def event_blackout(spark, sf):

@@ -200,7 +200,7 @@ def build_targets(spark, sf):
 part("pg", """
     SELECT e.symbol, e.session, e.ts, e.minute, CASE WHEN x.name IS NOT NULL THEN 'event_blackout:' || x.name WHEN NOT (e.minute >= 570 AND e.minute < 720) THEN 'outside_traded_window'
              WHEN e.minute < 600 THEN 'opening_noise' END AS rejection
-    FROM mom_entries e LEFT JOIN (SELECT e.symbol, e.ts, arg_min(k.name, k.event_ts) AS name FROM mom_entries e JOIN cal k ON e.ts >= k.event_ts - 900 AND e.ts <= k.event_ts + 900 GROUP BY ALL) x
+    FROM mom_entries e LEFT JOIN (SELECT e.symbol, e.ts, first(k.name ORDER BY k.event_ts, k.name) AS name FROM mom_entries e JOIN cal k ON e.ts >= k.event_ts - 900 AND e.ts <= k.event_ts + 900 GROUP BY ALL) x
     ON x.symbol = e.symbol AND x.ts = e.ts""")
 NOISY = replace(LOOSE, traded_window="0930-1200", skip_first_minutes=30)
 

@@ -132,7 +132,7 @@ def paired_t(spark, sf):
     return tidy(pairs(spark, sf).groupBy("label").agg(F.count("diff").alias("n"), st.t_stat(c("diff")).alias("t")))
 
 
-part("idx_level", "SELECT strftime(l_shipdate, '%Y-%m') AS month, round(avg(l_extendedprice / l_quantity), 4) AS level FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
+part("idx_level", "SELECT strftime(l_shipdate, '%Y-%m') AS month, round(avg(l_extendedprice / l_quantity), 4) AS level FROM lineitem GROUP BY 1")
 
 
 @query("benchmark_returns", f"""
@@ -143,7 +143,7 @@ part("idx_level", "SELECT strftime(l_shipdate, '%Y-%m') AS month, round(avg(l_ex
                LEFT JOIN idx_level a ON a.month = m.month LEFT JOIN idx_level b ON b.month = k.month) i ON i.month_no = u.month_no
     WHERE u.r IS NOT NULL""")
 def benchmark_returns(spark, sf):
-    lines = views.table(spark, sf, "lineitem").filter("l_returnflag = 'A'")
+    lines = views.table(spark, sf, "lineitem")
     index = lines.groupBy(F.date_format(F.to_date("l_shipdate"), "yyyy-MM").alias("month")).agg(
         F.round(F.avg(c("l_extendedprice") / c("l_quantity")), 4).alias("level"))
     return tidy(pn.benchmark_returns(views.panel_table(spark, sf), index))

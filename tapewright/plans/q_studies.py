@@ -198,11 +198,11 @@ def max_drawdown(spark, sf):
 
 
 # --- straddles ----------------------------------------------------------------
-# Spot is the daily close; the volatility level is another priority's close.
-part("spot", "SELECT symbol, day, close AS spot FROM dser WHERE symbol IN ('1-URGENT', '2-HIGH')")
-part("voll", """
-    SELECT CASE symbol WHEN '3-MEDIUM' THEN '1-URGENT' ELSE '2-HIGH' END AS symbol, day, close / 10000.0 AS level FROM dser
-    WHERE symbol IN ('3-MEDIUM', '4-NOT SPECIFIED')""")
+# Spot is the daily close of a priority; its volatility level is the close of the priority two further on.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+LEVEL_OF = {PRIORITIES[(k + 2) % 5]: p for k, p in enumerate(PRIORITIES)}
+part("spot", "SELECT symbol, day, close AS spot FROM dser")
+part("voll", "SELECT CASE symbol " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LEVEL_OF.items()) + " END AS symbol, day, close / 10000.0 AS level FROM dser")
 part("strd", """
     SELECT symbol, day, level / 100.0 AS implied, 0.7979 * (level / 100.0) * sqrt(1.0 / 252.0) AS straddle, abs((nx - spot) / spot) AS payoff,
            abs((nx - spot) / spot) - 0.7979 * (level / 100.0) * sqrt(1.0 / 252.0) * 1.02 AS pnl
@@ -213,9 +213,9 @@ part("strd", """
 
 def straddles(spark, sf):
     d = daily(spark, sf)
-    spot = d.filter(c("symbol").isin("1-URGENT", "2-HIGH")).select("symbol", "day", c("close").alias("spot"))
-    name = F.when(c("symbol") == "3-MEDIUM", "1-URGENT").otherwise("2-HIGH")
-    vol = d.filter(c("symbol").isin("3-MEDIUM", "4-NOT SPECIFIED")).select(name.alias("symbol"), "day", (c("close") / 10000.0).alias("level"))
+    spot = d.select("symbol", "day", c("close").alias("spot"))
+    name = F.create_map(*[F.lit(x) for pair in LEVEL_OF.items() for x in pair])[c("symbol")]
+    vol = d.select(name.alias("symbol"), "day", (c("close") / 10000.0).alias("level"))
     return sd.vol_spot_join(spot, vol)
 
 
@@ -276,18 +276,16 @@ def terciles(spark, sf):
 
 
 # --- regimes ------------------------------------------------------------------
-# A dealer reading per line status and ship date, with days that hold none.
-part("gamma", """
-    SELECT CASE l_linestatus WHEN 'F' THEN '1-URGENT' ELSE '2-HIGH' END AS symbol, CAST(l_shipdate AS DATE) AS day,
-           round(avg(l_discount) - avg(l_tax), 9) AS reading FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1, 2""")
+# A dealer reading per line number and ship date.
+part("gamma", "SELECT CASE l_linenumber % 5 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PRIORITIES)) + """ END AS symbol, CAST(l_shipdate AS DATE) AS day,
+           round(avg(l_discount) - avg(l_tax), 9) AS reading FROM lineitem GROUP BY 1, 2""")
 part("regime", """
-    SELECT s.symbol, s.day, s.open, s.close, g.reading FROM dser s ASOF JOIN gamma g ON g.symbol = s.symbol AND s.day > g.day
-    WHERE s.symbol IN ('1-URGENT', '2-HIGH')""")
+    SELECT s.symbol, s.day, s.open, s.close, g.reading FROM dser s ASOF JOIN gamma g ON g.symbol = s.symbol AND s.day > g.day""")
 
 
 def readings(spark, sf):
-    lines = views.table(spark, sf, "lineitem").filter((c("l_returnflag") == "R") & (c("l_quantity") > 40))
-    name = F.when(c("l_linestatus") == "F", "1-URGENT").otherwise("2-HIGH")
+    lines = views.table(spark, sf, "lineitem")
+    name = F.get(F.array(*map(F.lit, PRIORITIES)), (c("l_linenumber") % 5).cast("int"))
     return lines.groupBy(name.alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(
         F.round(F.avg("l_discount") - F.avg("l_tax"), 9).alias("reading"))
 
@@ -295,7 +293,7 @@ def readings(spark, sf):
 def regimes(spark, sf):
     """Each day with the last reading held strictly before it."""
     def make():
-        probe = daily(spark, sf).filter(c("symbol").isin("1-URGENT", "2-HIGH")).withColumn("_d", F.unix_date("day"))
+        probe = daily(spark, sf).withColumn("_d", F.unix_date("day"))
         ref = readings(spark, sf).select("symbol", F.unix_date("day").alias("_rd"), F.struct("reading").alias("prior"))
         out = asof_join(probe, ref, "symbol", "_d", "_rd", "prior", span=64, strict=True)
         return cut_lineage(out.filter(c("prior").isNotNull()).select("symbol", "day", "open", "close", c("prior.reading").alias("reading")))
