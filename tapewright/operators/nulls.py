@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.operators.medians import exact_medians
 from tapewright.functions import timecols as tc
 from tapewright.operators import resolve as rs
 
@@ -130,7 +131,7 @@ def null_structure_match(trades: DataFrame, grid: DataFrame, by: list[str]) -> D
     The grid holds a handful of structures by construction, so it travels as
     one array next to each group's medians.
     """
-    mid = trades.groupBy(*by).agg(F.median("stop_atr").alias("med_stop"), F.median("target_r").alias("med_target"))
+    mid = exact_medians(trades, by, ["stop_atr", "target_r"]).withColumnsRenamed({"stop_atr": "med_stop", "target_r": "med_target"})
     packed = grid.agg(F.sort_array(F.collect_list(F.struct(*grid.columns))).alias("_grid"))
     dist = lambda g: F.abs(F.log(g.stop_atr / c("med_stop"))) + F.abs(F.log(g.target_r / c("med_target")))
     near = F.array_min(F.transform("_grid", lambda g: F.struct(dist(g).alias("d"), g.alias("g"))))

@@ -21,7 +21,9 @@ def position_target_union(positions: DataFrame, targets: DataFrame, by: list[str
 
 
 def check_targets(targets: DataFrame, by: list[str], allow_leverage: bool = False) -> DataFrame:
-    """Targets unchanged; duplicate symbols or leverage raise when evaluated."""
+    """Targets unchanged; a weight that is NULL, NaN or negative, duplicate symbols or leverage raise when evaluated."""
+    good = c("weight").isNotNull() & ~F.isnan("weight") & (c("weight") >= 0)
+    targets = targets.withColumn("_bad", F.assert_true(good, "target weight is not a number of 0 or more")).filter(c("_bad").isNull()).drop("_bad")
     sums = targets.groupBy(*by).agg(
         F.sum("weight").alias("_w"), F.count("symbol").alias("_n"), F.count_distinct("symbol").alias("_d"))
     if not allow_leverage:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions import shape as sh
+from tapewright.operators.medians import exact_medians
 
 c = F.col
 
@@ -48,9 +49,9 @@ def relative_layer(ours: DataFrame, theirs: DataFrame, keys: list[str], value: s
     """Median and worst relative error of one layer."""
     joined = ours.select(*keys, c(value).alias("_a")).join(theirs.select(*keys, c(value).alias("_b")), keys)
     errs = joined.select(sh.rel_err(c("_a"), c("_b")).alias("err")).filter("err IS NOT NULL")
-    return errs.agg(
-        F.lit(label).alias("layer"), F.count("err").alias("compared"), F.median("err").alias("median_err"),
-        F.max("err").alias("worst_err"))
+    totals = errs.agg(F.lit(label).alias("layer"), F.count("err").alias("compared"), F.max("err").alias("worst_err"))
+    middle = exact_medians(errs.withColumn("layer", F.lit(label)), ["layer"], ["err"])
+    return totals.join(middle, "layer", "left").select("layer", "compared", c("err").alias("median_err"), "worst_err")
 
 
 def layered_diff(layers: list[DataFrame]) -> DataFrame:

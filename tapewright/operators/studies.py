@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewright.functions import stats as st
+from tapewright.operators.medians import exact_medians
 from tapewright.operators.order import session_so_far, session_w
 
 c = F.col
@@ -204,7 +205,7 @@ def stratified_control(rows: DataFrame, by: list[str], least: int = 60) -> DataF
     """
     sized = rows.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter(c("_all") >= least).drop("_all")
     placed = with_tercile(sized, by, "pv", "day", "stratum")
-    mid = placed.groupBy(*by, "stratum").agg(F.median("g").alias("_med"))
+    mid = exact_medians(placed, [*by, "stratum"], ["g"]).withColumnRenamed("g", "_med")
     joined = placed.join(mid, [*by, "stratum"])
     welch = st.welch_groups(c("tv"), c("g") > c("_med"))
     return joined.groupBy(*by, "stratum").agg(*[v.alias(k) for k, v in welch.items()])

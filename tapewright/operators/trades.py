@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.medians import exact_medians
 from tapewright.functions import stats as st
 
 c = F.col
@@ -35,9 +36,12 @@ def trade_breakdowns(trades: DataFrame, stop_reasons: list[str]) -> DataFrame:
     var_rest = (s2 - low * low - m * mean_rest * mean_rest) / (m - 1)
     grouped = rows.groupingSets([[c("exit_reason")], [c("side")], []], "exit_reason", "side").agg(
         n.alias("n"), s1.alias("total"), F.avg("pnl").alias("mean"), st.std_error(c("pnl")).alias("se"), st.t_stat(c("pnl")).alias("t"),
-        F.when(n > 2, mean_rest / F.sqrt(var_rest / m)).alias("t_without_worst"),
-        F.median("_risk").alias("median_risk"), F.median("_risk_pct").alias("median_risk_pct"))
-    return grouped
+        F.when(n > 2, mean_rest / F.sqrt(var_rest / m)).alias("t_without_worst"))
+    none = F.lit(None).cast("string")
+    sets = F.array(*[F.struct(a.alias("m_reason"), b.alias("m_side")) for a, b in ((c("exit_reason"), none), (none, c("side")), (none, none))])
+    middle = exact_medians(rows.filter(c("_risk").isNotNull()).select("_risk", "_risk_pct", F.inline(sets)), ["m_reason", "m_side"], ["_risk", "_risk_pct"])
+    return grouped.join(middle, c("exit_reason").eqNullSafe(c("m_reason")) & c("side").eqNullSafe(c("m_side")), "left").drop("m_reason", "m_side").withColumnsRenamed(
+        {"_risk": "median_risk", "_risk_pct": "median_risk_pct"})
 
 
 def funnel_counts(blocks: DataFrame, by: list[str]) -> DataFrame:

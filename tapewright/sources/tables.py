@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,11 +106,15 @@ def daily_panel(raw: DataFrame, excluded=EXCLUDED, benchmark: str = BENCHMARK) -
     return universe, rows.filter(c("symbol") == benchmark)
 
 
-def read_daily_panel(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """One CSV per symbol; the file stem is the symbol."""
+def read_daily_panel(spark: SparkSession, folder: str, benchmark: str = BENCHMARK.lstrip("_")) -> tuple[DataFrame, DataFrame]:
+    """One CSV per symbol; the file stem is the symbol.
+
+    Spark treats files whose name starts with an underscore as hidden, so the
+    benchmark's file goes by its plain name.
+    """
     stem = F.regexp_replace("_metadata.file_name", r"\.csv$", "")
     raw = spark.read.option("header", True).csv(folder).select("date", "close", stem.alias("symbol"))
-    return daily_panel(raw)
+    return daily_panel(raw, benchmark=benchmark)
 
 
 def spot_series(raw: DataFrame, value: str) -> DataFrame:
@@ -145,11 +150,13 @@ def event_calendar(raw: DataFrame) -> DataFrame:
 def read_event_calendar(spark: SparkSession, path: str) -> DataFrame:
     """JSON list of events; a missing file is an empty calendar."""
     schema = "ts long, name string"
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(conf).exists(target):
-        return event_calendar(spark.createDataFrame([], schema))
-    return event_calendar(spark.read.schema(schema).option("multiLine", True).json(path))
+    try:
+        raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], schema)
+    return event_calendar(raw)
 
 
 SNAPSHOT_REQUIRED = ("spot", "gamma_flip", "call_wall", "put_wall", "net_gex")

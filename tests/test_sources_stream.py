@@ -6,6 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators import bars as ob
+from tapewright.operators import portfolio as pf
+from tapewright.operators import quality as qa
+from tapewright.operators.medians import exact_medians
+from tapewright.session import shared_dir
 from tapewright.sources import intraday as si
 from tapewright.sources import tables as tb
 from tapewright.streaming import bars as sb
@@ -86,3 +90,83 @@ def test_stream_bars_equal_batch(spark, tmp_path):
     last = max(w[1] for w in want)
     assert got <= want
     assert {w for w in want if w[1] < last - 7200} <= got
+
+
+def test_daily_panel_files(spark, tmp_path):
+    (tmp_path / "AAA.csv").write_text("date,close\n2024-01-02,10.5\n2024-01-03,bad\n")
+    (tmp_path / "SPY.csv").write_text("date,close\n2024-01-02,470\n")
+    universe, bench = tb.read_daily_panel(spark, str(tmp_path))
+    assert [(r.symbol, str(r.day), r.close) for r in universe.filter("close is not null").collect()] == [("AAA", "2024-01-02", 10.5)]
+    assert [(r.symbol, r.close) for r in bench.collect()] == [("SPY", 470.0)]
+
+
+def test_spot_and_greek_files(spark, tmp_path):
+    (tmp_path / "spot.csv").write_text("Date,SPY\n2024-01-02,470.5\n2024-01-03,\n")
+    assert [(r.date, r.spot) for r in tb.read_spot_csv(spark, str(tmp_path / "spot.csv")).collect()] == [("2024-01-02", 470.5)]
+    folder = tmp_path / "greeks"
+    folder.mkdir()
+    (folder / "2024-01.json").write_text(json.dumps([dict(date="2024-01-02", call_gamma="5", put_gamma="-2"), dict(date="2024-01-03", call_gamma="x", put_gamma="1")]))
+    (folder / "2024-02.json").write_text(json.dumps([dict(date="2024-01-02", call_gamma="7", put_gamma="-2")]))
+    assert [(r.date, r.net) for r in tb.read_greek_series(spark, str(folder)).collect()] == [("2024-01-02", 5.0)]
+
+
+def test_gamma_snapshot_file(spark, tmp_path):
+    good = dict(spot="470", gamma_flip="465", call_wall="480", put_wall="460", net_gex="1e9", as_of_ts="1704200000")
+    (tmp_path / "g.json").write_text(json.dumps([good, {**good, "spot": "n/a"}]))
+    got = tb.read_gamma_snapshots(spark, str(tmp_path / "g.json"), "SPY").collect()
+    assert [(r.symbol, r.call_wall, r.as_of_ts, r.source) for r in got] == [("SPY", 480.0, 1704200000, "file")]
+
+
+def test_trade_list_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(
+        "Trade number,Type,Date and time,Signal,Price USD,Net PnL USD,Return %,Commission USD,Duration (bars)\n"
+        "1,Entry long,2024-01-02 09:35,go,100,5,0.5,1,3\n1,Exit long,2024-01-02 09:50,target,106,5,0.5,1,3\n2,Entry short,2024-01-03 10:00,go,99,,,,\n")
+    got = tb.read_trade_list(spark, str(tmp_path / "t.csv")).collect()
+    assert [(r.trade_no, r.side, r.entry_price, r.exit_reason, r.pnl, r.bars) for r in got] == [(1, "long", 100.0, "target", 5.0, 3)]
+
+
+def test_registry_and_archive_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "ok"), ("a", 2, "bad"), ("b", 1, "ok")], "signal string, seq long, verdict string")
+    tb.write_registry(rows, str(tmp_path / "reg"))
+    back = spark.read.schema(rows.schema).json(str(tmp_path / "reg"))
+    assert {(r.signal, r.verdict) for r in tb.registry_latest(back, "seq").collect()} == {("a", "bad"), ("b", "ok")}
+    for series, day in (("flow", "2024-01-02"), ("flow", "2024-01-03"), ("greeks", "2024-01-02")):
+        (tmp_path / "arch" / series).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "arch" / series / f"{day}.json").write_text("[]")
+    got = qa.archive_coverage(tb.archive_files(spark, str(tmp_path / "arch"))).collect()
+    assert {(r.series, r.days, r.first_day, r.last_day) for r in got} == {("flow", 2, "2024-01-02", "2024-01-03"), ("greeks", 1, "2024-01-02", "2024-01-02")}
+
+
+def test_bad_targets_are_refused(spark):
+    for weight in (None, float("nan"), -0.1):
+        with pytest.raises(Exception, match="target weight"):
+            pf.check_targets(spark.createDataFrame([("x", "A", weight)], "book string, symbol string, weight double"), ["book"]).collect()
+
+
+def test_exact_medians(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, rng.gauss(0, 1), rng.gauss(0, 1e6), None]), float(rng.randrange(3))) for _ in range(999)]
+    got = {r.g: (r.x, r.y) for r in exact_medians(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], ["x", "y"]).collect()}
+    want = {g: tuple(statistics.median(v) for v in ([x for k, x, _ in rows if k == g and x is not None], [y for k, _, y in rows if k == g])) for g in ("a", "b", None)}
+    assert got == want
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Conf:
+        def get(self, key, default):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
