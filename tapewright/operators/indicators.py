@@ -40,27 +40,23 @@ def rma(df: DataFrame, value: str, length: int, name: str, key: str = "symbol",
         return df.withColumn(name, c(value))
     block = max(8, int(math.log(1e3) / -math.log(decay)))
     reach = max(1, math.ceil(math.log(1e20) / (-math.log(decay) * block)))
-    seeds = df.filter(c(pos) < length).groupBy(key).agg(
-        F.avg(value).alias("_seed"), F.count(value).alias("_have"))
-    seeds = seeds.filter(c("_have") == length).drop("_have")
-    fed = df.join(seeds, key, "left").withColumns({
-        "_blk": F.floor(c(pos) / F.lit(block)).cast("long"),
-        "_off": F.pmod(c(pos), F.lit(block)).cast("double"),
-        "_in": F.when(c(pos) < length - 1, 0.0).when(c(pos) == length - 1, c("_seed")).otherwise(
-            c(value) * (1.0 - decay)),
-    })
-    w = Window.partitionBy(key, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    # The first `length` rows lie in block 0 (a block is several lengths long), so the seed is a window there.
+    blocks = Window.partitionBy(key, "_blk")
+    first = F.when(c(pos) < length, c(value))
+    fed = df.withColumns({"_blk": F.floor(c(pos) / F.lit(block)).cast("long"), "_off": F.pmod(c(pos), F.lit(block)).cast("double")})
+    fed = fed.withColumn("_seed", F.when((c("_blk") == 0) & (F.count(first).over(blocks) == length), F.avg(first).over(blocks)))
+    fed = fed.withColumn("_in", F.when(c(pos) < length - 1, 0.0).when(c(pos) == length - 1, c("_seed")).otherwise(c(value) * (1.0 - decay)))
+    w = blocks.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     scaled = F.sum(c("_in") * F.pow(F.lit(decay), -c("_off"))).over(w)
     local = fed.withColumn("_local", scaled * F.pow(F.lit(decay), c("_off")))
-    ends = local.groupBy(key, "_blk").agg(F.max_by("_local", pos).alias("_end"))
+    ends = local.groupBy(key, "_blk").agg(F.max_by("_local", pos).alias("_end"), F.max("_seed").isNotNull().alias("_has"))
     step = decay**block
     by_blk = Window.partitionBy(key).orderBy("_blk")
     carry = sum((F.coalesce(F.lag("_end", d + 1).over(by_blk), F.lit(0.0)) * step**d for d in range(reach)), F.lit(0.0))
-    carries = ends.select(key, "_blk", carry.alias("_carry"))
+    carries = ends.select(key, "_blk", carry.alias("_carry"), F.max("_has").over(by_blk.rowsBetween(Window.unboundedPreceding, 0)).alias("_ok"))
     out = local.join(carries, [key, "_blk"])
     total = c("_local") + c("_carry") * F.pow(F.lit(decay), c("_off") + 1.0)
-    ready = (c(pos) >= length - 1) & c("_seed").isNotNull()
-    return out.withColumn(name, F.when(ready, total)).drop("_seed", "_blk", "_off", "_in", "_local", "_carry")
+    return out.withColumn(name, F.when((c(pos) >= length - 1) & c("_ok"), total)).drop("_seed", "_blk", "_off", "_in", "_local", "_carry", "_ok")
 
 
 def atr(df: DataFrame, length: int = 14, name: str = "atr") -> DataFrame:
