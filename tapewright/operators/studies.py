@@ -10,7 +10,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapewright.functions import stats as st
 from tapewright.operators.medians import exact_medians
@@ -301,31 +300,41 @@ def equity_curve(sessions: DataFrame, warmup: int = 14, dynamic: bool = False, c
     per_share = sessions.withColumns({
         "gross": F.aggregate("trades", F.lit(0.0), lambda a, t: a + (t.exit - t.entry) * t.side),
         "count": F.size("trades")}).select("symbol", "session", "session_no", "open_px", "gross", "count")
-    schema = T.StructType([
-        T.StructField("symbol", T.StringType()), T.StructField("session", T.StringType()),
-        T.StructField("shares", T.LongType()), T.StructField("trades", T.LongType()),
-        T.StructField("ret", T.DoubleType()), T.StructField("equity", T.DoubleType())])
-
-    def fold(frame):
-        frame = frame.sort_values("session_no")
-        aum, rets, rows = capital, [0.0] * warmup, []
-        for r in frame.itertuples(index=False):
-            lev = 1.0
-            if dynamic and len(rets) >= warmup:
-                recent = rets[-warmup:]
-                mean = math.fsum(recent) / warmup
-                sd = math.sqrt(math.fsum((x - mean) ** 2 for x in recent) / (warmup - 1))
-                lev = min(max_lev, target_vol / sd) if sd > 0 else max_lev
-            shares = int((aum * lev) // r.open_px) if r.open_px > 0 else 0
-            # No position is opened without a whole share.
-            pnl = (r.gross - 2.0 * cost * r.count) * shares if shares > 0 else 0.0
-            ret = pnl / aum if aum > 0 else 0.0
-            aum += pnl
-            rets.append(ret)
-            rows.append((r.symbol, r.session, shares, r.count if shares > 0 else 0, ret, aum))
-        return type(frame)(rows, columns=[f.name for f in schema.fields])
-
-    return per_share.groupBy("symbol").applyInPandas(fold, schema)
+    item = F.struct("session_no", "session", "gross", c("count").cast("long").alias("count"), "open_px")
+    per_symbol = per_share.groupBy("symbol").agg(F.array_sort(F.collect_list(item)).alias("_days"))
+    add = lambda acc, x: acc + x
+    none = F.array().cast("array<struct<session:string,shares:bigint,trades:bigint,ret:double,equity:double>>")
+    start = F.struct(F.lit(float(capital)).alias("aum"), F.array_repeat(F.lit(0.0), warmup).alias("recent"), none.alias("rows"))
+
+    def let(value, body):
+        """body(value) with the value computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def leverage(recent):
+        def spread(mean):
+            return F.sqrt(F.aggregate(F.transform(recent, lambda x: (x - mean) * (x - mean)), F.lit(0.0), add) / (warmup - 1))
+
+        sd = let(F.aggregate(recent, F.lit(0.0), add) / warmup, spread)
+        return let(sd, lambda v: F.when(v > 0, F.least(F.lit(float(max_lev)), target_vol / v)).otherwise(F.lit(float(max_lev))))
+
+    def fold(acc, x):
+        lev = leverage(acc.recent) if dynamic else F.lit(1.0)
+        shares = F.when(x.open_px > 0, F.floor(acc.aum * lev / x.open_px)).otherwise(0).cast("long")
+
+        def book(n):
+            held = n > 0  # no position is opened without a whole share
+            return let(F.when(held, (x.gross - 2.0 * cost * x["count"]) * n).otherwise(0.0), lambda pnl: after(n, held, pnl))
+
+        def after(n, held, pnl):
+            ret = F.when(acc.aum > 0, pnl / acc.aum).otherwise(0.0)
+            row = F.struct(x.session.alias("session"), n.alias("shares"), F.when(held, x["count"]).otherwise(0).cast("long").alias("trades"),
+                           ret.alias("ret"), (acc.aum + pnl).alias("equity"))
+            recent = F.slice(F.concat(acc.recent, F.array(ret)), 2, warmup)
+            return F.struct((acc.aum + pnl).alias("aum"), recent.alias("recent"), F.concat(acc.rows, F.array(row)).alias("rows"))
+
+        return let(shares, book)
+
+    return per_symbol.select("symbol", F.inline(F.aggregate("_days", start, fold)["rows"]))
 
 
 def monthly_compound(days: DataFrame, by: list[str], month: Column, value: str) -> DataFrame:
