@@ -25,38 +25,42 @@ def true_range(df: DataFrame, name: str = "tr") -> DataFrame:
     return over_history(df, 1, add)
 
 
-def rma(df: DataFrame, value: str, length: int, name: str, key: str = "symbol", pos: str = "idx") -> DataFrame:
-    """Wilder smoothing seeded with the mean of the first `length` values.
+def exp_sum(df: DataFrame, value: str, decay: float, name: str, key: str = "symbol", pos: str = "idx") -> DataFrame:
+    """Add the sum of decay**k times the value k rows back, over all rows before.
 
-    y = a*y' + (1-a)*x composes, so it runs in blocks: inside a block a scaled
+    y = a*y' + x composes, so it runs in blocks: inside a block a scaled
     running sum, between blocks a short weighted sum of block ends. Blocks are
     short enough for a**-block to stay harmless, and the carry reaches back
     until its weight is below double precision.
     """
-    if length <= 0:
-        raise ValueError(f"length must be positive: {length}")
-    decay = 1.0 - 1.0 / length
-    if decay == 0.0:
-        return df.withColumn(name, c(value))
     block = max(8, int(math.log(1e3) / -math.log(decay)))
     reach = max(1, math.ceil(math.log(1e20) / (-math.log(decay) * block)))
-    # The first `length` rows lie in block 0 (a block is several lengths long), so the seed is a window there.
-    blocks = Window.partitionBy(key, "_blk")
-    first = F.when(c(pos) < length, c(value))
     fed = df.withColumns({"_blk": F.floor(c(pos) / F.lit(block)).cast("long"), "_off": F.pmod(c(pos), F.lit(block)).cast("double")})
-    fed = fed.withColumn("_seed", F.when((c("_blk") == 0) & (F.count(first).over(blocks) == length), F.avg(first).over(blocks)))
-    fed = fed.withColumn("_in", F.when(c(pos) < length - 1, 0.0).when(c(pos) == length - 1, c("_seed")).otherwise(c(value) * (1.0 - decay)))
-    w = blocks.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    scaled = F.sum(c("_in") * F.pow(F.lit(decay), -c("_off"))).over(w)
+    w = Window.partitionBy(key, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    scaled = F.sum(c(value) * F.pow(F.lit(decay), -c("_off"))).over(w)
     local = fed.withColumn("_local", scaled * F.pow(F.lit(decay), c("_off")))
-    ends = local.groupBy(key, "_blk").agg(F.max_by("_local", pos).alias("_end"), F.max("_seed").isNotNull().alias("_has"))
+    ends = local.groupBy(key, "_blk").agg(F.max_by("_local", pos).alias("_end"))
     step = decay**block
     by_blk = Window.partitionBy(key).orderBy("_blk")
     carry = sum((F.coalesce(F.lag("_end", d + 1).over(by_blk), F.lit(0.0)) * step**d for d in range(reach)), F.lit(0.0))
-    carries = ends.select(key, "_blk", carry.alias("_carry"), F.max("_has").over(by_blk.rowsBetween(Window.unboundedPreceding, 0)).alias("_ok"))
-    out = local.join(carries, [key, "_blk"])
-    total = c("_local") + c("_carry") * F.pow(F.lit(decay), c("_off") + 1.0)
-    return out.withColumn(name, F.when((c(pos) >= length - 1) & c("_ok"), total)).drop("_seed", "_blk", "_off", "_in", "_local", "_carry", "_ok")
+    out = local.join(ends.select(key, "_blk", carry.alias("_carry")), [key, "_blk"])
+    return out.withColumn(name, c("_local") + c("_carry") * F.pow(F.lit(decay), c("_off") + 1.0)).drop("_blk", "_off", "_local", "_carry")
+
+
+def rma(df: DataFrame, value: str, length: int, name: str, key: str = "symbol", pos: str = "idx") -> DataFrame:
+    """Wilder smoothing seeded with the mean of the first `length` values, NULL before them and for shorter series.
+
+    The first rows lie in one bounded window, so the seed needs no join.
+    """
+    if length <= 0:
+        raise ValueError(f"length must be positive: {length}")
+    decay = 1.0 - 1.0 / length
+    if decay == 0.0:
+        return df.withColumn(name, c(value))
+    head = Window.partitionBy(key, F.floor(c(pos) / F.lit(length)))
+    seed = F.when(F.count(value).over(head) == length, F.avg(value).over(head))
+    fed = df.withColumn("_seed", seed).withColumn("_in", F.when(c(pos) < length - 1, 0.0).when(c(pos) == length - 1, c("_seed")).otherwise(c(value) * (1.0 - decay)))
+    return exp_sum(fed, "_in", decay, "_sum", key, pos).withColumn(name, F.when(c(pos) >= length - 1, c("_sum"))).drop("_seed", "_in", "_sum")
 
 
 def atr(df: DataFrame, length: int = 14, name: str = "atr") -> DataFrame:
@@ -146,20 +150,25 @@ def near_key_open(price: Column, tolerance: Column, names: tuple[str, ...] = ("n
 def bounded_ema(df: DataFrame, length: int, name: str, value: str = "close", spread: int = 10) -> DataFrame:
     """EMA over at most spread*length bars, seeded by the mean of the first ones.
 
-    The window is bounded by definition, so a plain frame array folds it.
+    With m bars in reach it is a mean `length` bars long, m - length bars ago,
+    that has decayed since, plus the exponential sum of the bars after it: a
+    running sum less what left the window.
     """
-    span = spread * length
-    k = 2.0 / (length + 1.0)
+    span, k = spread * length, 2.0 / (length + 1.0)
+    decay, gap = 1.0 - k, spread * length - length
 
     def add(part, w):
-        arr = F.collect_list(value).over(back(w, span - 1))
-        part = part.withColumn("_arr", arr)
-        seed = F.aggregate(F.slice("_arr", 1, length), F.lit(0.0), lambda s, x: s + x) / F.lit(float(length))
-        rest = F.slice("_arr", length + 1, span)
-        ema = F.aggregate(rest, seed, lambda e, x: x * k + e * (1.0 - k))
-        return part.withColumn(name, F.when(c("idx") >= length, ema)).drop("_arr")
-
-    return over_history(df, span, add)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        part = part.withColumn("_mean", F.avg(value).over(back(w, length - 1)))
+        # Until the window is full its mean is the series' first, at row length - 1 of the first chunk.
+        full = c("idx") >= span - 1
+        first = lambda n: F.max(F.when(c("idx") == length - 1, c(n))).over(whole)
+        then = {n: F.when(full, F.lag(n, gap).over(w)).otherwise(first(n)) for n in ("_mean", "_sum")}
+        faded = F.pow(F.lit(decay), F.when(full, float(gap)).otherwise(c("idx") - (length - 1)))
+        ema = faded * then["_mean"] + k * (c("_sum") - faded * then["_sum"])
+        return part.withColumn(name, F.when(c("idx") >= length, ema)).drop("_mean", "_sum")
+
+    return over_history(exp_sum(df, value, decay, "_sum"), span, add)
 
 
 def session_bar_index(df: DataFrame) -> DataFrame:
