@@ -28,13 +28,9 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import ID, TH, identified, partitions, slices, stored
 
 END = 0
-PRECISION, LANES, BLOCK, SEGMENT = 18, 512, 1 << 16, 1 << 18
-#: Distinct words whose ids a worker keeps.
-KNOWN = 400_000
-#: A space that another character but white space follows always begins a pre-token, so texts may be cut there.
-_CUT_UNSAFE = re.compile(r" (?:\s|$)|[\x1c-\x1f\x85᠎]|<\|endoftext\|>")
-
-
+PRECISION, LANES, BLOCK, SEGMENT = 18, 2048, 1 << 17, 1 << 18
+#: Distinct pieces whose ids a worker keeps, twice at most.
+KNOWN = 500_000
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -42,43 +38,106 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Known(dict):
+    """Piece -> its ids' bytes. An unknown piece gets an empty slot and is noted in `new`, to be filled soon."""
+
+    def __init__(self, older: dict):
+        super().__init__({b"": b""})
+        self.older, self.new = older, []
+
+    def __missing__(self, piece: bytes):
+        data = self.older.get(piece)
+        if data is None:
+            data = bytearray()
+            self.new.append(piece)
+        self[piece] = data
+        return data
+
+
 class Encoder:
-    """Token ids of texts, as the library's `encode(text, add_special_tokens=False)` gives them.
+    """Token ids of UTF-8 texts, as the library's `encode(text, add_special_tokens=False)` gives them.
 
-    Byte-level BPE never merges across pre-tokens, so ids of space-separated
-    pieces are kept and joined; texts where a cut might fall inside a pre-token
-    or a special token go to the library whole.
+    Byte-level BPE never merges across pre-tokens, so texts may be cut where a
+    pre-token surely begins, and the pieces' ids kept and joined. Such places
+    are a space before another character but white space, a comma or stop after a
+    letter or digit, and both sides of a lone newline. Texts where a cut might fall inside a
+    pre-token or a special token are cut at spaces only, or not at all.
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path, self.known = path, _Known({})
+        vocab = tokenizer(path).get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        got = tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        got = tokenizer(self.path).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts: list[list[str] | None] = []
-        new: dict[str, None] = {}
+    def _learn(self) -> None:
         known = self.known
-        for t in texts:
-            if _CUT_UNSAFE.search(t):
-                parts.append(None)
-                continue
-            cut = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
-            parts.append(cut)
-            new.update(dict.fromkeys(w for w in cut if w not in known))
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = dict.fromkeys(w for cut in parts if cut for w in cut)
-        words = [w for w in new if w]
-        for a in range(0, len(words), 8192):
-            some = words[a : a + 8192]
-            known.update(zip(some, (x.tobytes() for x in self._encode(some))))
-        known[""] = b""
-        get = known.__getitem__
-        whole = iter(self._encode([t for t, cut in zip(texts, parts) if cut is None]))
-        return [next(whole) if cut is None else np.frombuffer(b"".join(map(get, cut)), np.uint32) for cut in parts]
+        words, rest = [], []
+        for w in known.new:
+            (words if w[0] == 32 else rest).append(w)
+        known.new = []
+        found = list(zip(rest, (x.tobytes() for x in self._encode(rest))))
+        # Words with a space in front are encoded many in a row; a token with that space begins a word.
+        for a in range(0, len(words), 256):
+            some = words[a : a + 256]
+            ids, = self._encode([b"".join(some)])
+            starts = np.flatnonzero(self.spaced[ids])
+            data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            assert len(starts) == len(some)
+            found += [(w, data[i:j]) for w, i, j in zip(some, at, at[1:])]
+        for w, data in found:
+            known[w].extend(data)
+        known.update(found)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.known) > KNOWN:
+            older, self.known.older = self.known, {}
+            self.known = _Known(older)
+        get = self.known.__getitem__
+        found = [list(map(get, cut)) if (cut := _cut(t)) else None for t in texts]
+        self._learn()
+        whole = iter(self._encode([t for t, data in zip(texts, found) if data is None]))
+        return [next(whole) if data is None else np.frombuffer(b"".join(data), np.uint32) for data in found]
+
+
+#: Classes of bytes for `_cut`: P marks, W white space but B blank, U other separators, L letters and digits, S all else; bytes beyond ASCII count as letters.
+_CLASS = bytes(ord("P" if c in b",." else "B" if c == 32 else "W" if c in b"\t\n\v\f\r" else "U" if c in b"\0\x1c\x1d\x1e\x1f" else "L" if c >= 128 or chr(c).isalnum() else "S") for c in range(256))
+_ASCII = bytes(range(128))
+_OTHER, _SPACE = re.compile(r"[^\w\x00-\x7f]"), re.compile(r" (?=\s|$)|[\x85\u180e]")
+
+
+def _cut(raw: bytes) -> list[bytes] | None:
+    """Pieces that begin where a pre-token begins; None if the text has to stay whole."""
+    marks = raw.translate(_CLASS)
+    if b"U" in marks or b"BB" in marks or b"BW" in marks or marks[-1:] == b"B" or b"<|endoftext|>" in raw:
+        return None
+    plain = raw.isascii()
+    if not plain:
+        # U+00C0 to U+00FF are letters but for two; other characters are looked at one by one.
+        high = raw.translate(None, _ASCII)
+        plain = not high[::2].strip(b"\xc3") and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw
+        if not plain:
+            text = raw.decode()
+            plain = not _OTHER.search(text)
+            if not plain and _SPACE.search(text):
+                return None
+    if plain:
+        lines = b"WW" not in marks
+        if not any(x in marks for x in (b"PP", b"SP", b"BP", b"WP")) and marks[:1] != b"P":
+            raw = raw.replace(b",", b"\0,").replace(b".", b"\0.")
+        if lines:
+            raw = raw.replace(b"\n", b"\0\n\0")
+    return raw.replace(b" ", b"\0 ").split(b"\0")
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker, so that what it has learned serves later tasks."""
+    return Encoder(path)
 
 
 def _pack(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
@@ -91,20 +150,23 @@ def _unpack(data: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 def tokenized(texts: DataFrame, path: str) -> DataFrame:
-    """Rows: identity, n, ids (packed); and one row per task with the counts of its ids (id columns null, n -1)."""
+    """Rows: identity, n, ids (packed), salt (place in the task); and one row per task with the counts of its ids (id columns null, n -1)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press, counts = Encoder(path), zstandard.ZstdCompressor(level=1), np.zeros(1 << 16, np.int64)
+        own, press, counts = encoder(path), zstandard.ZstdCompressor(level=1), np.zeros(1 << 16, np.int64)
+        done = 0
         for batch in slices(batches):
-            ids = [np.append(x, np.uint32(END)) for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [np.append(x, np.uint32(END)) for x in own.encode(batch.column("text").cast(pa.binary()).to_pylist())]
             got = np.bincount(np.concatenate(ids))
             if len(got) > len(counts):
                 counts = np.pad(counts, (0, len(got) - len(counts)))
             counts[: len(got)] += got
             n = np.array([len(x) for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(ID), batch.column(TH), pa.array(n), pa.array([_pack(x, press) for x in ids], pa.binary())], [ID, TH, "n", "ids"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([-1], pa.int64()), pa.array([press.compress(counts.tobytes())], pa.binary())], [ID, TH, "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(ID), batch.column(TH), pa.array(n), pa.array([_pack(x, press) for x in ids], pa.binary()),
+                                              pa.array(np.arange(done, done + len(ids)))], [ID, TH, "n", "ids", "salt"])
+            done += len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([-1], pa.int64()), pa.array([press.compress(counts.tobytes())], pa.binary()), pa.array([None], pa.int64())], [ID, TH, "n", "ids", "salt"])
 
-    return texts.mapInArrow(work, f"{ID} bigint, {TH} bigint, n bigint, ids binary")
+    return texts.mapInArrow(work, f"{ID} bigint, {TH} bigint, n bigint, ids binary, salt bigint")
 
 
 def frequencies(parts: DataFrame) -> DataFrame:
@@ -129,9 +191,9 @@ class Table:
 
     def __post_init__(self):
         size = int(self.token.max()) + 1 if len(self.token) else 1
-        self.f, self.c = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.f[self.token] = self.freq
-        self.c[self.token] = np.cumsum(self.freq) - self.freq
+        #: Frequency in the high half, running sum in the low half: one look-up for both.
+        self.both = np.zeros(size, np.uint64)
+        self.both[self.token] = (self.freq.astype(np.uint64) << np.uint64(32)) | (np.cumsum(self.freq) - self.freq).astype(np.uint64)
         self.slot = np.repeat(self.token, self.freq.astype(np.int64)).astype(np.uint32)
 
 
@@ -150,7 +212,7 @@ def scaled(token: np.ndarray, count: np.ndarray) -> Table:
     return Table(token.astype(np.int64), freq)
 
 
-_LOW = np.uint64(1 << 31)
+_LOW, _HALF, _WORD = np.uint64(1 << 31), np.uint64(32), np.uint64(0xFFFFFFFF)
 _P, _MASK = np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1)
 
 
@@ -162,13 +224,15 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     for s in range(steps - 1, -1, -1):
         some = ids[s * LANES : (s + 1) * LANES]
         x = state[: len(some)]
-        f, c = table.f[some], table.c[some]
-        full = x >= (f << np.uint64(63 - PRECISION))
-        if full.any():
-            words.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-            x = np.where(full, x >> np.uint64(32), x)
+        both = table.both[some]
+        f = both >> _HALF
+        full = np.flatnonzero(x >= (f << np.uint64(63 - PRECISION)))
+        if len(full):
+            over = x[full]
+            words.append((over & _WORD).astype("<u4"))
+            x[full] = over >> _HALF
         q = x // f
-        state[: len(some)] = (q << _P) + (x - q * f) + c
+        state[: len(some)] = (q << _P) + (x - q * f) + (both & _WORD)
     return state.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(words))
 
 
@@ -182,10 +246,11 @@ def decode_block(data: bytes, n: int, table: Table) -> np.ndarray:
         low = x & _MASK
         some = table.slot[low]
         out[s : s + m] = some
-        x = table.f[some] * (x >> _P) + low - table.c[some]
+        both = table.both[some]
+        x = (both >> _HALF) * (x >> _P) + low - (both & _WORD)
         need = np.flatnonzero(x < _LOW)
         if len(need):
-            x[need] = (x[need] << np.uint64(32)) | words[at : at + len(need)]
+            x[need] = (x[need] << _HALF) | words[at : at + len(need)]
             at += len(need)
         state[:m] = x
     return out
@@ -224,8 +289,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     """Files of all texts (null: empty) in ascending id order, null ids first, equal ids by text hash; each ends with id 0.
 
     Shards are ranges of ids of about equal row counts. Equal rows are stored
-    each. An id that holds a large share of the rows is one shard's; its
-    documents are split over shards by text hash.
+    each. An id that holds a large share of the rows is split over shards by
+    text hash, and rows equal in both by their stored salt.
     """
     spark = docs.sparkSession
     parts = stored(tokenized(identified(docs, id_col, text_col), vocabulary), "ids")
@@ -233,7 +298,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(table)
     rows = parts.filter("n >= 0")
     n = partitions(spark)
-    ranged = rows.repartitionByRange(n, F.asc_nulls_first(ID), TH).withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.asc_nulls_first(ID), TH)
+    ranged = rows.repartitionByRange(n, F.asc_nulls_first(ID), TH, "salt").withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.asc_nulls_first(ID), TH)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, press = shared.value, zstandard.ZstdDecompressor()
