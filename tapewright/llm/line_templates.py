@@ -32,7 +32,7 @@ def _signed(text: str) -> int:
 
 
 def leaves(texts: DataFrame, lead: int, least: int) -> DataFrame:
-    """Rows: identity, place of the line, hash of its masked words, leaf; lines of `least` words or more."""
+    """Rows: identity, place of the line, hash of its masked words, leaf, words that are fixed, words; lines of `least` words or more."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             row, out = [], []
@@ -41,26 +41,39 @@ def leaves(texts: DataFrame, lead: int, least: int) -> DataFrame:
                     words = masked(line)
                     if len(words) >= least:
                         row.append(i)
-                        out.append((at, _signed(" ".join(words)), _signed(f"{len(words)} {' '.join(words[:lead])}")))
+                        out.append((at, _signed(" ".join(words)), _signed(f"{len(words)} {' '.join(words[:lead])}"),
+                                    len(words) - words.count(WILD), len(words)))
             take = pa.array(row, pa.int64())
-            cols = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(ID).take(take), batch.column(TH).take(take), pa.array(cols[0], pa.int32()),
-                                              pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], [ID, TH, "at", "line", "leaf"])
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([
+                batch.column(ID).take(take), batch.column(TH).take(take), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()),
+                pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], [ID, TH, "at", "line", "leaf", "fixed", "n"])
 
-    return texts.mapInArrow(work, f"{ID} bigint, {TH} bigint, at int, line bigint, leaf bigint")
+    return texts.mapInArrow(work, f"{ID} bigint, {TH} bigint, at int, line bigint, leaf bigint, fixed int, n int")
 
 
 def recurring(texts: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, least: int = MIN_WORDS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
-    """(lines of all texts, rows (line, template) of the masked lines to drop)."""
+    """(lines of all texts, rows (line, template) of the masked lines to drop); both by hash.
+
+    A leaf with one line needs no look at its words: the line is its template.
+    """
     lines = stored(leaves(texts, lead, least), "lines")
-    pairs = lines.select("leaf", "line", ID, TH).distinct()
+    pairs = lines.select("leaf", "line", "fixed", "n", ID, TH).distinct()
     # Leaves that enough documents reach; a hot leaf is summed before it is shuffled.
-    reached = pairs.select("leaf", ID, TH).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
-    pairs = stored(pairs.join(reached, "leaf", "left_semi"), "pairs")
+    docs = pairs.select("leaf", ID, TH).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    per_line = stored(pairs.groupBy("leaf", "line", "fixed", "n").agg(F.count(F.lit(1)).alias("line_docs")), "per_line")
+    sorts = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("sorts"))
+    reached = stored(docs.join(sorts, "leaf").select("leaf", "sorts"), "leaves")
+    enough = lambda fixed, n: (fixed >= n * constant) & (fixed >= least)
+    alone = per_line.join(reached.filter("sorts = 1"), "leaf", "left_semi").filter(
+        enough(F.col("fixed"), F.col("n")) & (F.col("line_docs") >= min_docs)).select("line", F.col("line").alias("template"))
+
+    shared = reached.filter("sorts > 1").select("leaf")
+    pairs = stored(lines.join(shared, "leaf", "left_semi").select("line", ID, TH).distinct(), "pairs")
     # One place to read each distinct masked line from.
-    place = lines.join(reached, "leaf", "left_semi").groupBy("line").agg(F.min(F.struct(F.col(ID).alias("p_id"), F.col(TH).alias("p_th"), "at")).alias("p"))
+    place = lines.join(shared, "leaf", "left_semi").groupBy("line").agg(F.min(F.struct(F.col(ID).alias("p_id"), F.col(TH).alias("p_th"), "at")).alias("p"))
     wanted = place.groupBy("p.p_id", "p.p_th").agg(F.collect_list("p.at").alias("ats"))
-    sources = texts.join(wanted, texts[ID].eqNullSafe(wanted["p_id"]) & (texts[TH] == wanted["p_th"])).select(ID, TH, "text", "ats")
+    sources = texts.join(wanted, texts[ID].eqNullSafe(wanted["p_id"]) & (texts[TH] == wanted["p_th"])).select("text", "ats")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -69,28 +82,30 @@ def recurring(texts: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, leas
                 split = t.split("\n")
                 for at in ats:
                     words = masked(split[at])
-                    out.append((_signed(f"{len(words)} {' '.join(words[:lead])}"), _signed(" ".join(words)), words))
-            cols = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string()))], ["leaf", "line", "words"])
+                    out.append((_signed(" ".join(words)), list(map(_signed, words))))
+            cols = list(zip(*out)) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64()))], ["line", "words"])
 
     # Repeated rows of one document give a line more than once.
-    words = stored(sources.mapInArrow(read, "leaf bigint, line bigint, words array<string>").dropDuplicates(["line"]), "words")
-    placed = words.select("leaf", "line", F.posexplode("words").alias("pos", "word"))
-    docs_of = pairs.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
+    read_ = sources.mapInArrow(read, "line bigint, words array<bigint>").dropDuplicates(["line"])
+    words = stored(read_.join(per_line, "line").select("leaf", "line", "line_docs", "words"), "words")
+    wild = F.lit(_signed(WILD))
+    placed = words.select("leaf", "line", "line_docs", F.posexplode("words").alias("pos", "word"))
     # Documents with a word at a place: if a line alone has enough, the count is plain; else documents are counted once over its lines.
-    fixed = placed.join(docs_of.drop("leaf"), "line").groupBy("leaf", "pos", "word").agg(F.sum("docs").alias("some"), F.max("docs").alias("most"))
-    plain = fixed.filter(F.col("most") >= min_docs).select("leaf", "pos", "word")
-    open_ = fixed.filter((F.col("most") < min_docs) & (F.col("some") >= min_docs)).select("leaf", "pos", "word")
-    counted = placed.join(open_, ["leaf", "pos", "word"]).join(pairs.drop("leaf"), "line").select("leaf", "pos", "word", ID, TH).distinct()
-    counted = counted.groupBy("leaf", "pos", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "word")
-    constants = plain.unionByName(counted).withColumn("kept", F.lit(True))
-    filled = placed.join(constants, ["leaf", "pos", "word"], "left").withColumn("word", F.when(F.col("kept") & (F.col("word") != WILD), F.col("word")).otherwise(WILD))
-    formed = filled.groupBy("line").agg(
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])).alias("template"),
-        F.sum((F.col("word") != WILD).cast("long")).alias("fixed"), F.count(F.lit(1)).alias("n"))
-    formed = formed.filter((F.col("fixed") >= F.col("n") * constant) & (F.col("fixed") >= least)).select("line", "template")
+    fixed = placed.groupBy("leaf", "pos", "word").agg(F.sum("line_docs").alias("some"), F.max("line_docs").alias("most")).filter(
+        (F.col("some") >= min_docs) & (F.col("word") != wild))
+    fixed = stored(fixed, "fixed")
+    open_ = fixed.filter(F.col("most") < min_docs).select("leaf", "pos", "word")
+    counted = placed.filter(F.col("line_docs") < min_docs).join(open_, ["leaf", "pos", "word"]).join(pairs, "line").select("leaf", "pos", "word", ID, TH).distinct()
+    counted = counted.groupBy("leaf", "pos", "word").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    constants = fixed.filter(F.col("most") >= min_docs).select("leaf", "pos", "word").unionByName(counted.select("leaf", "pos", "word"))
+    filled = placed.join(constants.withColumn("kept", F.lit(True)), ["leaf", "pos", "word"], "left").withColumn("word", F.when(F.col("kept"), F.col("word")).otherwise(wild))
+    formed = filled.groupBy("leaf", "line").agg(
+        F.xxhash64("leaf", F.array_sort(F.collect_list(F.struct("pos", "word")))).alias("template"),
+        F.count(F.when(F.col("word") != wild, 1)).alias("fixed"), F.count(F.lit(1)).alias("n"))
+    formed = stored(formed.filter(enough(F.col("fixed"), F.col("n"))).select("line", "template"), "formed")
     kept = pairs.join(formed, "line").select("template", ID, TH).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    return lines, stored(formed.join(kept.select("template"), "template", "left_semi"), "templates")
+    return lines, stored(alone.unionByName(formed.join(kept.select("template"), "template", "left_semi").select("line", "template")), "templates")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
