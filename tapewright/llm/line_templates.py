@@ -90,20 +90,21 @@ def recurring(texts: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, leas
     read_ = sources.mapInArrow(read, "line bigint, words array<bigint>").dropDuplicates(["line"])
     words = stored(read_.join(per_line, "line").select("leaf", "line", "line_docs", "words"), "words")
     wild = F.lit(_signed(WILD))
-    placed = words.select("leaf", "line", "line_docs", F.posexplode("words").alias("pos", "word"))
+    placed = words.select("leaf", "line", "line_docs", F.posexplode("words").alias("pos", "word")).filter((F.col("pos") >= lead) & (F.col("word") != wild))
     # Documents with a word at a place: if a line alone has enough, the count is plain; else documents are counted once over its lines.
     fixed = placed.groupBy("leaf", "pos", "word").agg(F.sum("line_docs").alias("some"), F.max("line_docs").alias("most")).filter(
-        (F.col("some") >= min_docs) & (F.col("word") != wild))
+        F.col("some") >= min_docs)
     fixed = stored(fixed, "fixed")
     open_ = fixed.filter(F.col("most") < min_docs).select("leaf", "pos", "word")
     counted = placed.filter(F.col("line_docs") < min_docs).join(open_, ["leaf", "pos", "word"]).join(pairs, "line").select("leaf", "pos", "word", ID, TH).distinct()
     counted = counted.groupBy("leaf", "pos", "word").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     constants = fixed.filter(F.col("most") >= min_docs).select("leaf", "pos", "word").unionByName(counted.select("leaf", "pos", "word"))
-    filled = placed.join(constants.withColumn("kept", F.lit(True)), ["leaf", "pos", "word"], "left").withColumn("word", F.when(F.col("kept"), F.col("word")).otherwise(wild))
-    formed = filled.groupBy("leaf", "line").agg(
-        F.xxhash64("leaf", F.array_sort(F.collect_list(F.struct("pos", "word")))).alias("template"),
-        F.count(F.when(F.col("word") != wild, 1)).alias("fixed"), F.count(F.lit(1)).alias("n"))
-    formed = stored(formed.filter(enough(F.col("fixed"), F.col("n"))).select("line", "template"), "formed")
+    # A line's constants with their places are its template; the other places are wildcards. Its first words are those of its leaf.
+    filled = placed.join(constants, ["leaf", "pos", "word"]).groupBy("line").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("rest"))
+    heads = words.select("line", F.col("leaf").alias("home"), F.size("words").alias("n"), F.size(F.filter(F.slice("words", 1, lead), lambda w: w != wild)).alias("head"))
+    formed = heads.join(filled, "line", "left").withColumn("fixed", F.col("head") + F.when(F.col("rest").isNull(), 0).otherwise(F.size("rest")))
+    formed = stored(formed.filter(enough(F.col("fixed"), F.col("n"))).select("line", F.xxhash64("home", "rest").alias("template")), "formed")
     kept = pairs.join(formed, "line").select("template", ID, TH).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     return lines, stored(alone.unionByName(formed.join(kept.select("template"), "template", "left_semi").select("line", "template")), "templates")
 
