@@ -28,7 +28,9 @@ SUBSETS = (2, 2, 4, 4, 8, 12, 16, 16)
 KNOWN, ENTRIES = 400_000, 1 << 20
 _MUL = np.random.Generator(np.random.Philox(key=10)).integers(0, 2**63, sum(SUBSETS), dtype=np.uint64) | np.uint64(1)
 _SHIFT = np.repeat(63 - np.arange(len(SUBSETS)), SUBSETS).astype(np.uint64)
-EMPTY = "0" * 8
+#: Hex digits of a subset's hash.
+DIGITS = 4
+EMPTY = "0" * DIGITS
 
 
 class _Terms(dict):
@@ -99,21 +101,21 @@ def lexicon(texts: DataFrame, rare: float = RARE, common: float = COMMON) -> np.
 
 
 def fingerprint(text: str, terms: _Terms, every: _Terms) -> str:
-    """Eight hex digits per subset. Without a lexicon term all terms count, so that such texts differ, too."""
+    """DIGITS hex digits per subset, zeros for one without a term. Without a lexicon term all terms count, so that such texts differ, too."""
     words = words_of(text)
     h = np.unique(np.fromiter(map(terms.__getitem__, words), np.uint64, len(words)))
     h = h[h > 0]
     if not len(h):
         h = np.unique(np.fromiter(map(every.__getitem__, words), np.uint64, len(words)))
     taken = (h[:, None] * _MUL >> _SHIFT) == 0
-    return "".join(hashlib.blake2b(h[taken[:, k]].tobytes(), digest_size=4).hexdigest() if some else EMPTY for k, some in enumerate(taken.any(0)))
+    return "".join(hashlib.blake2b(h[taken[:, k]].tobytes(), digest_size=DIGITS // 2).hexdigest() if some else EMPTY for k, some in enumerate(taken.any(0)))
 
 
 def likeness(a: str, b: str) -> float:
     """Share of equal subset hashes among the subsets in which either text has a term; 1 if the fingerprints are equal."""
     if a == b:
         return 1.0
-    pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(0, len(a), 8)]
+    pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(0, len(a), DIGITS)]
     used = [(x, y) for x, y in pairs if x != EMPTY or y != EMPTY]
     return sum(x == y for x, y in used) / len(used) if used else 0.0
 
@@ -148,7 +150,9 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
     texts = identified(docs, id_col, text_col)
     shared = spark.sparkContext.broadcast(lexicon(texts, rare, common))
     order = [F.asc_nulls_first(ID), F.asc(TH)]
-    ranged = texts.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(ID, "text", F.spark_partition_id().alias("part"))
+    # Rows equal in id and text may be many; their place in the input splits them over ranges.
+    placed = texts.withColumn("place", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(partitions(spark), *order, "place").sortWithinPartitions(*order).select(ID, "text", F.spark_partition_id().alias("part"))
     names = [f.split()[0] for f in _RESULT.split(", ")]
     schema = f"{_RESULT}, part int, first boolean, text string"
 
