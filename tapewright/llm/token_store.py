@@ -30,7 +30,7 @@ from tapewright.llm.common import ID, TH, identified, partitions, slices, stored
 END = 0
 PRECISION, LANES, BLOCK, SEGMENT = 18, 2048, 1 << 17, 1 << 18
 #: Distinct pieces whose ids a worker keeps, twice at most.
-KNOWN = 500_000
+KNOWN = 400_000
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -150,7 +150,7 @@ def _unpack(data: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 def tokenized(texts: DataFrame, path: str) -> DataFrame:
-    """Rows: identity, n, ids (packed), salt (place in the task); and one row per task with the counts of its ids (id columns null, n -1)."""
+    """Rows: identity, n, ids (packed), salt (place in the task); and one row per task with the counts of its ids (other columns null, n -1)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, press, counts = encoder(path), zstandard.ZstdCompressor(level=1), np.zeros(1 << 16, np.int64)
         done = 0
@@ -162,23 +162,25 @@ def tokenized(texts: DataFrame, path: str) -> DataFrame:
             counts[: len(got)] += got
             n = np.array([len(x) for x in ids], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(ID), batch.column(TH), pa.array(n), pa.array([_pack(x, press) for x in ids], pa.binary()),
-                                              pa.array(np.arange(done, done + len(ids)))], [ID, TH, "n", "ids", "salt"])
+                                              pa.array(np.arange(done, done + len(ids))), pa.array([None] * len(ids), pa.binary())], [ID, TH, "n", "ids", "salt", "counts"])
             done += len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([-1], pa.int64()), pa.array([press.compress(counts.tobytes())], pa.binary()), pa.array([None], pa.int64())], [ID, TH, "n", "ids", "salt"])
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()),
+                                           pa.array([press.compress(counts.tobytes())], pa.binary())], [ID, TH, "n", "ids", "salt", "counts"])
 
-    return texts.mapInArrow(work, f"{ID} bigint, {TH} bigint, n bigint, ids binary, salt bigint")
+    return texts.mapInArrow(work, f"{ID} bigint, {TH} bigint, n bigint, ids binary, salt bigint, counts binary")
 
 
 def frequencies(parts: DataFrame) -> DataFrame:
     """Rows (token, freq): counts of all tasks scaled to 2^PRECISION in all, at least 1 each."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("ids").to_pylist():
+            for data in batch.column("counts").to_pylist():
                 counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], ["token", "count"])
 
-    counts = parts.filter("n = -1").select("ids").mapInArrow(spread, "token bigint, count bigint")
+    counts = parts.filter("n = -1").select("counts").mapInArrow(spread, "token bigint, count bigint")
     return counts.groupBy("token").agg(F.sum("count").alias("count"))
 
 
@@ -296,7 +298,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
     parts = stored(tokenized(identified(docs, id_col, text_col), vocabulary), "ids")
     table = _table(frequencies(parts))
     shared = spark.sparkContext.broadcast(table)
-    rows = parts.filter("n >= 0")
+    rows = parts.filter("n >= 0").drop("counts")
     n = partitions(spark)
     ranged = rows.repartitionByRange(n, F.asc_nulls_first(ID), TH, "salt").withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.asc_nulls_first(ID), TH)
 
