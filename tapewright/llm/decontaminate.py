@@ -1,14 +1,15 @@
-"""Benchmark decontamination with spaced seeds.
+"""Benchmark decontamination with seeds no longer than any overlap is bound to hold.
 
-A mask fixes some token positions of a short span and ignores the others, so
-that a substituted token in an ignored position leaves the seed's hash
-unchanged. Document seeds are looked up in the benchmark's; around each hit the
-document and the item are compared along the hit's diagonal, and the best run
-that tolerates substitutions is kept.
+Seeds are short runs of tokens. A substitution splits an overlap, and the share
+of agreeing tokens that an overlap needs bounds the number of pieces; so every
+overlap that counts has a run of the seed's length in which nothing is
+substituted. Around each hit the document and the item are compared along the
+hit's diagonal, and the stretch with the most agreeing tokens is kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import slices
 from tapewright.llm.jaccard_join import words_of
 
-#: 1: the token counts, 0: it is ignored. Any one substitution in a span leaves a mask whole.
-MASKS = ("11101001111", "11110010111", "11011101101", "10111110011")
-SPAN = max(map(len, MASKS))
 #: An overlap counts if so many tokens agree, or all of a shorter item, ...
 MIN_TOKENS = 13
 #: ... and so large a share of the overlap's tokens.
@@ -30,6 +28,19 @@ IDENTITY = 0.8
 PASS_TOKENS = 2_000_000
 #: Items shorter than this many tokens are too short to be told from ordinary phrases.
 LEAST_ITEM = 5
+#: (document, item) diagonals compared together, in tokens.
+TOGETHER = 1 << 18
+
+
+def bar(n: int) -> int:
+    """Tokens that must agree in an overlap with an item of n tokens."""
+    return min(MIN_TOKENS, math.ceil(n * IDENTITY - 1e-9))
+
+
+def seed_length(n: int) -> int:
+    """Length of the agreeing run that every overlap with an item of n tokens has: a agreeing tokens, cut by s substitutions, leave ceil(a / (s + 1)) or more."""
+    least = bar(n)
+    return min(-(-a // (min(n - a, int(a * (1 - IDENTITY) / IDENTITY + 1e-9)) + 1)) for a in range(least, n + 1))
 
 
 class Index:
@@ -42,21 +53,23 @@ class Index:
             if len(words) >= LEAST_ITEM:
                 self.ids.append(item)
                 self.items.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64))
-        short = sorted({len(x) for x in self.items if len(x) < SPAN})
-        self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS] + [np.arange(k) for k in short]
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.starts = np.cumsum([0, *self.sizes])[:-1]
+        self.flat = np.concatenate(self.items) if self.items else np.zeros(0, np.int64)
+        self.bars = np.array([bar(n) for n in self.sizes], np.int64)
+        lengths = np.array([seed_length(n) for n in self.sizes], np.int64)
         self.seeds = []
-        for k, offsets in enumerate(self.masks):
+        for k in map(int, np.unique(lengths)):
             found = []
-            for i, x in enumerate(self.items):
-                if (k < len(MASKS) and len(x) >= SPAN) or len(x) == len(offsets):
-                    at = np.arange(max(0, len(x) - int(offsets[-1])))
-                    found.append(np.stack([self.hash(x, at, offsets).view(np.int64), np.full(len(at), i), at]))
-            table = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+            for i in np.flatnonzero(lengths == k):
+                at = np.arange(len(self.items[i]) - k + 1)
+                found.append(np.stack([self.hash(self.items[i], at, range(k)).view(np.int64), np.full(len(at), i), at]))
+            table = np.concatenate(found, 1)
             by = np.argsort(table[0].view(np.uint64), kind="stable")
-            self.seeds.append((table[0][by].view(np.uint64), table[1][by], table[2][by]))
+            self.seeds.append((k, table[0][by].view(np.uint64), table[1][by], table[2][by]))
 
     @staticmethod
-    def hash(x: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def hash(x: np.ndarray, at: np.ndarray, offsets: range) -> np.ndarray:
         out = np.zeros(len(at), np.uint64)
         for o in offsets:
             out = (out ^ x[at + o].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,34 +83,61 @@ class Index:
         get = self.vocab.get
         x = np.array([get(w, 0) for w in words_of(text)], np.int64)
         known = x > 0
-        pairs: set[tuple[int, int]] = set()
-        for offsets, (hashes, item, pos) in zip(self.masks, self.seeds):
-            if len(x) <= offsets[-1] or not len(hashes):
-                continue
-            at = np.flatnonzero(known[: len(x) - int(offsets[-1])])
-            for o in offsets[1:]:
-                at = at[known[at + o]]
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for k, hashes, item, pos in self.seeds:
+            at = np.flatnonzero(np.convolve(known, np.ones(k, np.int64), "valid") == k) if len(x) >= k else np.zeros(0, np.int64)
             if not len(at):
                 continue
-            h = self.hash(x, at, offsets)
+            h = self.hash(x, at, range(k))
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for a, l, r in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]):
-                pairs.update((int(item[s]), int(a - pos[s])) for s in range(l, r))
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for i, shift in pairs:
-            y = self.items[i]
-            a, b = max(0, -shift), min(len(y), len(x) - shift)
-            same = y[a:b] == x[a + shift : b + shift]
-            # The run with the largest sum of 1 for agreement and -IDENTITY/(1-IDENTITY) for a substitution.
-            total = np.concatenate([[0], np.cumsum(np.where(same, 1.0, -IDENTITY / (1 - IDENTITY)))])
-            gain = total - np.minimum.accumulate(total)
-            end = int(gain.argmax())
-            start = int(total[: end + 1].argmin())
-            agree = int(same[start:end].sum())
-            if agree >= min(MIN_TOKENS, len(y) * IDENTITY) and (i not in best or (agree, -(a + start + shift)) > (best[i][2], -best[i][0])):
-                best[i] = (a + start + shift, a + end + shift, agree, end - start)
+            ends = np.cumsum(hi - lo)
+            for a, b in _chunks(ends, max(1, TOGETHER // int(self.sizes.max()))):
+                n = (hi - lo)[a:b]
+                s = np.repeat(lo[a:b] - (ends[a:b] - n - (ends[a] - n[0])), n) + np.arange(n.sum())
+                for i, shift in self.agreeing(x, item[s], np.repeat(at[a:b], n) - pos[s]):
+                    self.judge(x, i, shift, best)
         return [(i, *v) for i, v in sorted(best.items())]
 
+    def agreeing(self, x: np.ndarray, item: np.ndarray, shift: np.ndarray) -> list[tuple[int, int]]:
+        """The distinct (item, shift) whose diagonals have enough agreeing tokens in all."""
+        if not len(item):
+            return []
+        item, shift = np.unique(np.stack([item, shift]), axis=1)
+        n = self.sizes[item]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        there = place + np.repeat(shift, n)
+        same = (there >= 0) & (there < len(x)) & (x[there.clip(0, len(x) - 1)] == self.flat[place + np.repeat(self.starts[item], n)])
+        some = np.add.reduceat(same, first, dtype=np.int64) >= self.bars[item]
+        return list(zip(item[some].tolist(), shift[some].tolist()))
+
+    def judge(self, x: np.ndarray, i: int, shift: int, best: dict[int, tuple[int, int, int, int]]) -> None:
+        """Keeps the diagonal's stretch with the most agreeing tokens, the shortest and first of these, if it is better than the item's best."""
+        y = self.items[i]
+        a, b = max(0, -shift), min(len(y), len(x) - shift)
+        same = y[a:b] == x[a + shift : b + shift]
+        # A stretch from s to e has the share if the total at e is not below that at s; the farthest such e agrees most.
+        total = np.concatenate([[0], np.cumsum(np.where(same, round(100 - 100 * IDENTITY), -round(100 * IDENTITY)))])
+        upto = np.concatenate([[0], np.cumsum(same)])
+        last = np.maximum.accumulate(np.concatenate([[0], np.where(same, np.arange(1, len(same) + 1), 0)]))
+        rest = np.maximum.accumulate(total[::-1])
+        start = np.flatnonzero(same)
+        end = last[len(total) - 1 - np.searchsorted(rest, total[start])]
+        agree = upto[end] - upto[start]
+        k = np.lexsort((start, end - start, -agree))[0]
+        start, end, agree = int(start[k]), int(end[k]), int(agree[k])
+        if agree >= self.bars[i] and (i not in best or (agree, -(a + start + shift)) > (best[i][2], -best[i][0])):
+            best[i] = (a + start + shift, a + end + shift, agree, end - start)
+
+
+def _chunks(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose counts, by their running sums, are about `size` together."""
+    a, done = 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield a, b
+        a, done = b, int(ends[b - 1])
+
 
 def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", pass_tokens: int = PASS_TOKENS) -> Iterator[Index]:
     """The benchmark in parts of about `pass_tokens` tokens; only one part is held at a time."""

@@ -126,6 +126,38 @@ def test_decontamination(spark, rng):
     assert {r.doc_id for r in decontaminate.drop_contaminated(table, bench, pass_tokens=100).collect()} == set(range(100, 120))
 
 
+def test_every_overlap_with_enough_agreement_is_found(rng):
+    share, least = decontaminate.IDENTITY, decontaminate.MIN_TOKENS
+
+    def plain(x, y):
+        for shift in range(1 - len(y), len(x)):
+            same = [x[i + shift] == w if 0 <= i + shift < len(x) else None for i, w in enumerate(y)]
+            for a in range(len(y)):
+                for b in range(a + 1, len(y) + 1):
+                    part = same[a:b]
+                    if None not in part and sum(part) >= share * (b - a) - 1e-9 and sum(part) >= min(least, share * len(y)) - 1e-9:
+                        return True
+        return False
+
+    def hit(x, y):
+        return bool(decontaminate.Index([(1, " ".join(y))]).overlaps(" ".join(x)))
+
+    for n in (5, 7, 10, 15, 16, 20, 40):
+        y = words(rng, n).split()
+        for subs in range(n // 3 + 1):
+            for _ in range(12):
+                gone = rng.sample(range(n), subs)
+                x = [*words(rng, 8).split(), *(f"other{i}" if i in gone else w for i, w in enumerate(y)), *words(rng, 8).split()]
+                assert hit(x, y) == plain(x, y), (n, gone)
+                if subs <= n * (1 - share) + 1e-9:
+                    assert hit(x, y), (n, gone)
+    for n in (15, 16):
+        y = words(rng, n).split()
+        assert all(hit([*y[:k], "other", *y[k + 1 :]], y) for k in range(n))
+    y = words(rng, 40).split()
+    assert hit([f"other{i}" if i % 5 == 4 else w for i, w in enumerate(y)], y)
+
+
 def grams(text):
     w = jaccard_join.words_of(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
