@@ -5,6 +5,13 @@ tree: number of words, then its first LEAD words; that is its leaf. In a leaf,
 a word that stands at its place in lines of MIN_DOCS documents or more is
 constant, other words become wildcards. The lines that agree then share a
 template; templates that recur in MIN_DOCS documents are dropped.
+
+The values of a variable field are frequent words, too, once the corpus is
+large. So templates are formed again at each of a ladder of bars, twice as high
+as the one before, by which fewer and fewer words are constant; a line is
+dropped if its template at any bar recurs. There is a bar between a field's
+values and the template's own words if each value stands in less than half of
+the template's lines. Bars above the first count (line, document) pairs.
 """
 
 from __future__ import annotations
@@ -98,13 +105,20 @@ def recurring(texts: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, leas
     open_ = fixed.filter(F.col("most") < min_docs).select("leaf", "pos", "word")
     counted = placed.filter(F.col("line_docs") < min_docs).join(open_, ["leaf", "pos", "word"]).join(pairs, "line").select("leaf", "pos", "word", ID, TH).distinct()
     counted = counted.groupBy("leaf", "pos", "word").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    constants = fixed.filter(F.col("most") >= min_docs).select("leaf", "pos", "word").unionByName(counted.select("leaf", "pos", "word"))
+    # Number of the highest bar that the word reaches.
+    level = (F.length(F.bin(F.floor(F.col("some") / min_docs))) - 1).cast("tinyint").alias("level")
+    constants = fixed.filter(F.col("most") >= min_docs).select("leaf", "pos", "word", level).unionByName(
+        fixed.join(counted, ["leaf", "pos", "word"], "left_semi").filter(F.col("most") < min_docs).select("leaf", "pos", "word", level))
     # A line's constants with their places are its template; the other places are wildcards. Its first words are those of its leaf.
     filled = placed.join(constants, ["leaf", "pos", "word"]).groupBy("line").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("rest"))
+        F.array_sort(F.collect_list(F.struct("pos", "word", "level"))).alias("rest"))
     heads = words.select("line", F.col("leaf").alias("home"), F.size("words").alias("n"), F.size(F.filter(F.slice("words", 1, lead), lambda w: w != wild)).alias("head"))
-    formed = heads.join(filled, "line", "left").withColumn("fixed", F.col("head") + F.when(F.col("rest").isNull(), 0).otherwise(F.size("rest")))
-    formed = stored(formed.filter(enough(F.col("fixed"), F.col("n"))).select("line", F.xxhash64("home", "rest").alias("template")), "formed")
+    formed = heads.join(filled, "line", "left").withColumn("rest", F.coalesce("rest", F.array().cast("array<struct<pos:int,word:bigint,level:tinyint>>")))
+    # Bars between two levels of a line's words give the template of the upper one.
+    bars = F.array_distinct(F.concat(F.array(F.lit(0).cast("tinyint")), F.transform("rest", lambda x: x["level"])))
+    formed = formed.withColumn("bar", F.explode(bars)).withColumn("rest", F.filter("rest", lambda x: x["level"] >= F.col("bar"))).withColumn("fixed", F.col("head") + F.size("rest"))
+    rest = F.transform("rest", lambda x: F.struct(x["pos"], x["word"]))
+    formed = stored(formed.filter(enough(F.col("fixed"), F.col("n"))).select("line", F.xxhash64("home", rest).alias("template")).distinct(), "formed")
     kept = pairs.join(formed, "line").select("template", ID, TH).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     return lines, stored(alone.unionByName(formed.join(kept.select("template"), "template", "left_semi").select("line", "template")), "templates")
 

@@ -239,6 +239,16 @@ def test_line_templates_match_plain_tree(spark, docs, rows):
     assert got == {d: want[d] for d, _ in rows} and sum(want.values()) > 0
 
 
+@pytest.mark.parametrize("n, values", [(100, 100), (1000, 100), (3000, 100), (2000, 2)])
+def test_line_templates_hold_in_larger_corpora(spark, rng, n, values):
+    fields = 2 if values > 2 else 10
+    field = lambda: " ".join("v" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10] for k in (rng.randrange(values) for _ in range(fields)))
+    fixed = "every name of the users is here now and then gone"
+    docs = [(i, f"{fixed} {field()}\n{words(rng, 9)}") for i in range(n)]
+    got = line_templates.dedup(frame(spark, docs)).groupBy("n_dropped").count().collect()
+    assert [(r.n_dropped, r["count"]) for r in got] == [(1, n)]
+
+
 def test_language_model(spark, docs, rows):
     tok = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), None] for d, t in rows}
     one, two = collections.Counter(), collections.Counter()
