@@ -3,12 +3,16 @@
 Every run of SENTENCES consecutive sentences is hashed; runs are joined over
 all documents, and a sentence covered by a repeated run that is not the run's
 first occurrence is removed. First is the smallest id, then the earliest place.
+
+A long sentence is cut where the words around say so, wherever it starts: at
+words whose hash is the least of the RADIUS words to either side.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +24,42 @@ from tapewright.llm.common import ID, TH, identified, slices, stored
 from tapewright.llm.jaccard_join import words_of
 
 SENTENCES, MIN_WORDS = 3, 10
-#: A longer sentence is taken as several of PIECE words.
-LONG, PIECE = 24, 16
+#: A longer sentence is taken in pieces; those without a cut of their own for LONG words are of PIECE words.
+LONG, PIECE, RADIUS = 24, 16, 4
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 _TOKEN = re.compile(r"\S+")
 
 
+@lru_cache(1 << 17)
+def _word(token: str) -> int:
+    """Hash of a token's words, -1 without a word."""
+    words = words_of(token)
+    return xxhash.xxh3_64_intdigest(" ".join(words)) if words else -1
+
+
+def cuts(hashes: list[int]) -> list[int]:
+    """First words of a long sentence's pieces, 0 left out; from the words' hashes.
+
+    The pair of words at a cut hashes to less than the pairs at the RADIUS
+    words before and no more than those after it, so equal words far enough
+    from an end are cut equally.
+    """
+    one = np.array(hashes, np.uint64)
+    pair = one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:]
+    pair = (pair ^ pair >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    least = np.lib.stride_tricks.sliding_window_view(pair, RADIUS).min(1)
+    at = np.arange(RADIUS, len(pair) - RADIUS)
+    at = at[(pair[at] < least[at - RADIUS]) & (pair[at] <= least[at + 1])]
+    out, last = [], 0
+    for a in [*at.tolist(), len(hashes)]:
+        if a - last > LONG:
+            out += range(last + PIECE, a, PIECE)
+        if a < len(hashes):
+            out.append(a)
+        last = a
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, words joined by spaces) of each sentence with a word; they end at . ! ? before white space, or a line's end."""
     out, at = [], 0
@@ -35,8 +69,11 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         words = words_of(body)
         if len(words) > LONG:
             tokens = [m.span() for m in _TOKEN.finditer(body)]
-            for a in range(0, len(tokens), PIECE):
-                lo, hi = tokens[a][0], tokens[min(a + PIECE, len(tokens)) - 1][1]
+            # Tokens without a word stay with the one before.
+            said = [(h, k) for k, (lo, hi) in enumerate(tokens) if (h := _word(body[lo:hi])) >= 0]
+            edges = [0, *(said[k][1] for k in (cuts([h for h, _ in said]) if len(said) > LONG else range(PIECE, len(said), PIECE))), len(tokens)]
+            for a, b in zip(edges, edges[1:]):
+                lo, hi = tokens[a][0], tokens[b - 1][1]
                 if some := words_of(body[lo:hi]):
                     out.append((at + lo, at + hi, " ".join(some)))
         elif words:
@@ -45,19 +82,29 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def run_hashes(parts: list[tuple[int, int, str]], k: int = SENTENCES, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of each run of k sentences with `least` words or more."""
+def run_hashes(parts: list[tuple[int, int, str]], k: int = SENTENCES, least: int = MIN_WORDS, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, sentences) of the run at each sentence: the first k, with `whole` and under `least` words as many more as it takes; else such runs are left out."""
     m = len(parts) - k + 1
     if m < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     one = np.fromiter((xxhash.xxh3_64_intdigest(p[2]) for p in parts), np.uint64, len(parts))
     sizes = np.cumsum([0, *(p[2].count(" ") + 1 for p in parts)])
     h = np.zeros(m, np.uint64)
     for j in range(k):
         h = (h ^ one[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    at = np.flatnonzero(sizes[k:] - sizes[:-k] >= least)
-    return at, h[at].view(np.int64)
+    n = np.full(m, k)
+    at = np.arange(m)
+    # A sentence has a word or more, so the loop ends after `least` steps.
+    while len(at := at[sizes[at + n[at]] - sizes[at] < least]):
+        short = at
+        at = at[at + n[at] < len(parts)] if whole else at[:0]
+        n[np.setdiff1d(short, at)] = 0
+        h[at] = (h[at] ^ one[at + n[at]]) * np.uint64(0x9E3779B97F4A7C15)
+        h[at] ^= h[at] >> np.uint64(32)
+        n[at] += 1
+    at = np.flatnonzero(n)
+    return at, h[at].view(np.int64), n[at]
 
 
 def _first_in_text(at: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -67,13 +114,13 @@ def _first_in_text(at: np.ndarray, h: np.ndarray) -> np.ndarray:
     return first
 
 
-def spans(texts: DataFrame, k: int, least: int) -> DataFrame:
+def spans(texts: DataFrame, k: int, least: int, whole: bool) -> DataFrame:
     """Rows: identity, place, hash of the runs, the first of each text only."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = []
             for t in batch.column("text").to_pylist():
-                at, h = run_hashes(sentences(t), k, least)
+                at, h, _ = run_hashes(sentences(t), k, least, whole)
                 first = _first_in_text(at, h)
                 got.append((at[first], h[first]))
             n = [len(h) for _, h in got]
@@ -85,17 +132,19 @@ def spans(texts: DataFrame, k: int, least: int) -> DataFrame:
     return texts.mapInArrow(work, f"{ID} bigint, {TH} bigint, at int, h bigint")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SENTENCES, least: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SENTENCES, least: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """Rows doc_id, n_sentences, n_removed, removed (list of character ranges), clean_text; one for each row of docs.
 
     Null texts count as empty. Rows with one id count as one document, which
     doesn't repeat itself; those with a null id come last, as one. Texts of
-    fewer than k sentences, and runs of fewer than `least` words, are left
-    alone. A repeat inside a text goes, too. Repeated rows give equal results.
+    fewer than k sentences, or of fewer than `least` words, are left alone.
+    Where k sentences have fewer words than `least`, the run takes in as many
+    more as it needs; without `whole` it is left alone.
+    A repeat inside a text goes, too. Repeated rows give equal results.
     """
     texts = identified(docs, id_col, text_col)
     order = F.coalesce(F.col(ID), F.lit(2**63 - 1))
-    found = stored(spans(texts, k, least), "spans")
+    found = stored(spans(texts, k, least, whole), "spans")
     repeated = found.groupBy("h").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last").select("h", "first")
     later = found.join(repeated, "h").filter(order > F.col("first")).groupBy(F.col(ID).alias("s_id"), F.col(TH).alias("s_th")).agg(F.collect_set("at").alias("at"))
     marked = texts.join(later, texts[ID].eqNullSafe(later["s_id"]) & (texts[TH] == later["s_th"]), "left").select(ID, "text", "at")
@@ -105,10 +154,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
             rows = []
             for t, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist()):
                 parts = sentences(t)
-                place, h = run_hashes(parts, k, least)
+                place, h, n = run_hashes(parts, k, least, whole)
+                size = dict(zip(place.tolist(), n.tolist()))
                 gone = np.zeros(len(parts), bool)
-                for a in [*(at or []), *place[~_first_in_text(place, h)]]:
-                    gone[a : a + k] = True
+                for a in [*(at or []), *place[~_first_in_text(place, h)].tolist()]:
+                    gone[a : a + size[a]] = True
                 ranges, clean, done = [], [], 0
                 for i in np.flatnonzero(gone):
                     start, end = parts[i][0], parts[i + 1][0] if i + 1 < len(parts) else len(t)

@@ -78,6 +78,27 @@ def test_planted_passage_is_cut_once(spark, rng):
     assert all(passage not in got[i].clean_text and got[i].n_removed == 7 for i in range(1, 6))
 
 
+def test_repeated_short_sentences_and_long_ones_at_any_offset(spark, rng):
+    listed = "\n".join(words(rng, 1) for _ in range(40))
+    flat = words(rng, 200)
+    docs = [(i, f"{words(rng, 12)}.\n{listed}\n{words(rng, 15)}.") for i in range(2)]
+    docs += [(10 + i, f"{words(rng, 30 + 5 * i)} {flat} {words(rng, 20)}") for i in range(4)]
+    got = {r.doc_id: r for r in substring_dedup.dedup(frame(spark, docs)).collect()}
+    assert got[0].n_removed == got[10].n_removed == 0
+    assert got[1].n_removed == 40 and listed not in got[1].clean_text
+    assert all(sum(w in got[i].clean_text.split() for w in set(flat.split())) < 40 for i in (11, 12, 13))
+
+
+def test_runs_take_in_what_they_need(rng):
+    parts = [(0, 0, words(rng, rng.choice([1, 2, 9]))) for _ in range(60)]
+    at, h, n = substring_dedup.run_hashes(parts)
+    size = [len(p[2].split()) for p in parts]
+    want = {a: next((j - a for j in range(a + 3, 61) if sum(size[a:j]) >= 10), 0) for a in range(58)}
+    assert dict(zip(at.tolist(), n.tolist())) == {a: k for a, k in want.items() if k}
+    again, g, k = substring_dedup.run_hashes(parts[7:])
+    assert dict(zip((again + 7).tolist(), g.tolist())) == {a: x for a, x in zip(at.tolist(), h.tolist()) if a >= 7}
+
+
 def test_language_accuracy(spark, docs):
     found = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
