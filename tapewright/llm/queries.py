@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import decontaminate, fingerprints, jaccard_join, lang_id, license_scan, line_templates, lm_score, mixing, substring_dedup, token_store
+from tapewright.llm import (
+    decontaminate, fingerprints, jaccard_join, lang_id, license_scan, line_templates, lm_score, mixing, prefix_trie, spelling, substring_dedup, suffix_dedup, token_store)
 from tapewright.llm.common import ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +133,20 @@ def licenses(spark, sf):
 @query("op10_fingerprints")
 def prints(spark, sf):
     return fingerprints.compare(table(spark, sf, "documents"))
+
+
+@query("op11_prefix_trie")
+def prefix_nodes(spark, sf):
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
+@query("op12_suffix_dedup")
+def repeated_bytes(spark, sf):
+    found = suffix_dedup.dedup(table(spark, sf, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
