@@ -52,15 +52,11 @@ class ModelConfig:
     require_reclaim: bool = False
     require_displacement: bool = True
     disp_atr_mult: float = 0.9
-    disp_window_bars: int = 24
-    anti_stack: bool = True
     htf_blocks_skip_displacement: bool = True
-    unify_atr_timeframe: bool = True
     swing_lookback: int = 10
     require_strong_close: bool = True
     strong_close_pct: float = 0.45
     atr_length: int = 14
-    max_leg_bars: int = 60
     invalidation_buffer: float = 0.0
     # gaps
     fvg_min_points: float = 0.5
@@ -96,7 +92,6 @@ class ModelConfig:
     state_min_run: int = 2
     state_mode: str = "original"
     state_first_close: bool = True
-    armed_mode: str = "touch_window"
     # weights
     w_sweep: float = 16.0
     w_fvg: float = 14.0

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tapewright.functions import shape as sh
 from tapewright.functions import timecols as tc
 from tapewright.operators import indicators as ind
+from tapewright.operators.alive import in_interval, last_sessions
 from tapewright.operators.config import ModelConfig
 from tapewright.operators.order import (
     CHUNK, asof_join, back, carry_last, over_history, session_so_far, session_w)
-from tapewright.operators.search import attach_alive, first_hit, search_index
+from tapewright.operators.search import first_hit, search_index
 
 c = F.col
 
@@ -253,23 +254,21 @@ def gap_lifetime(gaps: DataFrame, bars: DataFrame, cfg: ModelConfig) -> DataFram
     return dead.select(*gaps.columns, c("_d.idx").alias("dead_idx"), c("_d.session").alias("dead_session"))
 
 
-def zone_hit(zones: Column, price: Column, want: Column | None, include_ob: bool) -> Column:
-    """Is the price inside a zone that is alive at this bar?"""
+def gap_intervals(zones: DataFrame, include_ob: bool = True) -> DataFrame:
+    """Fair value gaps as intervals with a life and a side: the gap itself and its order block."""
+    own = F.struct(c("bottom").alias("lo"), c("top").alias("hi"))
+    block = F.struct(c("ob_bottom").alias("lo"), c("ob_top").alias("hi"))
+    return zones.select("symbol", c("direction").alias("side"), "born_idx", "born_session", "dead_idx", "dead_session", F.inline(F.array(own, block) if include_ob else F.array(own)))
 
-    def inside(z):
-        alive = (z["born_idx"] <= c("idx")) & (z["dead_idx"].isNull() | (z["dead_idx"] > c("idx")))
-        hit = (price >= z["bottom"]) & (price <= z["top"])
-        if include_ob:
-            hit = hit | ((price >= z["ob_bottom"]) & (price <= z["ob_top"]))
-        return alive & hit & ((z["direction"] == want) if want is not None else F.lit(True))
 
-    return F.coalesce(F.exists(zones, inside), F.lit(False))
+def active_zone_contains(rows: DataFrame, zones: DataFrame, bars: DataFrame, price: Column, want: Column, name: str, include_ob: bool = True) -> DataFrame:
+    """Add `name`: does the row's price lie in a zone of the wanted direction that is alive at its bar?
 
-
-def active_zone_contains(rows: DataFrame, zones: DataFrame, bars: DataFrame, price: Column, want: Column | None,
-                         name: str, include_ob: bool = True) -> DataFrame:
-    out = attach_alive(rows, zones, bars, "zones")
-    return out.withColumn(name, zone_hit(c("zones"), price, want, include_ob)).drop("zones")
+    rows: symbol, idx (one row each), session_no.
+    """
+    asked = rows.select("symbol", "idx", "session_no", want.alias("side"), price.alias("_p"))
+    hits = in_interval(asked, ["symbol", "idx"], gap_intervals(zones, include_ob), last_sessions(bars), "_p").select("symbol", "idx", F.lit(True).alias(name))
+    return rows.join(hits, ["symbol", "idx"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 # --- higher timeframes -------------------------------------------------------------

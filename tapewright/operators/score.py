@@ -111,11 +111,6 @@ def grade_score(df: DataFrame, cfg: ModelConfig, gamma: Column | None = None) ->
     return df.withColumns({"score": clamp_score(total), "reasons": reasons})
 
 
-def fixed_points(cfg: ModelConfig, gamma: Column | None = None) -> Column:
-    """Sum of the terms that do not depend on other live blocks."""
-    return reduce(lambda a, b: a + b, grade_terms(cfg, gamma).values())
-
-
 def grade_of(score: Column) -> Column:
     out = F.when(score >= GRADES[0][1], GRADES[0][0])
     for name, least, _ in GRADES[1:]:
@@ -222,11 +217,3 @@ def reason_ranking(reasons: Column) -> Column:
         d = F.abs(b["value"]) - F.abs(a["value"])
         return F.when(d > 0, 1).when(d < 0, -1).when(a["key"] > b["key"], 1).when(a["key"] < b["key"], -1).otherwise(0)
     return F.array_sort(F.map_entries(reasons), smaller)
-
-
-def signal_record() -> Column:
-    """One line per signal for a log."""
-    first = F.coalesce(F.get("targets", F.lit(0))["price"], F.lit(float("nan")))
-    side = F.when(c("bull"), "LONG").otherwise("SHORT")
-    return F.format_string("%s %s %s | entry %.2f stop %.2f t1 %.2f | stack %d | %d factors", side, c("symbol"), c("grade"),
-                           c("entry"), c("stop"), first, c("stack").cast("int"), F.size("reasons"))

@@ -1,4 +1,4 @@
-"""First bar after a start that crosses a level, and levels alive at a bar.
+"""First bar after a start that crosses a level, and extremes between two bars.
 
 Sessions carry the extremes of their bars, buckets of sessions those of their
 sessions. A search looks at the rest of its own session, then at the later
@@ -27,10 +27,11 @@ LEAST, GREATEST = ("close_min", "low", "high_min", "below"), ("close_max", "high
 VALUES = LEAST + GREATEST
 
 
-def _meets(v: Column) -> Column:
+def _meets(v: Column, levels: tuple[str, ...]) -> Column:
     """Does a bar, session or bucket with these extremes cross one of the row's levels? A NULL level is never crossed."""
     tests = []
-    for level, (value, op) in LEVELS.items():
+    for level in levels:
+        value, op = LEVELS[level]
         x, t = v[value], c(f"_{level}")
         tests.append(F.coalesce({"<": x < t, ">": x > t, "<=": x <= t, ">=": x >= t}[op], F.lit(False)))
     return reduce(lambda a, b: a | b, tests)
@@ -73,7 +74,8 @@ def first_hit(rows: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], le
     LEVELS to columns of rows. Rows with a NULL start find nothing.
     """
     days, buckets, history = index
-    named = {f"_{n}": levels.get(n, F.lit(None).cast("double")) for n in LEVELS}
+    named = {f"_{n}": level for n, level in levels.items()}
+    meets = lambda v: _meets(v, tuple(levels))
     out = rows.withColumns(named | {"_own": F.floor(c(start_session) / BUCKET)})
 
     def opened(df: DataFrame, session: str) -> DataFrame:
@@ -82,58 +84,46 @@ def first_hit(rows: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], le
     def of_bucket(df: DataFrame, bucket: str) -> DataFrame:
         return df.join(buckets, (c("symbol") == c("_bs")) & (c(bucket) == c("_bn")), "left").drop("_bs", "_bn")
 
-    out = opened(out, start_session).withColumn("_now", _pick("_bars", lambda v: (v["idx"] >= c(start)) & _meets(v))["idx"]).drop("_bars")
-    out = of_bucket(out, "_own").withColumn("_near", _pick("_days", lambda v: (v["session_no"] > c(start_session)) & _meets(v))["session_no"]).drop("_days")
+    out = opened(out, start_session).withColumn("_now", _pick("_bars", lambda v: (v["idx"] >= c(start)) & meets(v))["idx"]).drop("_bars")
+    out = of_bucket(out, "_own").withColumn("_near", _pick("_days", lambda v: (v["session_no"] > c(start_session)) & meets(v))["session_no"]).drop("_days")
     out = out.join(history, c("symbol") == c("_hs"), "left").withColumn("_later", F.when(
-        c("_now").isNull() & c("_near").isNull(), _pick("_buckets", lambda v: (v["_bn"] > c("_own")) & _meets(v))["_bn"])).drop("_hs", "_buckets")
-    out = of_bucket(out, "_later").withColumn("_then", F.when(c("_now").isNull(), F.coalesce("_near", _pick("_days", _meets)["session_no"]))).drop("_days")
+        c("_now").isNull() & c("_near").isNull(), _pick("_buckets", lambda v: (v["_bn"] > c("_own")) & meets(v))["_bn"])).drop("_hs", "_buckets")
+    out = of_bucket(out, "_later").withColumn("_then", F.when(c("_now").isNull(), F.coalesce("_near", _pick("_days", meets)["session_no"]))).drop("_days")
     out = opened(out, "_then").withColumns({
-        name: F.coalesce("_now", _pick("_bars", _meets)["idx"]),
+        name: F.coalesce("_now", _pick("_bars", meets)["idx"]),
         f"{name}_session": F.when(c("_now").isNotNull(), c(start_session)).otherwise(c("_then"))})
     return out.drop("_bars", "_own", "_now", "_near", "_later", "_then", *named)
 
 
-#: Sessions in the blocks under which a life is filed.
-SPANS = (1, 16, 256)
+def range_extremes(rows: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], start: str, start_session: str, end: str, end_session: str) -> DataFrame:
+    """Add high_between and low_between: extremes of the bars from `start` to `end`, both included.
 
-
-def attach_alive(rows: DataFrame, zones: DataFrame, bars: DataFrame, name: str) -> DataFrame:
-    """Add the array `name` of the zones that live in a row's session.
-
-    A zone is filed once under each whole block of sessions it lives through
-    and under single sessions at its ends only, so a long life is a few dozen
-    entries. zones: symbol, born_session, dead_session (NULL: still alive).
+    Bars of the first and last session, sessions of their buckets, buckets in
+    between. Rows with a NULL end have NULL extremes.
     """
-    last = bars.groupBy(c("symbol").alias("_ls")).agg(F.max("session_no").alias("_last"))
-    keep = [n for n in ("direction", "top", "bottom", "ob_top", "ob_bottom", "born_idx", "dead_idx") if n in zones.columns]
-    placed = zones.join(last, c("symbol") == c("_ls")).withColumn("_end", F.coalesce("dead_session", "_last"))
-
-    def inside(size: int) -> Column:
-        """Blocks of this size that lie within the life."""
-        lo, hi = F.ceil(c("born_session") / size), F.floor((c("_end") + 1) / size) - 1
-        return F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-
-    files = []
-    for k, size in enumerate(SPANS):
-        blocks = inside(size)
-        if k + 1 < len(SPANS):
-            up = SPANS[k + 1]
-            lo, hi = F.ceil(c("born_session") / up), F.floor((c("_end") + 1) / up) - 1
-            blocks = _outside(blocks, lo, hi, up // size)
-        files.append(F.transform(blocks, _filed(size)))
-    filed = placed.select("symbol", F.struct(*keep).alias("_z"), F.explode(F.concat(*files)).alias("_f")).groupBy(
-        c("symbol").alias("_fs"), c("_f.size").alias("_size"), c("_f.block").alias("_block")).agg(F.collect_list("_z").alias("_zs"))
-    out = rows
-    for size in SPANS:
-        mine = filed.filter(c("_size") == size).drop("_size").withColumnRenamed("_zs", f"_z{size}")
-        out = out.join(mine, (c("symbol") == c("_fs")) & (F.floor(c("session_no") / size) == c("_block")), "left").drop("_fs", "_block")
-    none = F.array().cast(filed.schema["_zs"].dataType)
-    return out.withColumn(name, F.concat(*[F.coalesce(f"_z{s}", none) for s in SPANS])).drop(*[f"_z{s}" for s in SPANS])
-
-
-def _outside(blocks: Column, lo: Column, hi: Column, times: int) -> Column:
-    return F.filter(blocks, lambda b: (F.floor(b / times) < lo) | (F.floor(b / times) > hi))
-
-
-def _filed(size: int):
-    return lambda b: F.struct(F.lit(size).alias("size"), b.cast("long").alias("block"))
+    days, buckets, history = index
+    out = rows.withColumns({"_b0": F.floor(c(start_session) / BUCKET), "_b1": F.floor(c(end_session) / BUCKET)})
+
+    def of_session(df: DataFrame, session: str, name: str) -> DataFrame:
+        return df.join(days.select("_ds", "_dn", c("_bars").alias(name)), (c("symbol") == c("_ds")) & (c(session) == c("_dn")), "left").drop("_ds", "_dn")
+
+    def of_bucket(df: DataFrame, bucket: str, name: str) -> DataFrame:
+        return df.join(buckets.select("_bs", "_bn", c("_days").alias(name)), (c("symbol") == c("_bs")) & (c(bucket) == c("_bn")), "left").drop("_bs", "_bn")
+
+    found = []
+
+    def keep(array: str, inside) -> None:
+        some = F.filter(array, inside)
+        found.append((F.array_max(F.transform(some, lambda v: v["high"])), F.array_min(F.transform(some, lambda v: v["low"]))))
+
+    steps = (("_first", of_session, start_session, lambda v: (v["idx"] >= c(start)) & (v["idx"] <= c(end))),
+             ("_final", of_session, end_session, lambda v: (v["idx"] >= c(start)) & (v["idx"] <= c(end))),
+             ("_near", of_bucket, "_b0", lambda v: (v["session_no"] > c(start_session)) & (v["session_no"] < c(end_session))),
+             ("_far", of_bucket, "_b1", lambda v: (v["session_no"] > c(start_session)) & (v["session_no"] < c(end_session))))
+    for k, (array, add, at, inside) in enumerate(steps):
+        keep(array, inside)
+        out = add(out, at, array).withColumns({f"_h{k}": found[-1][0], f"_l{k}": found[-1][1]}).drop(array)
+    keep("_buckets", lambda v: (v["_bn"] > c("_b0")) & (v["_bn"] < c("_b1")))
+    out = out.join(history, c("symbol") == c("_hs"), "left").withColumns({"_h4": found[-1][0], "_l4": found[-1][1]}).drop("_hs", "_buckets")
+    out = out.withColumns({"high_between": F.greatest(*[c(f"_h{k}") for k in range(5)]), "low_between": F.least(*[c(f"_l{k}") for k in range(5)])})
+    return out.drop("_b0", "_b1", *[f"_{x}{k}" for x in "hl" for k in range(5)])
