@@ -286,38 +286,43 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece
         every, rows = list(got.texts), []
         for block, some in got.blocks(n_blocks):
             mine = [every[i] for i in some]
-            rows.append((block, np.fromiter(map(len, mine), np.uint16, len(mine)).tobytes(), b"".join(mine), first[some].tobytes(), (got.hash[some] >> np.uint64(56)).astype(np.uint8).tobytes()))
+            rows.append((block, np.fromiter(map(len, mine), np.uint16, len(mine)).tobytes(), b"".join(mine), first[some].tobytes(), got.hash[some].tobytes()))
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table({"piece": pa.array([key[0].as_py()] * len(rows), pa.int32()), "block": pa.array(cols[0], pa.int32()),
-                         **{c: pa.array(x, pa.binary()) for c, x in zip(("sizes", "bytes", "first", "sub"), cols[1:])}})
+                         **{c: pa.array(x, pa.binary()) for c, x in zip(("sizes", "bytes", "first", "hashes"), cols[1:])}})
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
         least: list[int] = []
-        sub: list[int] = []
+        hashes: list[int] = []
         rows = []
-        for sizes, data, first, subs in zip(*(table.column(c).to_pylist() for c in ("sizes", "bytes", "first", "sub"))):
+        for sizes, data, first, keys in zip(*(table.column(c).to_pylist() for c in ("sizes", "bytes", "first", "hashes"))):
             here, s = [], 0
-            for m, d, k in zip(np.frombuffer(sizes, np.uint16).tolist(), np.frombuffer(first, np.int64).tolist(), subs):
+            for m, d, k in zip(*(np.frombuffer(x, t).tolist() for x, t in ((sizes, np.uint16), (first, np.int64), (keys, np.uint64)))):
                 i = known.setdefault(data[s : s + m], len(known))
                 if i == len(least):
                     least.append(d)
-                    sub.append(k)
+                    hashes.append(k)
                 elif d < least[i]:
                     least[i] = d
                 here.append(i)
                 s += m
             rows.append(here)
-        texts, docs = list(known), np.array(least, np.int64)
-        # Equal anchors have equal `sub`, so a large block is compared in parts.
-        parts = min(256, 1 + sum(map(len, texts)) // SORT)
-        groups = np.array(sub) * parts // 256
-        found: list[np.ndarray] = [None] * len(texts)
+        texts, docs, key = list(known), np.array(least, np.int64), np.array(hashes, np.uint64)
+        windows = np.fromiter(map(len, texts), np.int64, len(texts)) - LEAST + 1
+        # A stretch that is alone with its anchor shares no window; the others are compared, a large block in parts by anchor.
+        _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+        found = [None] * len(texts)
+        shared = np.flatnonzero(count[place] > 1)
+        parts = 1 + int((windows[shared] + LEAST).sum()) // SORT
+        group = place[shared] % parts
         for g in range(parts):
-            some = np.flatnonzero(groups == g)
+            some = shared[group == g]
             if len(some):
                 for i, x in zip(some.tolist(), first_documents([texts[i] for i in some], docs[some])):
                     found[i] = x
+        for i in np.flatnonzero(count[place] == 1).tolist():
+            found[i] = np.broadcast_to(docs[i], windows[i])
         lengths, values = [], []
         for here in rows:
             flat = np.concatenate([found[i] for i in here])
@@ -352,7 +357,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece
 
     asked = dealt.groupBy("piece").applyInArrow(list_anchors, "piece int, part int, keys binary, counts binary")
     told = asked.groupBy("part").applyInArrow(judge, "piece int, part int, kinds binary")
-    handed = dealt.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(hand_out, "piece int, block int, sizes binary, bytes binary, first binary, sub binary")
+    handed = dealt.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(hand_out, "piece int, block int, sizes binary, bytes binary, first binary, hashes binary")
     back = handed.groupBy("block").applyInArrow(compare, "piece int, block int, lengths binary, values binary")
     both = told.unionByName(back, allowMissingColumns=True)
     return dealt.groupBy("piece").cogroup(both.groupBy("piece")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, removed array<array<bigint>>, kept binary")
