@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -136,6 +138,10 @@ def test_decontamination(spark, rng):
             w[rng.randrange(12 * k, 12 * k + 12)] = "other"  # a substitution in every dozen
         docs.append((i, f"{words(rng, 50)} {' '.join(w)} {words(rng, 30)}"))
         want.add((i, item))
+    items += [(91, "yes"), (92, "a b c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs += [(300, "Yes!"), (301, "yes yes"), (302, "A, b c"), (303, "a b")]
+    want |= {(300, 91), (302, 92)}
     docs += [(100 + i, words(rng, 200)) for i in range(20)] + [(200, "see: " + items[3][1].upper().replace(" ", ", "))]
     want.add((200, 3))
     table = frame(spark, docs)
@@ -144,7 +150,7 @@ def test_decontamination(spark, rng):
     assert got[200, 3].n_same == got[200, 3].n_overlap == 40 and got[200, 3].first_token == 1
     split = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench, pass_tokens=100).collect()}
     assert split == want
-    assert {r.doc_id for r in decontaminate.drop_contaminated(table, bench, pass_tokens=100).collect()} == set(range(100, 120))
+    assert {r.doc_id for r in decontaminate.drop_contaminated(table, bench, pass_tokens=100).collect()} == {*range(100, 120), 301, 303}
 
 
 def test_every_overlap_with_enough_agreement_is_found(rng):
@@ -179,6 +185,49 @@ def test_every_overlap_with_enough_agreement_is_found(rng):
     assert hit([f"other{i}" if i % 5 == 4 else w for i, w in enumerate(y)], y)
 
 
+def test_masks_hit_every_pattern_of_substitutions():
+    for n in (5, 6, 8, 10, 13, 15, 16, 17):
+        some = decontaminate.masks(decontaminate.weight(n))
+        for gone in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(4)):
+            agree = [i not in gone for i in range(n)]
+            best = max((sum(agree[a:b]) for a in range(n) for b in range(a + 1, n + 1) if sum(agree[a:b]) >= 0.8 * (b - a) - 1e-9), default=0)
+            if best >= decontaminate.bar(n):
+                assert any(all(agree[a + o] for o in m) for m in some for a in range(n - m[-1])), (n, gone)
+    assert any(len(m) <= m[-1] for m in decontaminate.masks(decontaminate.weight(20)))
+
+
+def test_many_short_items_that_begin_alike(rng):
+    lead = "what is the"
+    index = decontaminate.Index([(i, f"{lead} {words(rng, 3)}") for i in range(20_000)])
+    text = " ".join(f"{lead} {words(rng, 2)}" for _ in range(400))
+    start = time.time()
+    assert index.overlaps(text) == []
+    assert time.time() - start < 0.5
+
+
+def test_decontamination_query(spark, rows):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): r.n_same for r in QUERIES["op3_decontamination"](spark, DATA).collect()}
+    items = {i: jaccard_join.words_of(t) for i, t in bench}
+    want = {}
+    for d, t in rows:
+        x = jaccard_join.words_of(t)
+        where = collections.defaultdict(list)
+        for k, w in enumerate(x):
+            where[w].append(k)
+        for i, y in items.items():
+            for shift, n in collections.Counter(k - j for j, w in enumerate(y) for k in where.get(w, ())).items():
+                if n < decontaminate.bar(len(y)):
+                    continue
+                same = [0 <= j + shift < len(x) and x[j + shift] == w for j, w in enumerate(y)]
+                inside = [j for j in range(len(y)) if 0 <= j + shift < len(x)]
+                upto = [0, *itertools.accumulate(same)]
+                best = max(upto[b + 1] - upto[a] for a in inside for b in inside if b >= a and upto[b + 1] - upto[a] >= 0.8 * (b + 1 - a) - 1e-9)
+                if best >= decontaminate.bar(len(y)):
+                    want[d, i] = max(want.get((d, i), 0), best)
+    assert got == want and want
+
+
 def grams(text):
     w = jaccard_join.words_of(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -337,7 +386,7 @@ PIECES = ["a", "word", " ", "  ", "\n", "\t", ".", ",", "..", "'s", "12", "été
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=5))
 def test_pieces_encode_as_whole_texts(texts):
     got = token_store.encoder(vocabulary()).encode([t.encode() for t in texts])
-    tk = token_store.tokenizer(vocabulary())
+    tk = token_store.encoder(vocabulary()).tokenizer
     assert [list(map(int, x)) for x in got] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -396,15 +445,25 @@ def test_mixing(spark, rng):
 
 
 def test_pareto_sampling_keeps_inclusion_odds(spark, rng):
-    docs = frame(spark, [(i, "w w", None, "a" if i % 4 else "b") for i in range(400)])
+    sizes = [4, 16, 64, 256]
+    docs = [(i, " ".join(["w"] * sizes[i // 2 % 4]), None, "ab"[i % 2]) for i in range(1600)]
+    table = frame(spark, docs)
     hits = collections.Counter()
-    for seed in range(6):
-        for r in mixing.per_row(mixing.mixed(docs, seed=seed, weights=(1.0, 1.0))).collect():
-            hits[r.doc_id] += r.taken // 2
-    # b is 100 documents of 2 words and takes 400 of 800 words: twice each; a takes 400 of its 600.
-    assert all(hits[i] == 12 for i in range(0, 400, 4))
-    mean = np.mean([hits[i] for i in range(400) if i % 4])
-    assert abs(mean - 4) < 0.05 and len({hits[i] for i in range(400) if i % 4}) > 3
+    for seed in range(5):
+        for r in mixing.per_row(mixing.mixed(table, seed=seed, weights=(3.0, 5.0))).collect():
+            hits[r.doc_id] += r.taken // r.size
+    total = sum(sizes[i // 2 % 4] for i in range(1600))
+    for source, weight in (("a", 3.0), ("b", 5.0)):
+        mean = weight / 8 * total / (total / 2)
+        sure, p = math.floor(mean), mean - math.floor(mean)
+        score = {n: math.floor(1024 * n / (n + 64)) / 1024 for n in sizes}
+        middle = sum(n * score[n] for n in sizes) / sum(sizes)
+        for n in sizes:
+            want = sure + p + min(p, 1 - p) * (score[n] - middle)
+            seen = np.mean([hits[i] for i, t, _, s in docs if s == source and len(t.split()) == n]) / 5
+            assert abs(seen - want) < 0.06, (source, n, seen, want)
+    # Odds differ: long documents come more often.
+    assert hits[6] + hits[14] + hits[22] + hits[30] > hits[0] + hits[8] + hits[16] + hits[24]
 
 
 def test_license_scan(spark, rng):
