@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is the expected number of copies of each of
-its documents. The whole part is certain; for the rest documents are ranked by
-U/(1-U) / (p/(1-p)), U a hash-drawn number and p the fraction left, and the
-first are taken as long as their words fit the target; one more, that comes
-nearest to what is left, fills it up.
+A source's target over its size is the mean number of copies of its words. The
+whole part is certain. The fraction p that is left is dealt unevenly: long
+documents are included with a higher probability p_i than short ones, such that
+the words expected are p of the source's. Documents are ranked by
+U/(1-U) / (p_i/(1-p_i)), U a hash-drawn number, and the first are taken as long
+as their words fit the target; one more, that comes nearest to what is left,
+fills it up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import partitions, stored
@@ -18,10 +20,27 @@ WEIGHTS, CAP = (5.0, 2.0, 1.0), 3.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rank buckets of a source hold about this many documents each.
 PER_BUCKET = 512
+#: A document of this many words has half the length score, which counts in so many steps.
+HALF, STEPS = 64, 1024
+
+
+def length_score() -> Column:
+    """Whole number from 0 to STEPS that rises with a document's words; sums of it are exact."""
+    return F.floor(F.col("size") * STEPS / (F.col("size") + HALF)).cast("long")
+
+
+def inclusion(p: Column) -> Column:
+    """Probability of one copy beyond the certain ones, where p is the source's fraction.
+
+    The words of a source keep the mean p: scores count from their mean, and
+    are stretched as far as 0 and 1 allow.
+    """
+    mean = F.col("score_words") / (STEPS * F.col("source_size"))
+    return p + F.least(p, 1 - p) * (length_score() / F.lit(STEPS) - mean)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """Rows source, source_size, n_docs, target of a table (source, size).
+    """Rows source, source_size, n_docs, score_words, target of a table (source, size).
 
     Sources take the weights in turn, by code point, null last. Targets share
     all words by weight, stop at cap x size, and the excess is shared again
@@ -29,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     over.
     """
     spark = sizes.sparkSession
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("size") * length_score()).alias("score_words"))
     # A global rank in two steps: ranges of sources, then the place inside a range.
     ranges = stored(per.repartitionByRange(partitions(spark), F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "sources")
     held = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -57,9 +76,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     One row for the n input rows equal in id, text and source: each is taken
     `sure` times, whole, and `extra` of them once more. Null texts have size 0;
-    a document without words is taken as often as its source's others. Draws
-    are hashes of seed, id and text, so reruns agree; equal draws go by id and
-    text hash.
+    a document without words ranks like others of its source, with the least
+    odds. Draws are hashes of seed, id and text, so reruns agree; equal ranks go
+    by id and text hash. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(text.cast("binary")))
@@ -73,12 +92,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sure = F.floor(expected + 1e-12)
     p = F.greatest(expected - sure, F.lit(0.0))
-    # Odds of the draw over odds of inclusion, mapped to (0, 1): rises with the rank.
-    ratio = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = wide.withColumns({"sure": sure.cast("long"), "p": p}).withColumn("rank", F.when(F.col("p") > 0, ratio / (1 + ratio)))
+    # Odds of the draw over odds of inclusion. The source's own odds bring the ranks back to an even spread over (0, 1).
+    ratio = (F.col("u") / (1 - F.col("u"))) / (F.col("p_i") / (1 - F.col("p_i"))) * (F.col("p") / (1 - F.col("p")))
+    ranked = wide.withColumns({"sure": sure.cast("long"), "p": p}).withColumn("p_i", F.when(F.col("p") > 0, inclusion(F.col("p"))))
+    ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, ratio / (1 + ratio))).drop("p_i", "score_words")
     # Words wanted beyond the certain copies are filled in rank order: first by bucket, then inside the bucket where they end.
-    # All documents of a source have one p, so buckets of the draw are buckets of the rank.
-    ranked = ranked.withColumn("bucket", F.when(F.col("p") > 0, F.floor(F.col("u") * F.ceil(F.col("n_docs") / PER_BUCKET))))
+    ranked = ranked.withColumn("bucket", F.when(F.col("p") > 0, F.floor(F.col("rank") * F.ceil(F.col("n_docs") / PER_BUCKET))))
     words = F.col("n") * F.col("size")
     sums = ranked.filter("p > 0").groupBy("source", "bucket").agg(F.sum(words).alias("words"))
     # A source's running sums go over runs of buckets first.

@@ -85,7 +85,7 @@ WITH RECURSIVE d AS (
          / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, CAST(sum(size * CAST(floor(size * 1024 / (size + 64.0::DOUBLE)) AS BIGINT)) AS BIGINT) AS score_words,
          CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM d GROUP BY source),
 k AS (
@@ -97,12 +97,18 @@ k AS (
 t AS (
   SELECT s.*, least(weight * (SELECT max(share) FROM k), 3.0::DOUBLE * source_size) AS target FROM s),
 e AS (
-  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, t.n_docs, u,
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, t.n_docs, t.score_words, u,
          floor(t.target / t.source_size + 1e-12::DOUBLE) AS sure, greatest(t.target / t.source_size - floor(t.target / t.source_size + 1e-12::DOUBLE), 0) AS p
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (
+  SELECT *, CASE WHEN p > 0 THEN p + least(p, 1 - p) * (CAST(floor(size * 1024 / (size + 64.0::DOUBLE)) AS BIGINT) / 1024.0::DOUBLE - score_words / (1024.0::DOUBLE * source_size)) END AS p_i FROM e),
+q AS (
+  SELECT *, (u / (1 - u)) / (p_i / (1 - p_i)) * (p / (1 - p)) AS ratio FROM o),
+v AS (
+  SELECT *, ratio / (1 + ratio) AS rank FROM q),
 r AS (
-  SELECT *, floor(u * ceil(n_docs / 512.0::DOUBLE)) AS bucket, target - sure * source_size AS "left",
-         sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+  SELECT *, floor(rank * ceil(n_docs / 512.0::DOUBLE)) AS bucket, target - sure * source_size AS "left",
+         sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM v),
 f AS (
   SELECT *, max(CASE WHEN upto <= "left" THEN upto ELSE 0 END) OVER (PARTITION BY source) AS base,
          max(upto) OVER (PARTITION BY source, bucket) AS bucket_end, min(upto - size) OVER (PARTITION BY source, bucket) AS bucket_start FROM r),
@@ -112,8 +118,8 @@ g AS (
 h AS (
   SELECT *, CASE WHEN open AND part > 0 THEN abs(rest - size) END AS miss FROM g),
 i AS (
-  SELECT *, row_number() OVER (PARTITION BY source, open ORDER BY miss NULLS LAST, u, doc_id) AS place FROM h)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
+  SELECT *, row_number() OVER (PARTITION BY source, open ORDER BY miss NULLS LAST, rank, doc_id) AS place FROM h)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (sure + CASE WHEN p > 0 AND upto <= "left" THEN 1 WHEN open AND place = 1 AND miss < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM i
 """
@@ -121,8 +127,7 @@ FROM i
 
 @query("op8_mixing", MIX_SQL)
 def mixture(spark, sf):
-    rows = mixing.per_row(mixing.mixed(table(spark, sf, "documents")))
-    return rows.withColumn("target", F.round("target", 6))
+    return mixing.per_row(mixing.mixed(table(spark, sf, "documents")))
 
 
 @query("op9_license_scan")
