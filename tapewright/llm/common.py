@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,8 +54,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about `chars` bytes of text, or one long row."""
+#: What a Python worker keeps from task to task, by name.
+_STORES: dict[str, object] = {}
+
+
+def worker_store(name: str, make: Callable[[], object]):
+    """What this Python worker keeps under a name; workers live on over many tasks and stages."""
+    if name not in _STORES:
+        _STORES[name] = make()
+    return _STORES[name]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker that waits holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS, rows: int = 1024, store: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about `chars` bytes of text, or one long row.
+
+    A task keeps the worker's store of that name; what other operators left
+    there goes at its start, and freed memory at its end.
+    """
+    for name in [n for n in _STORES if n != store]:
+        del _STORES[name]
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, total = 0, 0
@@ -65,6 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    trim()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ from tapewright.llm.common import ID, TH, components, identified, partitions, sl
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 6
 #: Classes compared together in one task, and words' hashes kept by a worker.
-BLOCK, KNOWN_WORDS = 512, 400_000
+BLOCK, KNOWN_WORDS = 512, 100_000
+#: n-grams of the classes of a block, about.
+BLOCK_GRAMS = 2_000_000
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -180,7 +182,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     members = signed.select(ID, TH, "k1", "k2", "n")
     worded = members.filter("n > 0")
     classes = worded.groupBy("k1", "k2").agg(
-        F.min(F.struct(F.col(ID).isNull().alias("none"), ID, TH)).alias("rep"), F.count(F.lit(1)).alias("copies"))
+        F.min(F.struct(F.col(ID).isNull().alias("none"), ID, TH)).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
 
     # Buckets of two or more classes link to their smallest class.
     rows_ = signed.filter("n > 0").select("k1", "k2", F.posexplode("bands").alias("band", "h")).distinct()
@@ -188,10 +190,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     links = rows_.join(buckets, ["band", "h"]).select(F.col("k1").alias("u"), "v").filter("u <> v").distinct()
     comp = stored(components(links), "components")
 
-    # Blocks: small components share tasks, large ones are split.
-    sizes = comp.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    shape = comp.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / block))
-    candidates = classes.join(shape, classes["k1"] == shape["node"]).select(
+    # Blocks: small components share tasks, large ones are split, by classes and by n-grams.
+    placed = classes.join(comp, classes["k1"] == comp["node"])
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams"))
+    shape = sizes.select("root", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("blocks"))
+    candidates = placed.join(shape, "root").select(
         F.col(f"rep.{ID}").alias(ID), F.col(f"rep.{TH}").alias(TH), "k1", "k2", "root", "blocks",
         F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("k2"), F.col("blocks"))).otherwise(0).alias("block"))
     named = candidates.withColumnsRenamed({ID: "c_id", TH: "c_th"})
@@ -204,7 +207,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         for batch in slices(batches):
             keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
             new = []
-            for key in keys:  # repeated rows of one document: once per task
+            if len(seen) > KNOWN_WORDS:
+                seen.clear()
+            for key in keys:  # repeated rows of one document: few are passed on, the comparison takes one
                 new.append(key not in seen)
                 seen.add(key)
             batch = batch.filter(pa.array(new))

@@ -26,9 +26,11 @@ UNKNOWN = "und"
 SPACE = "\U0010ffff"
 #: Prototypes compared in one pass over the texts; more languages take more passes.
 LANGS_PER_PASS = 1024
+#: Texts bundled together; their n-gram counts are a table of texts by n-grams.
+TOGETHER = 256
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=4096)
 def letter_vector(code: int) -> np.ndarray:
     """The random vector of a code point, the same in every task."""
     bits = np.random.Generator(np.random.Philox(key=[SEED, code])).integers(0, 2, DIM, dtype=np.int8)
@@ -109,10 +111,11 @@ def bundle(texts: list[str], owner: np.ndarray, n_owners: int) -> np.ndarray:
     """Sum of the n-gram vectors of each owner's texts."""
     parts = _pieces(texts)
     total = np.zeros((n_owners, DIM))
-    for a in range(0, len(parts), 512):
-        some = parts[a : a + 512]
-        counts, vectors = gram_counts([t for _, t in some], owner[[i for i, _ in some]], n_owners)
-        total += counts @ vectors
+    for a in range(0, len(parts), TOGETHER):
+        some = parts[a : a + TOGETHER]
+        mine, place = np.unique(owner[[i for i, _ in some]], return_inverse=True)
+        counts, vectors = gram_counts([t for _, t in some], place, len(mine))
+        total[mine] += counts @ vectors
     return total
 
 

@@ -12,7 +12,6 @@ Within a block LANES coders are interleaved: token i belongs to lane i mod LANES
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -25,13 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import ID, TH, identified, partitions, slices, stored
+from tapewright.llm.common import ID, TH, identified, partitions, slices, stored, worker_store
 
 END = 0
 PRECISION, LANES, BLOCK, SEGMENT = 18, 2048, 1 << 17, 1 << 18
 #: Distinct pieces whose ids a worker keeps, twice at most.
 KNOWN = 400_000
-@functools.lru_cache(maxsize=2)
+
+
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -65,13 +65,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, _Known({})
-        vocab = tokenizer(path).get_vocab()
+        self.tokenizer, self.known = tokenizer(path), _Known({})
+        vocab = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        got = tokenizer(self.path).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
     def _learn(self) -> None:
@@ -86,8 +86,11 @@ class Encoder:
             some = words[a : a + 256]
             ids, = self._encode([b"".join(some)])
             starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):
+                # A vocabulary with tokens that begin inside a word, or words of several such tokens.
+                found += zip(some, (x.tobytes() for x in self._encode(some)))
+                continue
             data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            assert len(starts) == len(some)
             found += [(w, data[i:j]) for w, i, j in zip(some, at, at[1:])]
         for w, data in found:
             known[w].extend(data)
@@ -134,10 +137,9 @@ def _cut(raw: bytes) -> list[bytes] | None:
     return raw.replace(b" ", b"\0 ").split(b"\0")
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each worker, so that what it has learned serves later tasks."""
-    return Encoder(path)
+    """One for each worker, so that what it has learned serves later tasks; it goes when another operator's task begins."""
+    return worker_store(path, lambda: Encoder(path))
 
 
 def _pack(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
@@ -154,7 +156,7 @@ def tokenized(texts: DataFrame, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, press, counts = encoder(path), zstandard.ZstdCompressor(level=1), np.zeros(1 << 16, np.int64)
         done = 0
-        for batch in slices(batches):
+        for batch in slices(batches, store=path):
             ids = [np.append(x, np.uint32(END)) for x in own.encode(batch.column("text").cast(pa.binary()).to_pylist())]
             got = np.bincount(np.concatenate(ids))
             if len(got) > len(counts):
@@ -164,7 +166,6 @@ def tokenized(texts: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(ID), batch.column(TH), pa.array(n), pa.array([_pack(x, press) for x in ids], pa.binary()),
                                               pa.array(np.arange(done, done + len(ids))), pa.array([None] * len(ids), pa.binary())], [ID, TH, "n", "ids", "salt", "counts"])
             done += len(ids)
-        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2 + [pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()),
                                            pa.array([press.compress(counts.tobytes())], pa.binary())], [ID, TH, "n", "ids", "salt", "counts"])
 
