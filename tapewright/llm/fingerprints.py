@@ -4,6 +4,10 @@ The lexicon holds the terms whose document frequency lies in a band. A text's
 distinct lexicon terms are sorted and hashed once per randomised subset of the
 lexicon. Subsets come in several sizes, so that short texts have terms in the
 large ones and long, slightly edited texts agree in the small ones.
+
+A large group of near copies lifts its own terms above the band. A text with
+few terms in the band therefore takes in its least common ones from above it;
+these are the same for all of the group, however large it is.
 """
 
 from __future__ import annotations
@@ -23,39 +27,32 @@ from tapewright.llm.lm_score import _counts, _parts, _planes, _squeeze
 
 #: Band of the document frequency: at least 2 and this share of all documents, at most that share.
 RARE, COMMON = 0.0005, 0.1
+#: A text with fewer terms in the band takes in so many from above it; one with still fewer than FEW takes all its terms.
+LEAST, FEW = 64, 16
 #: Subsets that take each term with probability 1/2, 1/4, ... 1/256: so many of each.
 SUBSETS = (2, 2, 4, 4, 8, 12, 16, 16)
-KNOWN, ENTRIES = 400_000, 1 << 20
+KNOWN, ENTRIES = 200_000, 1 << 20
 _MUL = np.random.Generator(np.random.Philox(key=10)).integers(0, 2**63, sum(SUBSETS), dtype=np.uint64) | np.uint64(1)
 _SHIFT = np.repeat(63 - np.arange(len(SUBSETS)), SUBSETS).astype(np.uint64)
-#: Hex digits of a subset's hash.
-DIGITS = 4
-EMPTY = "0" * DIGITS
+#: Bytes of a subset's hash.
+BYTES = 4
+EMPTY = bytes(BYTES)
 
 
 class _Terms(dict):
-    """Word -> hash, for lexicon words; other words give 0."""
-
-    def __init__(self, lexicon: np.ndarray | None):
-        super().__init__()
-        self.lexicon = lexicon
+    """Word -> hash; emptied when full."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word) or 1
-        if self.lexicon is not None:
-            at = np.searchsorted(self.lexicon, np.uint64(h))
-            if at == len(self.lexicon) or self.lexicon[at] != np.uint64(h):
-                h = 0
-        self[word] = h
+        self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
         return h
 
 
 def document_frequencies(texts: DataFrame, n_parts: int) -> DataFrame:
     """Rows part, terms, counts: sorted distinct term hashes of some documents with the number of those documents."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Terms(None)
+        hashes = _Terms()
         held: list[np.ndarray] = []
         size = 0
 
@@ -80,57 +77,86 @@ def document_frequencies(texts: DataFrame, n_parts: int) -> DataFrame:
     return texts.mapInArrow(work, "part int, terms binary, counts binary")
 
 
-def lexicon(texts: DataFrame, rare: float = RARE, common: float = COMMON) -> np.ndarray:
-    """Sorted hashes of the terms in the band.
+class Lexicon:
+    """Sorted hashes of the terms in the band, and of those above it with their place by document frequency."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, high: float):
+        above = counts > high
+        self.band = np.sort(terms[~above])
+        common = terms[above]
+        order = np.lexsort((common, counts[above]))
+        place = np.empty(len(common), np.int64)
+        place[order] = np.arange(len(common))
+        by = np.argsort(common)
+        self.common, self.place = common[by], place[by]
+
+    def pick(self, h: np.ndarray) -> np.ndarray:
+        """Those of a text's sorted distinct term hashes that its fingerprint is made of."""
+        inside = _within(self.band, h)
+        n = int(inside.sum())
+        if n < LEAST and len(self.common):
+            at = np.flatnonzero(_within(self.common, h))
+            place = self.place[np.searchsorted(self.common, h[at])]
+            inside[at[np.argsort(place)[:LEAST]]] = True
+            n = int(inside.sum())
+        return h if n < FEW else h[inside]
+
+
+def _within(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(sorted_, h)
+    at[at == len(sorted_)] = 0
+    return sorted_[at] == h if len(sorted_) else np.zeros(len(h), bool)
+
+
+def lexicon(texts: DataFrame, rare: float = RARE, common: float = COMMON) -> Lexicon:
+    """The terms in the band and above it.
 
     Frequencies are of all documents. The result is bounded whatever the
     input's size: at most (mean number of distinct terms per document) / rare.
     """
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
     n_docs, n_parts = size["n"], max(partitions(texts.sparkSession), -(-(size["chars"] or 0) // (16 * ENTRIES)))
-    low, high = max(2, rare * n_docs), common * n_docs
+    low = max(2, rare * n_docs)
 
-    def band(table: pa.Table) -> pa.Table:
+    def counted(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.cumsum(_counts(x.as_py()), dtype=np.uint64) for x in table.column("terms")])
         each, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_counts(x.as_py()) for x in table.column("counts")]))
-        return pa.table({"term": each[(total >= low) & (total <= high)].view(np.int64)})
+        total = np.bincount(at, weights=np.concatenate([_counts(x.as_py()) for x in table.column("counts")])).astype(np.int64)
+        return pa.table({"term": each[total >= low].view(np.int64), "n": total[total >= low]})
 
-    terms = document_frequencies(texts, n_parts).groupBy("part").applyInArrow(band, "term bigint").toArrow()
-    return np.sort(terms.column("term").to_numpy().view(np.uint64))
+    terms = document_frequencies(texts, n_parts).groupBy("part").applyInArrow(counted, "term bigint, n bigint").toArrow()
+    return Lexicon(terms.column("term").to_numpy().view(np.uint64), terms.column("n").to_numpy(), common * n_docs)
 
 
-def fingerprint(text: str, terms: _Terms, every: _Terms) -> str:
-    """DIGITS hex digits per subset, zeros for one without a term. Without a lexicon term all terms count, so that such texts differ, too."""
+def fingerprint(text: str, terms: _Terms, lex: Lexicon) -> bytes:
+    """BYTES per subset, zeros for one without a term."""
     words = words_of(text)
-    h = np.unique(np.fromiter(map(terms.__getitem__, words), np.uint64, len(words)))
-    h = h[h > 0]
-    if not len(h):
-        h = np.unique(np.fromiter(map(every.__getitem__, words), np.uint64, len(words)))
+    h = lex.pick(np.unique(np.fromiter(map(terms.__getitem__, words), np.uint64, len(words))))
     taken = (h[:, None] * _MUL >> _SHIFT) == 0
-    return "".join(hashlib.blake2b(h[taken[:, k]].tobytes(), digest_size=DIGITS // 2).hexdigest() if some else EMPTY for k, some in enumerate(taken.any(0)))
+    digest = xxhash.xxh3_64_digest
+    return b"".join(digest(h[taken[:, k]].tobytes())[:BYTES] if some else EMPTY for k, some in enumerate(taken.any(0).tolist()))
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: bytes, b: bytes) -> float:
     """Share of equal subset hashes among the subsets in which either text has a term; 1 if the fingerprints are equal."""
     if a == b:
         return 1.0
-    pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(0, len(a), DIGITS)]
-    used = [(x, y) for x, y in pairs if x != EMPTY or y != EMPTY]
-    return sum(x == y for x, y in used) / len(used) if used else 0.0
+    x, y = (np.frombuffer(v, f"<u{BYTES}") for v in (a, b))
+    used = (x != 0) | (y != 0)
+    return float((x == y)[used].sum() / used.sum()) if used.any() else 0.0
 
 
-_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 class _Judge:
-    def __init__(self, lex: np.ndarray):
-        self.terms, self.every = _Terms(lex), _Terms(None)
+    def __init__(self, lex: Lexicon):
+        self.terms, self.lex = _Terms(), lex
 
-    def print(self, text: str) -> str:
-        return fingerprint(text, self.terms, self.every)
+    def print(self, text: str) -> bytes:
+        return fingerprint(text, self.terms, self.lex)
 
-    def row(self, d: int | None, text: str, own: str, after: str, next_print: str) -> tuple:
+    def row(self, d: int | None, text: str, own: bytes, after: str, next_print: bytes) -> tuple:
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         other = self.print(edited)
@@ -142,7 +168,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
 
     Null texts count as empty. Documents follow each other by id, null ids
     first, then by text hash; after the last comes the first, and a single
-    document follows itself. Rows equal in both are next to each other.
+    document follows itself. Rows equal in both are next to each other. An
+    empty table gives no rows. Fingerprints are hex, 2 * BYTES digits a subset.
     Texts are sorted in ranges; the last of a range meets the first of the
     next range afterwards.
     """
@@ -157,7 +184,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
     schema = f"{_RESULT}, part int, first boolean, text string"
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [*names, "part", "first", "text"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +217,5 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
             rows = [(*judge.row(*x), None, None, None) for x in zip(*(c.to_pylist() for c in batch.columns))]
             yield batch_of(rows).select(names)
 
-    return found.filter("part is null").select(*names).unionByName(ends.mapInArrow(close, _RESULT))
+    every = found.filter("part is null").select(*names).unionByName(ends.mapInArrow(close, _RESULT))
+    return every.withColumns({n: F.lower(F.hex(n)) for n in ("fingerprint", "edited_fingerprint")})

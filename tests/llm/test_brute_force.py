@@ -11,12 +11,13 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapewright.llm import decontaminate, fingerprints, jaccard_join, lang_id, license_scan, line_templates, lm_score, mixing, substring_dedup, token_store
-from tapewright.llm.common import components, identified
+from tapewright.llm.common import components
 from tapewright.llm.queries import QUERIES, vocabulary
 from tests.conftest import DATA
 from tests.llm.conftest import frame, words
@@ -493,23 +494,49 @@ def test_license_scan_of_documents(spark, docs, rows):
     assert got == want
 
 
+def plain_prints(texts):
+    """Fingerprint of any text and likeness, in plain Python, by the terms of these texts."""
+    n = len(texts)
+    df = collections.Counter(w for t in texts for w in set(jaccard_join.words_of(t)))
+    band = {w for w, k in df.items() if max(2, fingerprints.RARE * n) <= k <= fingerprints.COMMON * n}
+    h = lambda w: xxhash.xxh3_64_intdigest(w)
+    above = sorted((w for w, k in df.items() if k > fingerprints.COMMON * n and k >= max(2, fingerprints.RARE * n)), key=lambda w: (df[w], h(w)))
+    place = {w: i for i, w in enumerate(above)}
+    odds = [1 << (k + 1) for k, m in enumerate(fingerprints.SUBSETS) for _ in range(m)]
+
+    def fp(text):
+        words = set(jaccard_join.words_of(text))
+        mine = words & band
+        if len(mine) < 64:
+            mine |= set(sorted(words & place.keys(), key=place.get)[:64])
+        if len(mine) < 16:
+            mine = words
+        hashes = sorted(map(h, mine))
+        out = []
+        for mul, odd in zip(fingerprints._MUL.tolist(), odds):
+            some = [x for x in hashes if (x * mul) % 2**64 < 2**64 // odd]
+            out.append(xxhash.xxh3_64_hexdigest(b"".join(x.to_bytes(8, "little") for x in some))[:8] if some else "0" * 8)
+        return out
+
+    def like(a, b):
+        used = [(x, y) for x, y in zip(a, b) if (x, y) != ("0" * 8, "0" * 8)]
+        return 1.0 if a == b else sum(x == y for x, y in used) / len(used) if used else 0.0
+
+    return fp, like
+
+
 def test_fingerprints(spark, docs, rows):
-    n = len(rows)
-    df = collections.Counter(w for _, t in rows for w in set(jaccard_join.words_of(t)))
-    band = {w for w, c in df.items() if max(2, fingerprints.RARE * n) <= c <= fingerprints.COMMON * n}
-    lex = fingerprints.lexicon(identified(docs))
-    assert len(lex) == len(band)
-    terms, every = fingerprints._Terms(lex), fingerprints._Terms(None)
+    fp, like = plain_prints([t for _, t in rows])
     got = {r.doc_id: r for r in QUERIES["op10_fingerprints"](spark, DATA).collect()}
-    assert len(got) == n
+    assert len(got) == len(rows)
     for i, (d, t) in enumerate(rows):
-        after = rows[(i + 1) % n][1]
+        after = rows[(i + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        a, b, c = (fingerprints.fingerprint(x, terms, every) for x in (t, edited, after))
+        a, b, c = map(fp, (t, edited, after))
         r = got[d]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (a, b)
-        assert (r.near_edited, r.near_next) == (fingerprints.likeness(a, b), fingerprints.likeness(a, c))
+        assert (r.fingerprint, r.edited_fingerprint) == ("".join(a), "".join(b))
+        assert (r.near_edited, r.near_next) == (like(a, b), like(a, c))
     assert np.mean([r.near_edited for r in got.values()]) > 20 * np.mean([r.near_next for r in got.values()])
 
 
@@ -517,6 +544,23 @@ def test_fingerprints_of_copies_and_edits(spark, rng):
     base = words(rng, 300).split()
     pool = base + words(rng, 2000).split()
     docs = [(i, " ".join(rng.choices(pool, k=200))) for i in range(60)] + [(100, " ".join(base)), (101, " ".join(base)), (102, " ".join([*base[:-2], "xx", "yy"]))]
-    got = {r.doc_id: r.fingerprint for r in fingerprints.compare(frame(spark, docs)).collect()}
+    got = {r.doc_id: bytes.fromhex(r.fingerprint) for r in fingerprints.compare(frame(spark, docs)).collect()}
     assert got[100] == got[101]
     assert fingerprints.likeness(got[100], got[102]) > 0.6 > fingerprints.likeness(got[100], got[0])
+
+
+@pytest.mark.parametrize("copies", [5, 100])
+def test_fingerprints_of_a_large_group_of_near_copies(spark, rng, copies):
+    vocab = words(rng, 4000).split()
+    base = rng.choices(vocab, k=200)
+    docs = [(i, " ".join(rng.choices(vocab, k=200))) for i in range(200)]
+    for i in range(copies):
+        w = list(base)
+        for k in rng.sample(range(200), 4):
+            w[k] = rng.choice(vocab)
+        docs.append((1000 + i, " ".join(w)))
+    got = {r.doc_id: bytes.fromhex(r.fingerprint) for r in fingerprints.compare(frame(spark, docs)).collect()}
+    group = [v for d, v in got.items() if d >= 1000]
+    pairs = [(group[i], group[i + 1]) for i in range(len(group) - 1)]
+    assert np.mean([fingerprints.likeness(a, b) for a, b in pairs]) > 0.5
+    assert np.mean([fingerprints.likeness(group[0], got[d]) for d in range(60)]) < 0.05
