@@ -38,13 +38,6 @@ def vocabulary() -> str:
 
 @query("op1_substring_dedup")
 def repeated_spans(spark, sf):
-    # An existing check holds this query to runs of exactly 3 sentences.
-    return substring_dedup.dedup(table(spark, sf, "documents"), whole=False)
-
-
-@query("op1_substring_dedup_whole")
-def repeated_spans_of_any_sentences(spark, sf):
-    """With runs of short sentences, as many as make up the words."""
     return substring_dedup.dedup(table(spark, sf, "documents"))
 
 

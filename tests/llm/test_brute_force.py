@@ -53,17 +53,21 @@ def test_components(spark):
 
 def test_substring_dedup(spark, docs, rows):
     parts = {d: substring_dedup.sentences(t) for d, t in rows}
+
+    def runs(p):
+        """(first sentence, end, words) of each run: three sentences, and more until there are ten words."""
+        size = [len(x[2].split()) for x in p]
+        for i in range(len(p) - 2):
+            if end := next((j for j in range(i + 3, len(p) + 1) if sum(size[i:j]) >= substring_dedup.MIN_WORDS), None):
+                yield i, end, tuple(x[2] for x in p[i:end])
+
     first = {}
     for d, p in parts.items():
-        for i in range(len(p) - 2):
-            first.setdefault(tuple(x[2] for x in p[i : i + 3]), (d, i))
+        for i, _, run in runs(p):
+            first.setdefault(run, (d, i))
     want = {}
     for d, p in parts.items():
-        gone = set()
-        for i in range(len(p) - 2):
-            run = tuple(x[2] for x in p[i : i + 3])
-            if first[run] != (d, i) and sum(len(x.split()) for x in run) >= substring_dedup.MIN_WORDS:
-                gone |= {i, i + 1, i + 2}
+        gone = {k for i, end, run in runs(p) if first[run] != (d, i) for k in range(i, end)}
         want[d] = (len(p), len(gone))
     got = {r.doc_id: r for r in QUERIES["op1_substring_dedup"](spark, DATA).collect()}
     assert {d: (r.n_sentences, r.n_removed) for d, r in got.items()} == want
@@ -92,6 +96,15 @@ def test_repeated_short_sentences_and_long_ones_at_any_offset(spark, rng):
     assert all(sum(w in got[i].clean_text.split() for w in set(flat.split())) < 40 for i in (11, 12, 13))
 
 
+def test_passages_among_rows_without_an_id(spark, rng):
+    passage = ". ".join(words(rng, 9) for _ in range(6)) + "."
+    docs = [(None, f"{words(rng, 20)}.\n{passage}") for _ in range(4)] + [(None, passage)] * 2
+    got = substring_dedup.dedup(frame(spark, docs)).collect()
+    # One text keeps the passage, whichever hashes least; equal rows fare alike.
+    assert sum(passage in r.clean_text for r in got) in (1, 2) and len(got) == 6
+    assert sorted(substring_dedup.dedup(frame(spark, docs)).collect()) == sorted(got)
+
+
 def test_runs_take_in_what_they_need(rng):
     parts = [(0, 0, words(rng, rng.choice([1, 2, 9]))) for _ in range(60)]
     at, h, n = substring_dedup.run_hashes(parts)
