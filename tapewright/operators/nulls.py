@@ -72,18 +72,11 @@ def random_null_trades(bars: DataFrame, window: str, seeds: list[int], structure
         (d.entry - d.direction * g.stop_atr * d.atr).alias("stop"),
         (d.entry + d.direction * g.target_atr * d.atr).alias("target")))))
     keep = ["seed", "mode", "day_pos", "direction", "entry", "atr", "stop_atr", "target_atr", "stop", "target"]
-    with_path = lambda x: F.struct(
-        *[x[k].alias(k) for k in keep], F.slice("path", x.day_pos.cast("int") + 1, hold).alias("fwd"))
-    with_hits = lambda x: F.struct(
-        *[x[k].alias(k) for k in keep], F.size(x.fwd).alias("n"), F.get(x.fwd, F.size(x.fwd) - 1)["close"].alias("last"),
-        rs._touch(x.fwd, x.direction > 0, x.stop, True).alias("stop_at"),
-        rs._touch(x.fwd, x.direction > 0, x.target, False).alias("target_at"))
-    rows = base.withColumn("_l", levels).withColumn("_f", F.transform("_l", with_path)).withColumn(
-        "_h", F.transform("_f", with_hits)).select("symbol", "session", F.inline("_h")).filter("n > 0")
-    stopped = (c("stop_at") > 0) & ((c("target_at") == 0) | (c("stop_at") <= c("target_at")))
-    won = ~stopped & (c("target_at") > 0)
+    rows = base.withColumn("_l", levels).select("symbol", "session", F.inline(F.transform("_l", lambda x: rs.resolved(x, keep, hold)))).filter("_n > 0")
+    stopped = (c("_stop_at") > 0) & ((c("_target_at") == 0) | (c("_stop_at") <= c("_target_at")))
+    won = ~stopped & (c("_target_at") > 0)
     gross = (F.when(stopped, -1.0).when(won, c("target_atr") / c("stop_atr"))
-             .otherwise((c("last") - c("entry")) * c("direction") / (c("stop_atr") * c("atr"))))
+             .otherwise((c("_last") - c("entry")) * c("direction") / (c("stop_atr") * c("atr"))))
     return rows.select(
         "symbol", "session", "seed", "mode", "day_pos", "direction", "stop_atr", "target_atr",
         F.when(stopped, "stop").when(won, "target").otherwise("time").alias("outcome"),

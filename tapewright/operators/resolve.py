@@ -1,8 +1,11 @@
 """From entries to outcomes: which level does price touch first?
 
 Every session's bars are folded once into a path array (at most one element
-per bar of a day), and an entry reads the slice after it. No pair of entry and
-later bar is ever a row, so the cost does not depend on how entries cluster.
+per bar of a day) with the extremes of its blocks, and a session's entries into
+another. Entries are resolved inside the session's row: a search looks at the
+rest of its own block, then for the first block that reaches the level, then
+into that one. No pair of entry and later bar is ever a row, and no path is
+copied to an entry.
 """
 
 from __future__ import annotations
@@ -16,22 +19,46 @@ c = F.col
 COST_ATR = 0.02
 
 
-def session_paths(bars: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(symbol, session, path): the session's bars in order."""
-    row = F.struct("ts", "high", "low", "close", *extra)
-    return bars.groupBy("symbol", "session").agg(F.sort_array(F.collect_list(row)).alias("path"))
-
+#: Bars in a block of a path.
+BLOCK = 16
 
-def _touch(fwd: Column, is_long: Column, level: Column, below: bool) -> Column:
-    """1-based position of the first bar reaching the level, 0 when none does.
 
-    `below` asks for a fall to the level for longs (their stop).
+def session_paths(bars: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, session, path, blocks): the session's bars in order, and the extremes of every BLOCK of them."""
+    row = F.struct("ts", "high", "low", "close", *extra)
+    paths = bars.groupBy("symbol", "session").agg(F.sort_array(F.collect_list(row)).alias("path"))
+    part = lambda i: F.slice("path", i * BLOCK + 1, F.lit(BLOCK))
+    return paths.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.floor((F.size("path") - 1) / BLOCK).cast("int")), lambda i: F.struct(
+        F.array_max(F.transform(part(i), lambda b: b["high"])).alias("high"), F.array_min(F.transform(part(i), lambda b: b["low"])).alias("low"))))
+
+
+def _reach(start: Column, end: Column, level: Column, up: bool) -> Column:
+    """1-based distance from `start` of the first bar before `end` whose high (or low) reaches the level, 0 when none does."""
+    hit = (lambda b: b["high"] >= level) if up else (lambda b: b["low"] <= level)
+    first = lambda array, lo, n: F.array_position(F.transform(F.slice(array, lo + 1, F.greatest(n, F.lit(0))), hit), True).cast("int")
+    own = F.floor(start / BLOCK).cast("int")
+    head = first("path", start, F.least(end, (own + 1) * BLOCK) - start)
+    # The number of blocks on, and then the bar in that block.
+    ahead = first("blocks", own + 1, F.size("blocks") - own - 1)
+    there = (own + ahead) * BLOCK
+    tail = first("path", there, F.least(end, there + BLOCK) - there)
+    return F.when(head > 0, head).when((ahead > 0) & (there < end), F.when(tail > 0, there + tail - start).otherwise(0)).otherwise(0)
+
+
+def resolved(e: Column, names: list[str], hold: int | None = None) -> Column:
+    """An entry (struct with day_pos, direction, stop, target and more) on the path and blocks of its row.
+
+    Its fields `names`, then the distances _stop_at and _target_at (0: never),
+    the bars seen _n and the close of the last of them, _last.
     """
-    down = lambda b: b["low"] <= level
-    up = lambda b: b["high"] >= level
-    long_hit, short_hit = (down, up) if below else (up, down)
-    hits = F.transform(fwd, lambda b: F.when(is_long, long_hit(b)).otherwise(short_hit(b)))
-    return F.array_position(hits, True)
+    start = e["day_pos"].cast("int")
+    end = F.least(start + hold, F.size("path")) if hold is not None else F.size("path")
+    long = e["direction"] > 0
+    # A long is stopped by a fall and won by a rise, a short the other way round.
+    down = _reach(start, end, F.when(long, e["stop"]).otherwise(e["target"]), False)
+    up = _reach(start, end, F.when(long, e["target"]).otherwise(e["stop"]), True)
+    return F.struct(*[e[n].alias(n) for n in names], F.when(long, down).otherwise(up).alias("_stop_at"), F.when(long, up).otherwise(down).alias("_target_at"),
+                    (end - start).alias("_n"), F.get("path", end - 1)["close"].alias("_last"))
 
 
 def first_touch(entries: DataFrame, paths: DataFrame, hold: int | None = None) -> DataFrame:
@@ -41,16 +68,10 @@ def first_touch(entries: DataFrame, paths: DataFrame, hold: int | None = None) -
     that reaches both levels counts as the stop. Entries without a later bar
     in their session are dropped.
     """
-    joined = entries.join(paths, ["symbol", "session"])
-    span = F.lit(hold) if hold is not None else F.size("path")
-    seen = joined.withColumn("_fwd", F.slice("path", c("day_pos").cast("int") + 1, span)).drop("path")
-    long = c("direction") > 0
-    hit = seen.withColumns({
-        "_stop_at": _touch(c("_fwd"), long, c("stop"), True),
-        "_target_at": _touch(c("_fwd"), long, c("target"), False),
-        "_n": F.size("_fwd"),
-        "_last": F.get("_fwd", F.size("_fwd") - 1)["close"],
-    }).drop("_fwd").filter("_n > 0")
+    names = [n for n in entries.columns if n not in ("symbol", "session")]
+    per_day = entries.groupBy("symbol", "session").agg(F.collect_list(F.struct(*names)).alias("_e"))
+    hit = per_day.join(paths.select("symbol", "session", "path", "blocks"), ["symbol", "session"]).select(
+        "symbol", "session", F.inline(F.transform("_e", lambda e: resolved(e, names, hold)))).filter("_n > 0")
     stopped = (c("_stop_at") > 0) & ((c("_target_at") == 0) | (c("_stop_at") <= c("_target_at")))
     won = ~stopped & (c("_target_at") > 0)
     return hit.withColumns({

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from tapewright.operators import indicators as ind
 from tapewright.operators import order
 from tapewright.operators import quality as qa
 from tapewright.plans import views
-from tapewright.plans.registry import R, part, query
+from tapewright.plans.registry import R, held, part, query
+from tapewright.session import cut_lineage
 
 c = F.col
 
@@ -171,12 +174,13 @@ part("cal", """
 
 
 def calendar(spark, sf):
-    t = views.ticks(spark, sf).withColumn("day", tc.iso_date(tc.to_ny(c("ts"))))
-    # Two hash aggregations instead of one that sorts its input for a struct.
-    high = t.groupBy("symbol", "day").agg(F.max("price").alias("price"))
-    first = t.join(high, ["symbol", "day", "price"]).groupBy("symbol", "day").agg(F.min("id").alias("id"))
-    top = t.join(first, ["symbol", "day", "id"])
-    return top.select(tc.epoch_seconds(c("ts")).alias("event_ts"), F.concat_ws("-", "symbol", c("id").cast("string")).alias("name"))
+    """Read once: the largest price and, of these, the smallest id are one number (prices to six decimals)."""
+    def make():
+        t = views.ticks(spark, sf).withColumn("day", tc.iso_date(tc.to_ny(c("ts"))))
+        rank = F.round(c("price") * 1e6).cast("decimal(20,0)") * F.lit(Decimal(10**17)) - c("id")
+        top = t.groupBy("symbol", "day").agg(F.max_by("ts", rank).alias("ts"), F.max_by("id", rank).alias("id"))
+        return cut_lineage(top.select(tc.epoch_seconds(c("ts")).alias("event_ts"), F.concat_ws("-", "symbol", c("id").cast("string")).alias("name")))
+    return held("calendar", spark, sf, make)
 
 
 @query("event_blackout", """

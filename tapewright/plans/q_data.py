@@ -171,12 +171,12 @@ def era_buckets(spark, sf):
 
 @query("trade_breakdowns", f"""
     SELECT exit_reason, side, count(*) AS n, {R('sum(pnl)', 2)} AS total, {R('avg(pnl)', 4)} AS mean, {R('stddev_samp(pnl) / sqrt(count(*))', 4)} AS se,
-           {R('avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))')} AS t, {R("median(CASE WHEN exit_reason IN ('1-URGENT', '2-HIGH') AND pnl < 0 THEN abs(pnl + commission) / 100.0 END)", 4)} AS median_risk
+           {R('avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))')} AS t, {R("median(CASE WHEN exit_reason IN ('1-URGENT', '2-HIGH') AND pnl < 0 THEN abs(pnl + commission) / 100.0 END)")} AS median_risk
     FROM tlist GROUP BY GROUPING SETS ((exit_reason), (side), ())""")
 def trade_breakdowns(spark, sf):
     out = tr.trade_breakdowns(st.trade_list(raw_trades(spark, sf)), ["1-URGENT", "2-HIGH"])
     return out.select("exit_reason", "side", "n", sh.r6("total", 2).alias("total"), sh.r6("mean", 4).alias("mean"), sh.r6("se", 4).alias("se"),
-                      sh.r6("t").alias("t"), sh.r6("median_risk", 4).alias("median_risk"))
+                      sh.r6("t").alias("t"), sh.r6("median_risk").alias("median_risk"))
 
 
 # --- journal, registry, archive ---------------------------------------------------------
