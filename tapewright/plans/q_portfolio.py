@@ -125,7 +125,28 @@ def trade_admission(spark, sf):
     return pf.trade_admission(candidates(spark, sf), LIMITS).select("symbol", "ts", "refusal", "shares")
 
 
-@query("session_risk_ledger")
+part("rl", """
+    SELECT symbol, session, row_number() OVER (PARTITION BY symbol, session ORDER BY day_pos) AS k, CAST(day_pos AS BIGINT) AS opened, CAST(day_pos + bars_held AS BIGINT) AS closed,
+           abs(entry - stop) AS risk, (exit_price - entry) * direction AS pps FROM mom_trades""")
+# One trade a step: positions due are booked in the order of their closing (two at most are open), then the trade is admitted or refused.
+part("rl_walk", """
+    SELECT symbol, session, CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS realised, 0 AS n, false AS halted, []::STRUCT(closed BIGINT, pnl DOUBLE)[] AS positions, CAST(0 AS BIGINT) AS opened, CAST(0 AS BIGINT) AS shares, '' AS verdict
+    FROM rl WHERE k = 1
+    UNION ALL
+    SELECT symbol, session, k, realised, CASE WHEN verdict = 'open' THEN n + 1 ELSE n END, halted,
+           CASE WHEN verdict = 'open' THEN list_append(positions, {'closed': closed, 'pnl': CAST(shares AS DOUBLE) * pps}) ELSE positions END, opened, CASE WHEN verdict = 'open' THEN shares ELSE 0 END, verdict
+    FROM (SELECT *, CASE WHEN halted THEN 'halted' WHEN n >= 4 THEN 'trade_cap' WHEN len(positions) >= 2 THEN 'position_cap' WHEN 300.0 + least(realised, 0.0) <= 0 THEN 'loss_budget_spent'
+                         WHEN shares < 1 THEN 'budget_too_small' ELSE 'open' END AS verdict
+          FROM (SELECT *, CASE WHEN risk > 0 THEN CAST(floor(greatest(0.0, least(100.0, 300.0 + least(realised, 0.0))) / risk) AS BIGINT) ELSE 0 END AS shares
+                FROM (SELECT symbol, session, k, n, opened, closed, risk, pps, CASE WHEN len(due) = 2 THEN once + due[2].pnl ELSE once END AS realised,
+                             halted OR (len(due) >= 1 AND once <= -300.0) OR (len(due) = 2 AND once + due[2].pnl <= -300.0) AS halted, list_filter(positions, lambda p: p.closed > opened) AS positions
+                      FROM (SELECT *, CASE WHEN len(due) >= 1 THEN before + due[1].pnl ELSE before END AS once
+                            FROM (SELECT r.symbol, r.session, r.k, w.n, w.halted, w.positions, w.realised AS before, r.opened, r.closed, r.risk, r.pps,
+                                         list_sort(list_filter(w.positions, lambda p: p.closed <= r.opened)) AS due
+                                  FROM rl_walk w JOIN rl r ON r.symbol = w.symbol AND r.session = w.session AND r.k = w.k + 1)))))""")
+
+
+@query("session_risk_ledger", f"SELECT symbol, session, opened, shares, {R('realised', 4)} AS realised, verdict FROM rl_walk WHERE k > 0")
 def session_risk_ledger(spark, sf):
     """Every session's momentum trades walked under the daily limits."""
     t = momentum_trades(spark, sf)
