@@ -69,43 +69,53 @@ def cost_adjusted_legs(legs: DataFrame, cost_bp: float = 1.0) -> DataFrame:
 
 # --- returns inside and across sessions --------------------------------------
 
+def with_small(found: DataFrame, rows: DataFrame, by: list[str], least: int) -> DataFrame:
+    """Results with too_few: groups of fewer than `least` rows have one row of NULLs instead of vanishing."""
+    small = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).filter(c("_size") < least).select(*by, F.lit(True).alias("too_few"))
+    return found.withColumn("too_few", F.lit(False)).unionByName(small, allowMissingColumns=True)
+
+
 def log_returns(bars: DataFrame, least: int = 100) -> DataFrame:
-    """Close-to-close log returns of each session with enough usable closes."""
+    """Close-to-close log returns of each session; NULL and too_few where it has not enough usable closes."""
     usable = bars.filter(c("close") > 0)
     w = session_w()
     size = F.count(F.lit(1)).over(Window.partitionBy("symbol", "session"))
-    out = usable.withColumns({"_n": size, "_pc": F.lag("close").over(w)}).filter(c("_n") >= least)
-    return out.filter(c("_pc").isNotNull()).select("symbol", "session", "ts", F.log(c("close") / c("_pc")).alias("ret"))
+    out = usable.withColumns({"_n": size, "_pc": F.lag("close").over(w)}).filter(c("_pc").isNotNull())
+    few = c("_n") < least
+    return out.select("symbol", "session", "ts", F.when(~few, F.log(c("close") / c("_pc"))).alias("ret"), few.alias("too_few"))
 
 
 def variance_ratio(returns: DataFrame, q: int, least: int = 8) -> DataFrame:
-    """Variance of non-overlapping q-sums over q times the single variance."""
+    """Variance of non-overlapping q-sums over q times the single variance; NULL and too_few under `least` sums."""
     w = Window.partitionBy("symbol", "session")
-    placed = returns.withColumns({"_rn": F.row_number().over(w.orderBy("ts")), "_n": F.count(F.lit(1)).over(w)})
-    used = placed.withColumn("_k", F.floor(c("_n") / q)).filter((c("_k") >= least) & (c("_rn") <= c("_k") * q))
-    blocks = used.groupBy("symbol", "session", F.floor((c("_rn") - 1) / q).alias("_b")).agg(
+    placed = returns.withColumns({"_rn": F.row_number().over(w.orderBy("ts")), "_k": F.floor(F.count("ret").over(w) / q)})
+    block = F.when((c("_k") >= least) & (c("_rn") <= c("_k") * q), F.floor((c("_rn") - 1) / q))
+    blocks = placed.groupBy("symbol", "session", block.alias("_b")).agg(
         F.sum("ret").alias("_s"), F.sum(c("ret") * c("ret")).alias("_ss"), F.count(F.lit(1)).alias("_c"))
-    n = F.sum("_c")
-    var1 = (F.sum("_ss") - F.sum("_s") * F.sum("_s") / n) / (n - 1)
+    used = lambda x: F.when(c("_b").isNotNull(), c(x))
+    n, s = F.sum(used("_c")), F.sum(used("_s"))
+    var1 = (F.sum(used("_ss")) - s * s / n) / (n - 1)
     return blocks.groupBy("symbol", "session").agg(
-        F.count(F.lit(1)).alias("blocks"), F.when(var1 > 0, F.var_samp("_s") / (q * var1)).alias("variance_ratio"))
+        F.count("_b").alias("blocks"), F.when(var1 > 0, F.var_samp(used("_s")) / (q * var1)).alias("variance_ratio"), (F.count("_b") == 0).alias("too_few"))
 
 
 def autocorr1(returns: DataFrame, least: int = 30) -> DataFrame:
-    """Lag-1 autocorrelation with the full-series mean in both factors."""
+    """Lag-1 autocorrelation with the full-series mean in both factors; NULL and too_few under `least` returns."""
     w = Window.partitionBy("symbol", "session")
-    centred = returns.withColumns({"_d": c("ret") - F.avg("ret").over(w), "_n": F.count(F.lit(1)).over(w)})
-    lagged = centred.filter(c("_n") >= least).withColumn("_p", F.lag("_d").over(w.orderBy("ts")))
-    den = F.sum(c("_d") * c("_d"))
+    centred = returns.withColumn("_d", c("ret") - F.avg("ret").over(w))
+    lagged = centred.withColumn("_p", F.lag("_d").over(w.orderBy("ts")))
+    den, n = F.sum(c("_d") * c("_d")), F.count("ret")
     return lagged.groupBy("symbol", "session").agg(
-        F.count(F.lit(1)).alias("n"), F.when(den > 0, F.sum(c("_d") * c("_p")) / den).alias("autocorr"))
+        n.alias("n"), F.when((n >= least) & (den > 0), F.sum(c("_d") * c("_p")) / den).alias("autocorr"), (n < least).alias("too_few"))
 
 
 def realised_vol(returns: DataFrame, least: int = 30, per_day: int = 390) -> DataFrame:
-    """Session volatility in percent, and the previous held session's."""
-    vol = returns.groupBy("symbol", "session").agg(F.count("ret").alias("_n"), F.stddev_samp("ret").alias("_sd"))
-    kept = vol.filter(c("_n") > least).select("symbol", "session", (c("_sd") * math.sqrt(per_day) * 100).alias("vol"))
-    return kept.withColumn("prev_vol", F.lag("vol").over(Window.partitionBy("symbol").orderBy("session")))
+    """Session volatility in percent, NULL and too_few with no more than `least` returns, and the last one known before."""
+    n = F.count("ret")
+    vol = returns.groupBy("symbol", "session").agg(
+        F.when(n > least, F.stddev_samp("ret") * math.sqrt(per_day) * 100).alias("vol"), (n <= least).alias("too_few"))
+    before = Window.partitionBy("symbol").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    return vol.withColumn("prev_vol", F.last("vol", ignorenulls=True).over(before))
 
 
 def rolling_realised_vol(days: DataFrame, length: int = 22) -> DataFrame:
@@ -156,14 +166,15 @@ def vol_ratio_predictors(straddles: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def deciles(rows: DataFrame, by: list[str], key: str, value: str, tie: str, least: int = 200) -> DataFrame:
-    """Exact tenths of the sorted predictor (cuts at q*n // 10), not ntile."""
+    """Exact tenths of the sorted predictor (cuts at q*n // 10), not ntile; too_few for groups under `least` rows."""
     w = Window.partitionBy(*by)
     ranked = rows.withColumns({"_rn": F.row_number().over(w.orderBy(key, tie)), "_n": F.count(F.lit(1)).over(w)})
     placed = ranked.filter(c("_n") >= least).withColumn(
         "decile", F.floor((10 * c("_rn") - 1) / c("_n")).cast("long") + 1)
-    return placed.groupBy(*by, "decile").agg(
+    found = placed.groupBy(*by, "decile").agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), st.std_error(c(value)).alias("se"),
         st.t_stat(c(value)).alias("t"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    return with_small(found, rows, by, least)
 
 
 def with_tercile(rows: DataFrame, by: list[str], key: str, tie: str, name: str = "tercile") -> DataFrame:
@@ -181,10 +192,10 @@ def terciles(rows: DataFrame, by: list[str], key: str, value: str, tie: str) ->
 
 
 def regime_straddle_join(regimes: DataFrame, straddles: DataFrame, least: int = 60) -> DataFrame:
-    """Straddle P&L by tercile of the regime reading known before the day."""
+    """Straddle P&L by tercile of the regime reading known before the day; too_few for symbols under `least` days."""
     rows = regimes.select("symbol", "day", "reading").join(straddles.select("symbol", "day", "pnl"), ["symbol", "day"])
     enough = rows.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(c("_all") >= least).drop("_all")
-    return terciles(enough, ["symbol"], "reading", "pnl", "day")
+    return with_small(terciles(enough, ["symbol"], "reading", "pnl", "day"), rows, ["symbol"], least)
 
 
 def group_gradient(rows: DataFrame, by: list[str], key: str, value: str, tie: str) -> DataFrame:
@@ -200,14 +211,15 @@ def stratified_control(rows: DataFrame, by: list[str], least: int = 60) -> DataF
     """Does g still matter inside thirds of the control pv?
 
     rows: g, pv, tv and `day`. Each third is split at its median g (strictly
-    above against the rest) and tested on tv.
+    above against the rest) and tested on tv. too_few for groups under `least`
+    rows.
     """
     sized = rows.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter(c("_all") >= least).drop("_all")
     placed = with_tercile(sized, by, "pv", "day", "stratum")
     mid = exact_medians(placed, [*by, "stratum"], ["g"]).withColumnRenamed("g", "_med")
     joined = placed.join(mid, [*by, "stratum"])
     welch = st.welch_groups(c("tv"), c("g") > c("_med"))
-    return joined.groupBy(*by, "stratum").agg(*[v.alias(k) for k, v in welch.items()])
+    return with_small(joined.groupBy(*by, "stratum").agg(*[v.alias(k) for k, v in welch.items()]), rows, by, least)
 
 
 # --- noise-area momentum ------------------------------------------------------
@@ -345,15 +357,17 @@ def monthly_compound(days: DataFrame, by: list[str], month: Column, value: str)
 
 
 def run_stats(curve: DataFrame, capital: float, least: int = 20) -> DataFrame:
-    """Total, yearly return, volatility, Sharpe, drawdown, hit share, trades."""
+    """Total, yearly return, volatility, Sharpe, drawdown, hit share, trades; NULL and too_few under `least` sessions."""
     w = Window.partitionBy("symbol").orderBy("session")
     peak = F.greatest(F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(capital))
     rows = curve.withColumn("_fall", 1.0 - c("equity") / peak)
     n = F.count(F.lit(1))
     total = F.max_by("equity", "session") / capital - 1.0
     vol = F.stddev_samp("ret") * math.sqrt(252)
-    return rows.groupBy("symbol").agg(
+    found = rows.groupBy("symbol").agg(
         n.alias("sessions"), total.alias("total"),
         F.when(total > -1, F.pow(1.0 + total, 252.0 / n) - 1.0).alias("irr"), vol.alias("vol"),
         F.when(vol > 0, F.avg("ret") * 252 / vol).alias("sharpe"), F.greatest(F.max("_fall"), F.lit(0.0)).alias("mdd"),
-        F.avg((c("ret") > 0).cast("double")).alias("hit"), F.sum("trades").alias("trades")).filter(c("sessions") >= least)
+        F.avg((c("ret") > 0).cast("double")).alias("hit"), F.sum("trades").alias("trades"))
+    few = c("sessions") < least
+    return found.select("symbol", "sessions", *[F.when(~few, c(x)).alias(x) for x in ("total", "irr", "vol", "sharpe", "mdd", "hit", "trades")], few.alias("too_few"))

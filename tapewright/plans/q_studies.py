@@ -115,42 +115,43 @@ def overnight_subwindows(spark, sf):
 
 # --- returns -----------------------------------------------------------------
 
-part("rets", """
-    SELECT * FROM (SELECT symbol, session, ts, ln(close / lag(close) OVER (PARTITION BY symbol, session ORDER BY ts)) AS ret,
-                          count(*) OVER (PARTITION BY symbol, session) AS n FROM b WHERE close > 0) WHERE n >= 20 AND ret IS NOT NULL""")
+part("rets_all", """
+    SELECT symbol, session, ts, CASE WHEN n >= 20 THEN ret END AS ret, n < 20 AS too_few FROM (
+      SELECT symbol, session, ts, ln(close / lag(close) OVER (PARTITION BY symbol, session ORDER BY ts)) AS ret, count(*) OVER (PARTITION BY symbol, session) AS n FROM b WHERE close > 0) WHERE ret IS NOT NULL""")
+part("rets", "SELECT symbol, session, ts, ret FROM rets_all WHERE NOT too_few")
+part("ret_days", "SELECT DISTINCT symbol, session FROM rets_all")
 
 
 def returns(spark, sf):
     return sd.log_returns(views.bar_table(spark, sf), 20)
 
 
-@query("log_returns", f"SELECT symbol, session, ts, {R('ret')} AS ret FROM rets")
+@query("log_returns", f"SELECT symbol, session, ts, {R('ret')} AS ret, too_few FROM rets_all")
 def log_returns(spark, sf):
     return tidy(returns(spark, sf))
 
 
 @query("variance_ratio", f"""
+    SELECT d.symbol, d.session, coalesce(v.blocks, 0) AS blocks, v.variance_ratio, v.blocks IS NULL AS too_few FROM ret_days d LEFT JOIN (
     SELECT symbol, session, count(*) AS blocks, {R('var_samp(s) / (2 * any_value(v1))')} AS variance_ratio FROM (
       SELECT symbol, session, (rn - 1) // 2 AS blk, sum(ret) AS s, any_value(v1) AS v1 FROM (
         SELECT *, var_samp(ret) OVER (PARTITION BY symbol, session) AS v1 FROM (
           SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol, session) AS m FROM rets)
-        WHERE m // 2 >= 8 AND rn <= (m // 2) * 2) GROUP BY ALL) GROUP BY symbol, session""")
+        WHERE m // 2 >= 8 AND rn <= (m // 2) * 2) GROUP BY ALL) GROUP BY symbol, session) v ON v.symbol = d.symbol AND v.session = d.session""")
 def variance_ratio(spark, sf):
     return tidy(sd.variance_ratio(returns(spark, sf), 2))
 
 
 @query("autocorr1", f"""
-    SELECT symbol, session, count(*) AS n, {R('sum(d * p) / sum(d * d)')} AS autocorr FROM (
-      SELECT *, lag(d) OVER (PARTITION BY symbol, session ORDER BY ts) AS p FROM (
-        SELECT *, ret - avg(ret) OVER (PARTITION BY symbol, session) AS d, count(*) OVER (PARTITION BY symbol, session) AS m FROM rets)
-      WHERE m >= 30) GROUP BY symbol, session""")
+    SELECT symbol, session, count(ret) AS n, {R('CASE WHEN count(ret) >= 30 THEN sum(d * p) / sum(d * d) END')} AS autocorr, count(ret) < 30 AS too_few FROM (
+      SELECT *, lag(d) OVER (PARTITION BY symbol, session ORDER BY ts) AS p FROM (SELECT *, ret - avg(ret) OVER (PARTITION BY symbol, session) AS d FROM rets_all)) GROUP BY symbol, session""")
 def autocorr1(spark, sf):
     return tidy(sd.autocorr1(returns(spark, sf)))
 
 
 @query("realised_vol", f"""
-    SELECT symbol, session, {R('vol')} AS vol, {R('lag(vol) OVER (PARTITION BY symbol ORDER BY session)')} AS prev_vol FROM (
-      SELECT symbol, session, stddev_samp(ret) * sqrt(390.0) * 100 AS vol FROM rets GROUP BY symbol, session HAVING count(*) > 24)""")
+    SELECT symbol, session, {R('vol')} AS vol, too_few, {R('last_value(vol IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS prev_vol FROM (
+      SELECT symbol, session, CASE WHEN count(ret) > 24 THEN stddev_samp(ret) * sqrt(390.0) * 100 END AS vol, count(ret) <= 24 AS too_few FROM rets_all GROUP BY symbol, session)""")
 def realised_vol(spark, sf):
     return tidy(sd.realised_vol(returns(spark, sf), 24))
 
@@ -259,9 +260,10 @@ def vol_ratio_predictors(spark, sf):
 
 @query("deciles", f"""
     SELECT symbol, predictor, (10 * rn - 1) // n + 1 AS decile, count(*) AS n, {R('avg(pnl)')} AS mean, {R('stddev_samp(pnl) / sqrt(count(*))')} AS se,
-           {R('avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))')} AS t, {R('min(value)')} AS lo, {R('max(value)')} AS hi
+           {R('avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))')} AS t, {R('min(value)')} AS lo, {R('max(value)')} AS hi, false AS too_few
     FROM (SELECT *, row_number() OVER (PARTITION BY symbol, predictor ORDER BY value, day) AS rn, count(*) OVER (PARTITION BY symbol, predictor) AS n FROM preds)
-    WHERE n >= 200 GROUP BY symbol, predictor, (10 * rn - 1) // n""")
+    WHERE n >= 200 GROUP BY symbol, predictor, (10 * rn - 1) // n
+    UNION ALL SELECT symbol, predictor, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM preds GROUP BY symbol, predictor HAVING count(*) < 200""")
 def deciles(spark, sf):
     return tidy(sd.deciles(predictors(spark, sf), ["symbol", "predictor"], "value", "pnl", "day"))
 
@@ -305,11 +307,14 @@ def prior_value_asof(spark, sf):
     return dated(regimes(spark, sf).select("symbol", "day", "reading"))
 
 
+part("rstr", "SELECT r.symbol, r.reading, r.day, s.pnl FROM regime r JOIN strd s ON s.symbol = r.symbol AND s.day = r.day")
+
+
 @query("regime_straddle_join", f"""
     SELECT symbol, least((rn - 1) // (n // 3), 2) AS tercile, count(*) AS n, {R('avg(pnl)')} AS mean, {R('stddev_samp(pnl) / sqrt(count(*))')} AS se,
-           {R('avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))')} AS t
-    FROM (SELECT r.symbol, s.pnl, row_number() OVER (PARTITION BY r.symbol ORDER BY r.reading, r.day) AS rn, count(*) OVER (PARTITION BY r.symbol) AS n
-          FROM regime r JOIN strd s ON s.symbol = r.symbol AND s.day = r.day) WHERE n >= 60 GROUP BY symbol, least((rn - 1) // (n // 3), 2)""")
+           {R('avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))')} AS t, false AS too_few
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY reading, day) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM rstr) WHERE n >= 60 GROUP BY symbol, least((rn - 1) // (n // 3), 2)
+    UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, NULL, true FROM rstr GROUP BY symbol HAVING count(*) < 60""")
 def regime_straddle_join(spark, sf):
     return tidy(sd.regime_straddle_join(regimes(spark, sf), straddles(spark, sf)))
 
@@ -349,7 +354,9 @@ def control(spark, sf):
     return sd.stratified_control(rows, ["symbol"])
 
 
-@query("stratified_control", f"SELECT symbol, stratum, n_a, n_b, {R('diff')} AS diff, {R('t')} AS t FROM strata")
+@query("stratified_control", f"""
+    SELECT symbol, stratum, n_a, n_b, {R('diff')} AS diff, {R('t')} AS t, false AS too_few FROM strata
+    UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, NULL, true FROM ctrl GROUP BY symbol HAVING count(*) < 60""")
 def stratified_control(spark, sf):
     return tidy(control(spark, sf))
 
@@ -443,10 +450,11 @@ def equity_curve(spark, sf):
     return tidy(out.withColumn("equity", sh.r6("equity", 3)))
 
 
-@query("run_stats", f"""
+@query("run_stats", """
+    SELECT symbol, sessions, sessions < 10 AS too_few, """ + ", ".join(f"CASE WHEN sessions >= 10 THEN {x} END AS {x}" for x in ("total", "irr", "vol", "sharpe", "mdd", "hit", "trades")) + f""" FROM (
     SELECT symbol, count(*) AS sessions, {R('arg_max(equity, session) / 100000.0 - 1.0')} AS total, {R('CASE WHEN arg_max(equity, session) > 0 THEN pow(arg_max(equity, session) / 100000.0, 252.0 / count(*)) - 1.0 END')} AS irr,
-           {R('stddev_samp(ret) * sqrt(252.0)')} AS vol, {R('avg(ret) * 252 / (stddev_samp(ret) * sqrt(252.0))')} AS sharpe,
+           {R('stddev_samp(ret) * sqrt(252.0)')} AS vol, {R('CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) * 252 / (stddev_samp(ret) * sqrt(252.0)) END')} AS sharpe,
            {R('greatest(max(1.0 - equity / greatest(peak, 100000.0)), 0.0)')} AS mdd, {R('avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)')} AS hit, CAST(sum(trades) AS BIGINT) AS trades
-    FROM (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY k) AS peak FROM eq_walk WHERE k > 0) GROUP BY symbol HAVING count(*) >= 10""")
+    FROM (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY k) AS peak FROM eq_walk WHERE k > 0) GROUP BY symbol)""")
 def run_stats(spark, sf):
     return tidy(sd.run_stats(curve(spark, sf), 100_000.0, 10))
