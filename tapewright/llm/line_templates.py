@@ -9,7 +9,8 @@ template; templates that recur in MIN_DOCS documents are dropped.
 The values of a variable field are frequent words, too, once the corpus is
 large. So templates are formed again at each of a ladder of bars, twice as high
 as the one before, by which fewer and fewer words are constant; a line is
-dropped if its template at any bar recurs. There is a bar between a field's
+dropped if its template at any bar recurs. Lines too short for a template, or with too few
+constant words, are dropped if the masked line itself recurs. There is a bar between a field's
 values and the template's own words if each value stands in less than half of
 the template's lines. Bars above the first count (line, document) pairs.
 """
@@ -38,15 +39,15 @@ def _signed(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def leaves(texts: DataFrame, lead: int, least: int) -> DataFrame:
-    """Rows: identity, place of the line, hash of its masked words, leaf, words that are fixed, words; lines of `least` words or more."""
+def leaves(texts: DataFrame, lead: int) -> DataFrame:
+    """Rows: identity, place of the line, hash of its masked words, leaf, words that are fixed, words; lines with a word."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             row, out = [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
                 for at, line in enumerate(t.split("\n")):
                     words = masked(line)
-                    if len(words) >= least:
+                    if words:
                         row.append(i)
                         out.append((at, _signed(" ".join(words)), _signed(f"{len(words)} {' '.join(words[:lead])}"),
                                     len(words) - words.count(WILD), len(words)))
@@ -62,20 +63,22 @@ def leaves(texts: DataFrame, lead: int, least: int) -> DataFrame:
 def recurring(texts: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, least: int = MIN_WORDS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
     """(lines of all texts, rows (line, template) of the masked lines to drop); both by hash.
 
-    A leaf with one line needs no look at its words: the line is its template.
+    A leaf with one line needs no look at its words: the line is its template,
+    and it recurs if the line does.
     """
-    lines = stored(leaves(texts, lead, least), "lines")
+    lines = stored(leaves(texts, lead), "lines")
     pairs = lines.select("leaf", "line", "fixed", "n", ID, TH).distinct()
-    # Leaves that enough documents reach; a hot leaf is summed before it is shuffled.
-    docs = pairs.select("leaf", ID, TH).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     per_line = stored(pairs.groupBy("leaf", "line", "fixed", "n").agg(F.count(F.lit(1)).alias("line_docs")), "per_line")
-    sorts = per_line.groupBy("leaf").agg(F.count(F.lit(1)).alias("sorts"))
-    reached = stored(docs.join(sorts, "leaf").select("leaf", "sorts"), "leaves")
+    # Equal masked lines, however short, with a word that is not masked.
+    equal = per_line.filter((F.col("line_docs") >= min_docs) & (F.col("fixed") > 0)).select("line", F.col("line").alias("template"))
+    # Leaves that enough documents reach: surely if they reach a line of it, never if all its lines together have too few; else documents are counted.
+    stats = stored(per_line.filter(F.col("n") >= least).groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("sorts"), F.sum("line_docs").alias("some"), F.max("line_docs").alias("most")).filter((F.col("some") >= min_docs) & (F.col("sorts") > 1)), "leaves")
+    open_ = stats.filter(F.col("most") < min_docs).select("leaf")
+    docs = lines.join(open_, "leaf", "left_semi").select("leaf", ID, TH).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     enough = lambda fixed, n: (fixed >= n * constant) & (fixed >= least)
-    alone = per_line.join(reached.filter("sorts = 1"), "leaf", "left_semi").filter(
-        enough(F.col("fixed"), F.col("n")) & (F.col("line_docs") >= min_docs)).select("line", F.col("line").alias("template"))
 
-    shared = reached.filter("sorts > 1").select("leaf")
+    shared = stored(stats.filter(F.col("most") >= min_docs).select("leaf").unionByName(docs.select("leaf")), "shared")
     pairs = stored(lines.join(shared, "leaf", "left_semi").select("line", ID, TH).distinct(), "pairs")
     # One place to read each distinct masked line from.
     place = lines.join(shared, "leaf", "left_semi").groupBy("line").agg(F.min(F.struct(F.col(ID).alias("p_id"), F.col(TH).alias("p_th"), "at")).alias("p"))
@@ -120,7 +123,7 @@ def recurring(texts: DataFrame, lead: int = LEAD, min_docs: int = MIN_DOCS, leas
     rest = F.transform("rest", lambda x: F.struct(x["pos"], x["word"]))
     formed = stored(formed.filter(enough(F.col("fixed"), F.col("n"))).select("line", F.xxhash64("home", rest).alias("template")).distinct(), "formed")
     kept = pairs.join(formed, "line").select("template", ID, TH).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
-    return lines, stored(alone.unionByName(formed.join(kept.select("template"), "template", "left_semi").select("line", "template")), "templates")
+    return lines, stored(equal.unionByName(formed.join(kept.select("template"), "template", "left_semi").select("line", "template")), "templates")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -128,8 +131,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
     Lines end at a newline; a word is a run of other characters than white
     space. Null texts count as empty. Documents are told apart by id and text,
-    so a repeated row counts once. Lines of fewer than MIN_WORDS words stay.
-    All occurrences of a recurring template are dropped.
+    so a repeated row counts once. All occurrences of a recurring template are
+    dropped, and of masked lines that recur as they are; the latter may be of
+    any length, a template has MIN_WORDS constant words or more, and half of
+    all. An empty table gives no rows.
     """
     texts = identified(docs, id_col, text_col)
     lines, drops = recurring(texts, **options)

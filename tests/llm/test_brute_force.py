@@ -298,6 +298,13 @@ def test_line_templates(spark, rng):
     assert [got[i].n_dropped for i in (50, 51, 52)] == [1, 0, 0]
 
 
+def test_short_lines_that_recur(spark, rng):
+    docs = [(i, f"{words(rng, 8)}\nRead more\nPage {i} of 9\n{i}\nLes.\n{words(rng, 5)}") for i in range(4)] + [(9, "Read more\nonce"), (10, "7\n\nonce upon")]
+    got = {r.doc_id: r for r in line_templates.dedup(frame(spark, docs)).collect()}
+    assert [got[i].n_dropped for i in (0, 1, 2, 3, 9, 10)] == [3, 3, 3, 3, 1, 0]
+    assert got[2].clean_text.split("\n")[1] == "2" and got[9].clean_text == "once"
+
+
 def test_line_templates_match_plain_tree(spark, docs, rows):
     lines = {(d, i): tuple(line_templates.masked(x)) for d, t in rows for i, x in enumerate(t.split("\n"))}
     lines = {k: w for k, w in lines.items() if len(w) >= 3}
@@ -318,7 +325,12 @@ def test_line_templates_match_plain_tree(spark, docs, rows):
     for (d, _), w in lines.items():
         if template(w):
             docs_of[template(w)].add(d)
-    want = collections.Counter(d for (d, _), w in lines.items() if template(w) and len(docs_of[template(w)]) >= 3)
+    every = {(d, i): tuple(line_templates.masked(x)) for d, t in rows for i, x in enumerate(t.split("\n"))}
+    equal = collections.defaultdict(set)
+    for (d, _), w in every.items():
+        equal[w].add(d)
+    recurs = lambda w: any(x != "<*>" for x in w) and len(equal[w]) >= 3
+    want = collections.Counter(d for (d, _), w in every.items() if recurs(w) or len(w) >= 3 and template(w) and len(docs_of[template(w)]) >= 3)
     got = {r.doc_id: r.n_dropped for r in QUERIES["op5_line_templates"](spark, DATA).collect()}
     assert got == {d: want[d] for d, _ in rows} and sum(want.values()) > 0
 
