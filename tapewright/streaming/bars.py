@@ -37,3 +37,20 @@ def stream_bars(ticks: DataFrame, width: int, anchor: int = tc.RTH_OPEN, delay:
     return bars.select(
         "symbol", F.unix_seconds("bucket_start").alias("ts"), "open", "high", "low", "close", "volume", "session",
         F.pmod(c("bucket") * width + anchor, F.lit(1440)).cast("int").alias("minute"), "bucket_start")
+
+
+def late_ticks(ticks: DataFrame, bars: DataFrame, width: int, anchor: int = tc.RTH_OPEN) -> DataFrame:
+    """Account of a stream's late ticks: symbol, ts (of the bar), late, for each bucket that ticks missed.
+
+    ticks: the same source read as a table; bars: what the stream has written.
+    A tick is late if its bucket's bar was written without it, or if its bucket
+    is older than the newest bar and never had one. Both tables are summed by
+    bucket before they meet.
+    """
+    ny = tc.to_ny(c("ts"))
+    placed = ticks.select("symbol", tc.iso_date(ny).alias("session"), tc.bucket_index(tc.minute_of_day(ny), width, anchor).alias("bucket"))
+    came = placed.groupBy("symbol", "session", "bucket").agg(F.count(F.lit(1)).alias("came")).select(
+        "symbol", F.unix_seconds(F.timestamp_seconds(tc.bucket_start(c("session"), c("bucket"), width, anchor))).alias("ts"), "came")
+    newest = bars.agg(F.max("ts").alias("newest"))
+    counted = came.join(bars.select("symbol", "ts", c("volume").cast("long").alias("seen")), ["symbol", "ts"], "left").join(F.broadcast(newest), c("ts") <= c("newest"))
+    return counted.select("symbol", "ts", (c("came") - F.coalesce("seen", F.lit(0))).alias("late")).filter("late > 0")

@@ -212,3 +212,28 @@ def test_stream_signals_equal_batch_over_triggers_and_a_restart(spark, tmp_path)
     batch = sc.session_quota(rows.withColumn("rejection", sc.post_gates(cfg)), ["symbol"], 2).filter(F.col("ts") <= last - 1800)
     want = sorted(map(str, batch.select("symbol", "ts", "session", "direction", "rejection").collect()))
     assert got == want and 0 < first < len(got) and any("session_quota" in r for r in got) and any("rejection=None" in r for r in got)
+
+
+def test_late_ticks_are_counted(spark, tmp_path):
+    """Ticks that come after their bar was written are missing from it, and in the account."""
+    start = 1_710_163_800
+    def ticks(rows):
+        return spark.createDataFrame(rows, "symbol string, at long, price double, id long").selectExpr("symbol", "timestamp_seconds(at) AS ts", "price", "id")
+
+    files = [[("A", start + 600 * k, 1.0 + k, k) for k in range(30)], [("A", start + 600 * k, 2.0, 100 + k) for k in range(30, 40)],
+             [("A", start + 60, 9.0, 200), ("A", start + 120, 9.0, 201), ("B", start + 60, 9.0, 202), ("A", start + 600 * 40, 3.0, 203)], [("A", start + 600 * 60, 3.0, 204)]]
+    folder = tmp_path / "ticks"
+
+    def go():
+        stream = sb.read_tick_stream(spark, str(folder), ticks(files[0]).schema, "*.parquet")
+        q = (sb.stream_bars(stream, 30).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    for rows in files:
+        ticks(rows).coalesce(1).write.mode("append").parquet(str(folder))
+        go()
+    bars = spark.read.parquet(str(tmp_path / "out"))
+    late = {(r.symbol, r.ts): r.late for r in sb.late_ticks(spark.read.parquet(str(folder)), bars, 30).collect()}
+    assert late == {("A", start): 2, ("B", start): 1}
+    assert bars.filter(f"symbol = 'A' AND ts = {start}").first()["volume"] == 3
