@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import stats as st
 from tapewright.operators.medians import exact_medians
 from tapewright.operators.order import session_so_far, session_w
+from tapewright.operators.ranks import with_rank
 
 c = F.col
 MAX_GAP_DAYS = 5
@@ -167,9 +168,7 @@ def vol_ratio_predictors(straddles: DataFrame, levels: DataFrame) -> DataFrame:
 
 def deciles(rows: DataFrame, by: list[str], key: str, value: str, tie: str, least: int = 200) -> DataFrame:
     """Exact tenths of the sorted predictor (cuts at q*n // 10), not ntile; too_few for groups under `least` rows."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"_rn": F.row_number().over(w.orderBy(key, tie)), "_n": F.count(F.lit(1)).over(w)})
-    placed = ranked.filter(c("_n") >= least).withColumn(
+    placed = with_rank(rows, by, key, tie).filter(c("_n") >= least).withColumn(
         "decile", F.floor((10 * c("_rn") - 1) / c("_n")).cast("long") + 1)
     found = placed.groupBy(*by, "decile").agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), st.std_error(c(value)).alias("se"),
@@ -177,25 +176,23 @@ def deciles(rows: DataFrame, by: list[str], key: str, value: str, tie: str, leas
     return with_small(found, rows, by, least)
 
 
-def with_tercile(rows: DataFrame, by: list[str], key: str, tie: str, name: str = "tercile") -> DataFrame:
-    """0, 1 or 2 by rank; the last third takes the remainder."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumns({"_rn": F.row_number().over(w.orderBy(key, tie)), "_n": F.count(F.lit(1)).over(w)})
+def with_tercile(rows: DataFrame, by: list[str], key: str, tie: str, name: str = "tercile", least: int = 0) -> DataFrame:
+    """0, 1 or 2 by rank; the last third takes the remainder. Groups under `least` rows are left out."""
+    ranked = with_rank(rows, by, key, tie).filter(c("_n") >= least)
     k = F.floor(c("_n") / 3)
     third = F.when(k > 0, F.least(F.floor((c("_rn") - 1) / k), F.lit(2))).otherwise(2)
     return ranked.withColumn(name, third.cast("long")).drop("_rn", "_n")
 
 
-def terciles(rows: DataFrame, by: list[str], key: str, value: str, tie: str) -> DataFrame:
-    return with_tercile(rows, by, key, tie).groupBy(*by, "tercile").agg(
+def terciles(rows: DataFrame, by: list[str], key: str, value: str, tie: str, least: int = 0) -> DataFrame:
+    return with_tercile(rows, by, key, tie, least=least).groupBy(*by, "tercile").agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), st.std_error(c(value)).alias("se"), st.t_stat(c(value)).alias("t"))
 
 
 def regime_straddle_join(regimes: DataFrame, straddles: DataFrame, least: int = 60) -> DataFrame:
     """Straddle P&L by tercile of the regime reading known before the day; too_few for symbols under `least` days."""
     rows = regimes.select("symbol", "day", "reading").join(straddles.select("symbol", "day", "pnl"), ["symbol", "day"])
-    enough = rows.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(c("_all") >= least).drop("_all")
-    return with_small(terciles(enough, ["symbol"], "reading", "pnl", "day"), rows, ["symbol"], least)
+    return with_small(terciles(rows, ["symbol"], "reading", "pnl", "day", least), rows, ["symbol"], least)
 
 
 def group_gradient(rows: DataFrame, by: list[str], key: str, value: str, tie: str) -> DataFrame:
@@ -214,8 +211,7 @@ def stratified_control(rows: DataFrame, by: list[str], least: int = 60) -> DataF
     above against the rest) and tested on tv. too_few for groups under `least`
     rows.
     """
-    sized = rows.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter(c("_all") >= least).drop("_all")
-    placed = with_tercile(sized, by, "pv", "day", "stratum")
+    placed = with_tercile(rows, by, "pv", "day", "stratum", least)
     mid = exact_medians(placed, [*by, "stratum"], ["g"]).withColumnRenamed("g", "_med")
     joined = placed.join(mid, [*by, "stratum"])
     welch = st.welch_groups(c("tv"), c("g") > c("_med"))

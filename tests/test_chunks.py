@@ -1,6 +1,7 @@
 """Chunked windows must equal the plain series, wherever chunks break."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -133,3 +134,15 @@ def test_depth_shape(spark):
                     sh.dealing_depth(F.lit(100.0), F.lit(True)).alias("half")).first()
     assert got.mid == 0.0 and got.deep == 1.0
     assert math.isclose(got.half, (0.65 + 0.35 / 3) ** 1.5)
+
+
+def test_exact_ranks(spark):
+    from tapewright.operators.ranks import with_rank
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), 0.0, rng.gauss(0, 1), rng.gauss(0, 1e6), 7.0, -7.0]), i) for i in range(700)]
+    got = with_rank(spark.createDataFrame(rows, "g string, v double, i int").repartition(4), ["g"], "v", "i").collect()
+    for g in ("a", "b", None):
+        mine = [r for r in rows if r[0] == g]
+        order = sorted(mine, key=lambda r: (0, 0.0, r[2]) if r[1] is None else (2, 0.0, r[2]) if r[1] != r[1] else (1, r[1], r[2]))
+        assert {r.i: (r._rn, r._n) for r in got if r.g == g} == {r[2]: (k + 1, len(mine)) for k, r in enumerate(order)}
