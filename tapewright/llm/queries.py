@@ -133,7 +133,31 @@ def prints(spark, sf):
     return fingerprints.compare(table(spark, sf, "documents"))
 
 
-@query("op11_prefix_trie")
+#: crc32 of the decimal id, bit by bit; prefixes are compared as lists of turns.
+TRIE_SQL = r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda crc, byte:
+    list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) % 4 AS h FROM own),
+built AS (
+  SELECT h.conv_id, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+pre AS (
+  SELECT conv_id, d, l[1:d] AS p, len(l) = d AS here FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN here THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ids,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM pre GROUP BY d, p),
+linked AS (
+  SELECT n.*, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1]),
+counted AS (
+  SELECT n.d, n.conv_id, n.p, n.parent_conv_id, n.n_convs, n.ids, n.words, count(k.d) AS n_children FROM linked n LEFT JOIN nodes k ON k.d = n.d + 1 AND k.p[1:n.d] = n.p GROUP BY ALL)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves,
+       CAST(sum((x.n_convs - 1) * x.words) AS BIGINT) AS saved_tokens, sha256(a.ids) AS ends_sha256
+FROM counted a JOIN counted x ON x.d >= a.d AND x.p[1:a.d] = a.p GROUP BY a.conv_id, a.d, a.parent_conv_id, a.n_convs, a.n_children, a.ids, a.p
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
 def prefix_nodes(spark, sf):
     return prefix_trie.trie(table(spark, sf, "conversations"))
 
