@@ -7,7 +7,6 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tapewright.functions import shape as sh
-from tapewright.functions import timecols as tc
 from tapewright.operators import lifecycle as lc
 from tapewright.operators import score as sc
 from tapewright.operators import signals as sg

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tapewright.functions import timecols as tc
 from tapewright.operators import score as sc
 from tapewright.operators.config import ModelConfig
 

@@ -6,9 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import alive, order
+from tapewright.operators import alive
 from tapewright.operators import lifecycle as lc
-from tapewright.operators import score as sc
 from tapewright.operators import search
 from tapewright.operators.config import ModelConfig
 from tests.conftest import BAR_SCHEMA, make_bars
