@@ -174,7 +174,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     class: rows with equal n-gram sets, `copies` of them. n_links: other classes
     with a Jaccard similarity of `threshold` or more. group: the connected
     classes; class_id its smallest id (null only if all ids are null). Rows
-    without a word have no n-grams: no links, one class each by identity.
+    without a word, null texts among them, have no n-grams: no links, one class
+    each by identity. Repeated rows are copies of one class. An empty table
+    gives no rows.
     """
     spark, bands = docs.sparkSession, bands_for(threshold, recall, rows)
     texts = identified(docs, id_col, text_col)

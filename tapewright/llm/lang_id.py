@@ -206,7 +206,12 @@ def predict(docs: DataFrame, protos: DataFrame, text_col: str = "text") -> DataF
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, remainder: int = 2) -> DataFrame:
-    """Rows doc_id, held_out, lang_pred, score; learned from the labelled texts outside the held-out rows."""
+    """Rows doc_id, held_out, lang_pred, score; learned from the labelled texts outside the held-out rows.
+
+    Rows without a text or a language teach nothing; a null id counts as empty
+    text for `held_out`. Repeated rows teach and are judged again each time. An
+    empty table gives no rows. For null texts see `predict`.
+    """
     held = held_out(F.col(id_col), modulus, remainder)
     protos = prototypes(docs.filter(~held), text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))

@@ -114,7 +114,8 @@ def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col:
     first_word: where that window starts (the first of equally good ones),
     n_windows: windows that hold the template. Null or empty texts hold none.
     Rows equal in id and text count as one document. Templates without a word
-    are ignored. Neither long texts nor frequent notices meet in one task.
+    are ignored; without templates or documents there are no rows. Neither long
+    texts nor frequent notices meet in one task.
     """
     known = notices.select(F.col("license_id"), F.col("text").alias("t_text")).filter("t_text is not null")
     known = known.withColumn("h", word_hashes(F.col("t_text"))).filter(F.size("h") > 0).drop("t_text")

@@ -279,7 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
 
     Null texts count as empty, that is one end. Repeated rows count and score
     as often as they come. Without training rows every token is unseen, and
-    both scores give it probability 1.
+    both scores give it probability 1. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = located(docs, id_col, text_col, modulus, remainder)

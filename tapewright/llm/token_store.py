@@ -336,7 +336,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
 
 
 def read(spark, folder: str) -> DataFrame:
-    """Rows doc_id, start, n_tokens, ids_crc32 decoded from the files, every checksum verified."""
+    """Rows doc_id, start, n_tokens, ids_crc32 decoded from the files, every checksum verified; no rows from empty files."""
     rows = spark.read.schema("token bigint, freq bigint").parquet(f"{folder}/table").toArrow()
     by = np.argsort(rows.column("token").to_numpy())
     shared = spark.sparkContext.broadcast(Table(rows.column("token").to_numpy()[by], rows.column("freq").to_numpy()[by]))
@@ -368,7 +368,14 @@ def read(spark, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, **columns) -> DataFrame:
-    """Written to the shared folder and read back."""
+    """Rows doc_id, start, n_tokens, ids_crc32, one for each row of docs, from files written to the shared folder and read back.
+
+    Null texts are empty: their only token is the end. Documents follow each
+    other by id, null ids first, then by text hash; repeated rows are repeated
+    documents. Texts of any length may take several blocks of a segment. Other
+    columns of docs are left out; an empty table writes empty files and gives
+    no rows.
+    """
     import uuid
 
     from tapewright.session import shared_dir
