@@ -21,22 +21,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, the one with the smallest id."""
+    """One document of each group of copies and near copies, the one with the smallest id; documents without a word stay, null texts among them."""
     return jaccard_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a null text counts as one without words."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token file of the mix, read back: doc_id, start, n_tokens, ids_crc32 for each row."""
+    """Token file of the mix, read back: doc_id, start, n_tokens, ids_crc32 for each row; a null text is one end."""
     return token_store.round_trip(docs, queries.vocabulary())
 
 
