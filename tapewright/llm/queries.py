@@ -162,7 +162,31 @@ def prefix_nodes(spark, sf):
     return prefix_trie.trie(table(spark, sf, "conversations"))
 
 
-@query("op12_suffix_dedup")
+#: Texts as hex, in overlapping cuts so that windows are taken from short strings.
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (
+  SELECT doc_id, 500 * q AS base, substr(x, 1000 * q + 1, 1098) AS y FROM (SELECT *, unnest(range(0, (n + 499) // 500)) AS q FROM d)),
+w AS (
+  SELECT doc_id, base + j AS i, substr(y, 2 * j + 1, 100) AS g FROM (SELECT *, unnest(range(0, least(500, len(y) // 2 - 49))) AS j FROM c)),
+f AS (
+  SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+s AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM w JOIN f USING (g) WHERE f.first < w.doc_id),
+r AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+    SELECT *, sum(CASE WHEN was IS NULL OR i > was + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s) GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept
+  FROM (SELECT r.*, d.x, lag(b, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY a) AS done FROM r JOIN d USING (doc_id)) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.x ELSE kept || substr(d.x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op12_suffix_dedup", REPEATS_SQL)
 def repeated_bytes(spark, sf):
     found = suffix_dedup.dedup(table(spark, sf, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
