@@ -193,6 +193,38 @@ def repeated_bytes(spark, sf):
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op13_spelling_variants")
+SPELLING_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+p AS (
+  SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM o WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (
+  SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda crc, byte:
+    list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) AS h FROM p),
+v AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+c AS (
+  SELECT word, i, word[1:i] AS a, word[i + 2:] AS b FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)),
+e AS (
+  SELECT DISTINCT c.word, v.word AS near FROM c JOIN v ON v.word = c.a || c.b),
+near AS (
+  SELECT l.word, r.word AS near FROM c l JOIN c r ON r.i = l.i AND r.a = l.a AND r.b = l.b AND r.word <> l.word
+  UNION ALL SELECT word, near FROM e UNION ALL SELECT near, word FROM e),
+best AS (
+  SELECT near.word, near.near, w.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, near.near) AS place
+  FROM near JOIN v w ON w.word = near.near),
+f AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * v.n THEN b.near END AS form, CASE WHEN b.near_n >= 5 * v.n THEN b.near_n END AS form_n
+  FROM v LEFT JOIN best b ON b.word = v.word AND b.place = 1),
+r AS (
+  SELECT word, word AS root FROM f
+  UNION ALL
+  SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f g ON g.word = r.root AND g.form IS NULL
+"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
 def spelling_variants(spark, sf):
     return spelling.variants(table(spark, sf, "documents"))
