@@ -194,7 +194,7 @@ def group_outcomes(spark, sf):
 
 
 STATS_SQL = f"""count(r) AS n, {R('avg(r)')} AS mean, {R('CASE WHEN count(r) >= 2 THEN stddev_samp(r) / sqrt(count(r)) END')} AS se,
-           {R('CASE WHEN count(r) >= 2 THEN avg(r) / (stddev_samp(r) / sqrt(count(r))) END')} AS t, {R('avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END)')} AS win"""
+           {R('CASE WHEN count(r) >= 2 THEN avg(r) / nullif(stddev_samp(r) / sqrt(count(r)), 0) END')} AS t, {R('avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END)')} AS win"""
 
 
 @query("mean_se_t", f"SELECT symbol, {STATS_SQL} FROM mom_first GROUP BY symbol")

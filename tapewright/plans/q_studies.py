@@ -319,8 +319,8 @@ def regime_straddle_join(spark, sf):
     return tidy(sd.regime_straddle_join(regimes(spark, sf), straddles(spark, sf)))
 
 
-_w = lambda x, f: f"""(avg({x}) FILTER (WHERE {f}) - avg({x}) FILTER (WHERE NOT ({f}))) / sqrt(var_samp({x}) FILTER (WHERE {f}) / count(*) FILTER (WHERE {f})
-      + var_samp({x}) FILTER (WHERE NOT ({f})) / count(*) FILTER (WHERE NOT ({f})))"""
+_w = lambda x, f: f"""(avg({x}) FILTER (WHERE {f}) - avg({x}) FILTER (WHERE NOT ({f}))) / nullif(sqrt(var_samp({x}) FILTER (WHERE {f}) / count(*) FILTER (WHERE {f})
+      + var_samp({x}) FILTER (WHERE NOT ({f})) / count(*) FILTER (WHERE NOT ({f}))), 0)"""
 
 
 @query("group_gradient", f"""
