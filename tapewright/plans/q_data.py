@@ -266,10 +266,10 @@ _rel = "abs(x - y) / greatest(abs(x), abs(y), 1e-9)"
 
 
 @query("layered_diff", f"""
-    SELECT layer, count(e) AS compared, {R('median(e)')} AS median_err, {R('max(e)')} AS worst_err FROM (
+    SELECT layer, count(e) AS compared, {R('median(e)')} AS median_err, {R('max(e)')} AS worst_err FROM (SELECT unnest(['atr', 'pdh', 'pdl']) AS layer) LEFT JOIN (
       SELECT 'atr' AS layer, {_rel} AS e FROM (SELECT a.atr AS x, w.atr AS y FROM ba a JOIN atr10_walk w ON w.symbol = a.symbol AND w.idx = a.idx WHERE a.idx >= 200)
       UNION BY NAME SELECT * FROM (SELECT 'pdh' AS layer, {_rel} AS e FROM (SELECT r.pdh AS x, l.pdh AS y FROM ranges r JOIN lag2 l ON l.symbol = r.symbol AND l.session = r.session))
-      UNION BY NAME SELECT * FROM (SELECT 'pdl' AS layer, {_rel} AS e FROM (SELECT r.pdl AS x, l.pdl AS y FROM ranges r JOIN lag2 l ON l.symbol = r.symbol AND l.session = r.session)))
+      UNION BY NAME SELECT * FROM (SELECT 'pdl' AS layer, {_rel} AS e FROM (SELECT r.pdl AS x, l.pdl AS y FROM ranges r JOIN lag2 l ON l.symbol = r.symbol AND l.session = r.session))) USING (layer)
     GROUP BY layer""".replace("UNION BY NAME", "UNION ALL BY NAME"))
 def layered_diff(spark, sf):
     """ATR(14) against ATR(10) after the warm-up; ranges at lag 1 against lag 2."""
