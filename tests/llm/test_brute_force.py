@@ -1,6 +1,7 @@
 """Operators against plain restatements of what they compute, on small tables."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import math
@@ -345,6 +346,32 @@ def test_line_templates_hold_in_larger_corpora(spark, rng, n, values):
     assert [(r.n_dropped, r["count"]) for r in got] == [(1, n)]
 
 
+def test_line_templates_of_leaves_in_parts(spark, docs, rng):
+    """Leaves counted in parts of any size, over several tasks, drop what whole leaves drop."""
+    field = lambda k: " ".join("v" + "abcdefghij"[rng.randrange(k)] for _ in range(3))
+    more = frame(spark, [(10**6 + i, f"every name of the users is here {field(9)}\nall of it goes {field(3)} and so on\n{words(rng, 9)}") for i in range(300)])
+    both = docs.select("doc_id", "text").unionByName(more.select("doc_id", "text")).repartition(7)
+    want = line_templates.dedup(both).orderBy("doc_id").collect()
+    assert sum(r.n_dropped for r in want) > 600
+    for leaf_words in (0, 50):
+        assert line_templates.dedup(both, leaf_words=leaf_words).orderBy("doc_id").collect() == want
+
+
+def test_line_templates_leave_no_shuffle_files(spark, rng):
+    """The disk of one step is free before the next, whenever the driver collects its garbage."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in folders for p in glob.glob(f"{d}/*/shuffle_*.data")}
+    docs = frame(spark, [(i, f"every name of the users is here {words(rng, 2)} now\n{words(rng, 9)}") for i in range(200)]).repartition(3).select("doc_id", "text")
+    docs.count()
+    before = files()
+    _, drops = line_templates.recurring(line_templates.identified(docs))
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.5)
+    assert not files() - before
+    assert drops.count() == 200
+
+
 def test_language_model(spark, docs, rows):
     tok = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), None] for d, t in rows}
     one, two = collections.Counter(), collections.Counter()
